@@ -1,10 +1,12 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's texts become windows of 13 consecutive words; their 64-bit
-hashes are the keys of a hash relation that is broadcast when its counted size
-allows (and shuffled otherwise).  Documents are scanned once, a row per window
-start; hash hits are verified word by word, and the few verified spans are
-gathered per document.
+The benchmark's texts become windows of 13 consecutive words.  Wherever such a
+window stands in a document, one of the document's 7-word runs at every seventh
+word lies wholly in it; so only those runs are hashed and looked up among the
+7-word runs of the windows (for shorter windows, runs and steps of half their
+length), and the windows around a hit are then looked up and verified word by
+word.  Both sets of hashes are broadcast when their counted size allows, and
+shuffled otherwise.  The few verified spans are gathered per document.
 
 Defined results: a null or word-less text has no windows, no hits and is never
 contaminated.  A document that occurs twice is judged twice, alike.  Item ids
@@ -20,15 +22,21 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import ascii_lower, broadcast_if_small, materialize
 
-#: A word: lower-cased ASCII letters, digits and everything beyond ASCII.
+#: A word of a lower-cased text is a run of ASCII letters, digits and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, one by one: Java tests such a class by a table, and ranges one after another.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 WINDOW = 13
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+
+
+def count_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")).cast("long")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -51,14 +59,20 @@ def window_hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_
     stats = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m"), F.collect_set(F.size("gram")).alias("ks")).first()
     lengths = sorted(stats["ks"]) or [WINDOW]
     side = broadcast_if_small(grams, stats["n"], 64 * WINDOW + 64 * (stats["m"] // max(1, stats["n"]) + 1))
+    run = lambda k: F.floor((k + 2) / 2).cast("int")
+    size = F.size("gram")
+    runs = grams.select(F.explode(F.transform(F.sequence(F.lit(1), size - run(size) + 1), lambda j: F.xxhash64(size, F.slice("gram", j, run(size))))).alias("rh")).distinct()
+    runs = broadcast_if_small(runs, stats["n"] * WINDOW, 16)
 
     scan = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
     scan = scan.withColumn("k", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
-    scan = scan.where(F.size("w") >= F.col("k"))
-    scan = scan.select("id", "text_hash", "w", "k", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("at"))
-    scan = scan.withColumn("wh", F.xxhash64(F.slice("w", F.col("at"), F.col("k"))))
+    scan = scan.where(F.size("w") >= F.col("k")).withColumn("g", run(F.col("k")))
+    scan = scan.select("id", "text_hash", "w", "k", "g", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("g") + 1, F.col("k") - F.col("g") + 1)).alias("p"))
+    near = scan.withColumn("h1", F.xxhash64("k", F.slice("w", F.col("p"), F.col("g")))).join(runs, F.col("h1") == F.col("rh"))
+    starts = F.sequence(F.greatest(F.lit(1), F.col("p") + F.col("g") - F.col("k")), F.least(F.col("p"), F.size("w") - F.col("k") + 1))
+    near = near.select("id", "text_hash", "w", "k", F.explode(starts).alias("at")).withColumn("wh", F.xxhash64(F.slice("w", F.col("at"), F.col("k"))))
     seen = F.slice("w", F.col("at"), F.col("k"))
-    hits = scan.join(side, (F.col("wh") == F.col("h")) & (seen >= F.col("gram")) & (seen <= F.col("gram")))
+    hits = near.join(side, (F.col("wh") == F.col("h")) & (seen >= F.col("gram")) & (seen <= F.col("gram")))
     hits = hits.select("id", "text_hash", F.struct(F.col("at").alias("s"), F.col("k").alias("k")).alias("span"), "items")
     return hits.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
@@ -77,7 +91,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """A row for each document: n_words, n_hit, n_items, items, contaminated (hit words at least 1/``share`` of all), spans, text_hash."""
     hits = window_hits(docs, benchmark_windows(benchmark, item_col, text_col, window), id_col, text_col)
     hits = hits.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), count_words(F.col(text_col)).alias("n_words"))
     joined = every.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     none = F.array().cast("array<string>")
     out = joined.select(
