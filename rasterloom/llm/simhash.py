@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import golay
-from rasterloom.llm.common import broadcast_if_small, materialize
+from rasterloom.llm.common import broadcast_if_small, materialize, pieces
 from rasterloom.llm.graph import components
 
 SEED = 42
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long): 64-bit fingerprints, as signed integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fps = [fingerprint(shingle_hashes(words_of(t), size)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         bits = WordBits()
-        for b in batches:
+        for b in pieces(batches):
             same, sig = [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
@@ -220,7 +220,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
     """(node, set binary): sorted distinct 64-bit shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [np.unique(shingle_hashes(words_of(t), size)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     sets = materialize(shingle_sets(texts, id_col, text_col, size).dropDuplicates(["node"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             x, y = ([np.frombuffer(s, np.uint64) for s in b.column(k).to_pylist()] for k in (2, 3))
             keep = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
             at = pa.array(np.flatnonzero(keep), pa.int64())
