@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained separately: one on ordinary text, one on
 toxic text.  What counts as toxic text is found among the texts labelled so: the
-words that stand in many different contexts there and in few elsewhere (copies
+words that many of them show in contexts of their own and few others do (copies
 of a text repeat its contexts, so they don't count).  A window is a word, or 64
 bytes of a longer one, between two fixed carriers that both dictionaries hold;
 without these, zstd stores so short an input as it is.  A window's gain is what
@@ -34,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import pieces
+
 TRAIN_DOCS, TRAIN_BYTES = 2000, 50_000
-LEAST_CONTEXTS, TIMES = 10, 8.0
+#: Standard errors by which the toxic texts that show a word must be more, for as many texts, than the others.
+SURPLUS = 5.0
 LEVEL, WINDOW = 19, 64
 ORDINARY_SIZE = 16_384
 GAINS = (2, 3, 4, 5, 6, 7)
 CARRIER = b"\n0123456789abcdefghijklmnopqrstuvwxyz\n"
-WINDOWS_KEPT = 400_000
+WINDOWS_KEPT = 800_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -86,14 +89,17 @@ class Scorer:
             return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(held, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p).compress
 
         self.plain, self.toxic, self.ordinary = map(compressor, (b"", model.toxic, model.ordinary))
+        # what windows of each length take if nothing in them repeats: no window takes more
+        self.most = [len(self.plain(CARRIER + b" " + bytes(range(128, 128 + n)) + b" " + CARRIER)) for n in range(WINDOW + 1)]
 
     def gain(self, word: bytes) -> int:
         best = 0
         for at in range(0, len(word), WINDOW):
-            x = CARRIER + b" " + word[at : at + WINDOW] + b" " + CARRIER
-            t, p = len(self.toxic(x)), len(self.plain(x))
-            if p - t > best:
-                best = max(best, min(p, len(self.ordinary(x))) - t)
+            part = word[at : at + WINDOW]
+            x = CARRIER + b" " + part + b" " + CARRIER
+            t = len(self.toxic(x))
+            if self.most[len(part)] - t > max(best, GAINS[0] - 1):
+                best = max(best, min(len(self.plain(x)), len(self.ordinary(x))) - t)
         return best
 
     def features(self, text: str | None) -> list[float]:
@@ -115,12 +121,21 @@ class Scorer:
 
 
 def contexts(texts: list[str]) -> Counter:
-    """In how many different pairs of neighbours each word stands."""
+    """How many texts show each word between neighbours that no text before did."""
     seen: set[tuple[bytes, bytes, bytes]] = set()
+    count: Counter = Counter()
     for t in texts:
         w = [b"", *words_of(t), b""]
-        seen.update(zip(w, w[1:], w[2:], strict=False))
-    return Counter(x[1] for x in seen)
+        new = set(zip(w, w[1:], w[2:], strict=False)).difference(seen)
+        seen |= new
+        count.update({x[1] for x in new})
+    return count
+
+
+def surplus(n: int, a: int, m: int, b: int) -> float:
+    """Standard errors between the shares n of a and m of b."""
+    p = (n + m) / max(1, a + b)
+    return (n / max(1, a) - m / max(1, b)) / max(1e-9, (p * (1 - p) * (1 / max(1, a) + 1 / max(1, b))) ** 0.5)
 
 
 def fit(rows: list[tuple[str, int, float]], seed: int = 7) -> Model:
@@ -134,11 +149,11 @@ def fit(rows: list[tuple[str, int, float]], seed: int = 7) -> Model:
         model.bias = 50.0 if kinds == {1} else -50.0
         return model
     tox, ordinary = contexts([r[0] for r in rows[::2] if r[1]]), contexts([r[0] for r in rows[::2] if not r[1]])
-    a, b = sum(tox.values()), sum(ordinary.values())
-    chosen = [w for w, n in tox.items() if n >= min(LEAST_CONTEXTS, max(2, a // 5000)) and n / a > TIMES * (ordinary[w] + 1) / max(1, b)]
+    a, b = sum(r[1] for r in rows[::2]), sum(1 - r[1] for r in rows[::2])
+    chosen = [w for w, n in tox.items() if n >= 2 and surplus(n, a, ordinary[w], b) >= SURPLUS]
     samples = [b" " + w + b" " for w in sorted(chosen) for _ in range(min(tox[w], 50))]
     model.toxic = contents(samples, max(1024, 6 * sum(len(w) + 2 for w in chosen)), seed) if samples else b""
-    missed = [w for w in sorted(chosen) if w not in model.toxic]  # what the trainer's segments left out
+    missed = [w for w in sorted(chosen) if b" " + w + b" " not in model.toxic]  # what the trainer's segments left out
     model.toxic += b"".join(b" " + w + b" " for w in missed)
     model.ordinary = contents([b" " + w + b" " for w in sorted(ordinary) for _ in range(min(ordinary[w], 20))][:400_000], ORDINARY_SIZE, seed)
     scorer = model.scorer()
@@ -183,7 +198,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -195,7 +210,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
