@@ -1,8 +1,9 @@
 """Token ids, and their binary file format.
 
-Encoding: ``WordEncoder`` cuts a text with the vocabulary's own pre-tokenizer
-pattern and keeps the ids of each word it has met, as a BPE never merges across
-words; words met first are encoded by the tokenizers library, many in one call.
+Encoding: ``WordEncoder`` cuts a text as the vocabulary's own pre-tokenizer does
+and keeps the ids of each word it has met, as a BPE never merges across words;
+words met first are encoded by the tokenizers library, many in one call, and so
+are whole texts with characters for which the cut isn't certain.
 
 File format (``.rlti``), one file a shard, shards in ascending document order:
 a header of magic, number of documents and of ids, then a control byte stream
@@ -25,6 +26,7 @@ no shards and no rows; only the named columns are read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import drop_written, fresh_dir, pieces
+
 END_ID = 2
 #: Stands for a null doc_id in the files.
 NO_ID = -(1 << 63)
 MAGIC = b"RLTI\x01\x00\x00\x00"
 #: Words that an encoder keeps at most before it starts anew; bounds memory, not what is encoded.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -48,45 +52,59 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Letters that a plain text may hold; in such a text the pattern below cuts as the vocabulary's own does.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile("[\\t\\n\\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧€]*")
+WORD = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+", re.A)
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Texts with characters beyond ``PLAIN`` go to the tokenizer as they are.
+    """
 
     def __init__(self, vocabulary: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.kept: dict[str, bytes] = {}
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-
-    def learn(self, words: set[str]) -> None:
-        """Words of at most one leading blank keep their bounds when lines separate them, so one call encodes them all."""
-        plain = [w for w in words if w.strip() and not w[1:].strip() != w[1:]]
-        one = self.tokenizer.encode("\n".join(plain), add_special_tokens=False).ids if plain else []
-        ids = np.array(one, dtype="<u4")
+        self.newline = self.ids("\n").tolist()[0]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """Words other than blanks keep their bounds when lines separate them, so one call encodes them all."""
+        plain = [w for w in words if not w.isspace()]
+        for w in words if len(plain) < len(words) else ():
+            if w.isspace():
+                self.kept[w] = self.ids(w).tobytes()
+        if not plain:
+            return
+        ids = self.ids("\n".join(plain))
         cuts = np.flatnonzero(ids == self.newline)
-        if len(cuts) == max(0, len(plain) - 1):
-            bounds = [0, *(cuts + 1).tolist(), len(ids) + 1]
-            raw = ids.tobytes()
-            for w, a, b in zip(plain, bounds, bounds[1:], strict=False):
-                self.kept[w] = raw[4 * a : 4 * (b - 1)]
-        for w in words:
-            if w not in self.kept:
-                self.kept[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(cuts) != len(plain) - 1:
+            self.kept |= {w: self.ids(w).tobytes() for w in plain}
+            return
+        raw = ids.tobytes()
+        starts = [0, *(4 * (cuts + 1)).tolist()]
+        ends = [*(4 * cuts).tolist(), len(raw)]
+        self.kept.update(zip(plain, [raw[a:z] for a, z in zip(starts, ends, strict=True)], strict=True))
 
     def encode(self, text: str) -> bytes:
-        words = self.words(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            if len(self.kept) > WORDS_KEPT:
+        if not PLAIN.fullmatch(text):
+            return self.ids(text).tobytes()
+        words = WORD.findall(text)
+        new = set(words).difference(self.kept)
+        if new:
+            if len(self.kept) + len(new) > WORDS_KEPT:
                 self.kept.clear()
-            self.learn({w for w in words if w not in self.kept})
-            return b"".join(map(self.kept.__getitem__, words))
+                new = set(words)
+            self.learn(list(new))
+        return b"".join(map(self.kept.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -178,7 +196,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, kind:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in pieces(batches):
             ids = [enc.encode(t or "") + tail for t in b.column(1).to_pylist()]
             if kind != "<u4":
                 ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
@@ -193,8 +211,6 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     One pass encodes and keeps the ids; their frequencies, a table no longer than
     the vocabulary, give the ranks; then the ids go to shards by ranges of doc_id.
     """
-    from rasterloom.llm.common import drop_written, fresh_dir
-
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     kept = fresh_dir(spark, "ids")
