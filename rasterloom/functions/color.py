@@ -33,6 +33,11 @@ def invert(m) -> list[list[float]]:
     return [[x / det for x in row] for row in adj]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, where it would be copied into the expression many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def srgb_to_linear(c: Column) -> Column:
     v = c / F.lit(255.0)
     return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
@@ -54,10 +59,12 @@ def oklab(r: Column, g: Column, b: Column) -> Column:
 
 def oklab_to_rgb(lab: Column) -> Column:
     """struct<r, g, b> of INT."""
-    v = [lab[n].cast("double") for n in "lab"]
     dot = lambda m, v: m[0] * v[0] + m[1] * v[1] + m[2] * v[2]
-    lms = [(lambda c: c * c * c)(dot(m, v)) for m in invert(M2)]
-    return F.struct(*[linear_to_srgb(dot(m, lms)).alias(n) for m, n in zip(invert(M1), "rgb", strict=True)])
+    roots = lambda p: F.struct(*[dot(m, [p[n].cast("double") for n in "lab"]).alias(n) for m, n in zip(invert(M2), "lms", strict=True)])
+    cubes = lambda p: F.struct(*[(p[n] * p[n] * p[n]).alias(n) for n in "lms"])
+    linear = lambda p: F.struct(*[dot(m, [p[n] for n in "lms"]).alias(n) for m, n in zip(invert(M1), "rgb", strict=True)])
+    bytes_of = lambda p: F.struct(*[linear_to_srgb(p[n]).alias(n) for n in "rgb"])
+    return let(lab, lambda a: let(roots(a), lambda b: let(cubes(b), lambda c: let(linear(c), bytes_of))))
 
 
 def lab_distance_sq(p: Column, q: Column) -> Column:
@@ -108,9 +115,9 @@ def calibrated_column(r: Column, g: Column, b: Column, tolerance: float) -> Colu
     steps = round(max(0.0, tolerance))
     if steps == 0:
         return F.lit((tolerance / 255.0) ** 2)
-    own = oklab(r, g, b)
     moved = lambda c, p: F.least(F.greatest(c + steps * p, F.lit(0)), F.lit(255))
-    return F.greatest(*[lab_distance_sq(own, oklab(*[moved(c, p) for c, p in zip((r, g, b), probe, strict=True)])) for probe in PROBES])
+    probes = F.array(*[oklab(*[moved(c, p) for c, p in zip((r, g, b), probe, strict=True)]) for probe in PROBES])
+    return let(oklab(r, g, b), lambda own: F.array_max(F.transform(probes, lambda p: lab_distance_sq(own, p))))
 
 
 def parse_hex(text: Column, fallback: tuple[int, int, int] | None = None) -> Column:

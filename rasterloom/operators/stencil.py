@@ -69,8 +69,8 @@ def median(px: DataFrame, **how) -> DataFrame:
     rows, cols = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     d = sized(px.repartition("image_id") if how.get("together", True) else px)
     d = d.withColumn("__c", F.struct("r", "g", "b", "a"))
-    d = d.withColumn("__h", F.array(F.coalesce(F.lag("__c").over(rows), "__c"), "__c", F.coalesce(F.lead("__c").over(rows), "__c")))
-    d = d.withColumn("__n", F.concat(F.coalesce(F.lag("__h").over(cols), "__h"), "__h", F.coalesce(F.lead("__h").over(cols), "__h")))
+    d = d.withColumn("__row", F.array(F.coalesce(F.lag("__c").over(rows), "__c"), "__c", F.coalesce(F.lead("__c").over(rows), "__c")))
+    d = d.withColumn("__n", F.concat(F.coalesce(F.lag("__row").over(cols), "__row"), "__row", F.coalesce(F.lead("__row").over(cols), "__row")))
     mid = lambda c: F.array_sort(F.transform("__n", lambda p: p[c]))[4]
     return _done(recolour(d, (F.col("__w") >= 3) & (F.col("__h") >= 3), **{c: mid(c) for c in "rgba"}), px)
 
