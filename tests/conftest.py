@@ -8,10 +8,10 @@ import sys
 import numpy as np
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from support import ROOT
+
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -58,14 +58,3 @@ def grids_of():
         return out
 
     return back
-
-
-def solid(h, w, rgba):
-    g = np.zeros((h, w, 4), int)
-    g[:] = rgba
-    return g
-
-
-@pytest.fixture(scope="session")
-def canvas():
-    return solid

@@ -6,7 +6,7 @@ import subprocess
 import sys
 import shutil
 
-from conftest import DATA, ROOT
+from support import DATA, ROOT
 
 
 def test_queries_and_sql_have_the_same_names():

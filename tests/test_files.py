@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import solid
+from support import solid
 from pyspark.sql import functions as F
 
 from rasterloom.sources import exports, images, png

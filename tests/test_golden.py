@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import solid
+from support import solid
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color, scalar

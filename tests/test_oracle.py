@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from support import DATA
 
 from rasterloom import catalog
 
