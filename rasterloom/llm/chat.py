@@ -64,7 +64,7 @@ def events_of_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     key = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     logs = turns.select(F.col(conv).cast("long").alias("conv_id"), key.alias("t")).groupBy("conv_id", "t").agg(F.count("*").alias("n"))
     logs = logs.select("conv_id", "t", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    return logs.select("conv_id", F.col("t.turn").cast("long").alias("seq"), F.struct(F.col("t.role"), F.sha2("t.text", 256), "copy").alias("message"), F.lit("message").alias("kind"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    return logs.select("conv_id", F.col("t.turn").cast("long").alias("seq"), F.struct(F.col("t.turn"), F.col("t.role"), F.sha2("t.text", 256).alias("of"), "copy").alias("message"), F.lit("message").alias("kind"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
