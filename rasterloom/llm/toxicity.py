@@ -15,8 +15,8 @@ Only text and labels of the training rows are looked at: at most
 ``TRAIN_DOCS`` texts of each label, of at most ``TRAIN_BYTES`` each, chosen by a
 hash.  Scoring looks at whole texts.
 
-Defined results: a null text is empty; texts without windows get the score of no
-gains; no labels, or labels of one kind only, give a model that scores 0 (or 1);
+Defined results: a null text is empty; texts without a gain, empty ones too,
+all get one score; no labels, or labels of one kind only, give a model that scores 0 (or 1);
 rows with one doc_id are scored each; a document with several labels trains with
 the largest; only the named columns are read.
 """
@@ -43,7 +43,7 @@ LEVEL, WINDOW = 19, 64
 ORDINARY_SIZE = 16_384
 GAINS = (2, 3, 4, 5, 6, 7)
 CARRIER = b"\n0123456789abcdefghijklmnopqrstuvwxyz\n"
-WINDOWS_KEPT = 800_000
+WINDOWS_KEPT = 300_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -113,7 +113,7 @@ class Scorer:
         for w in new:
             gains[w] = self.gain(w)
         high = [g for g in map(gains.__getitem__, own) if g >= GAINS[0]]
-        return [*(float(np.log1p(sum(g >= t for g in high))) for t in GAINS), float(max(high, default=0)), float(np.log1p(len(words)))]
+        return [*(float(np.log1p(sum(g >= t for g in high))) for t in GAINS), float(max(high, default=0)), float(np.log1p(len(words))) if high else 0.0]
 
     def score(self, text: str | None) -> float:
         s = float(np.dot(self.features(text), self.model.weights)) + self.model.bias
