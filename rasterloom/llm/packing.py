@@ -20,7 +20,6 @@ the named columns are read.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import pieces
-from rasterloom.llm.tokens import END_ID, default_vocabulary, encoder
+from rasterloom.llm.tokens import default_vocabulary, encoder
 
 
 @dataclass(frozen=True)
@@ -48,14 +47,12 @@ class Capacity:
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, size: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, at): only documents of over ``size`` ids are cut, the first piece takes the rest."""
-    tail = struct.pack("<I", END_ID)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        document, kind = encoder(vocabulary).document, encoder(vocabulary).kind
         for b in pieces(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = memoryview(enc.encode(text or "") + tail)
+                raw = memoryview(np.frombuffer(document(text), kind).astype("<u4").tobytes())
                 n = len(raw) // 4
                 first = n if n <= size else n % size or size
                 cuts = [0, *range(first, n + 1, size)]

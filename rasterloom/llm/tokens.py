@@ -59,7 +59,7 @@ WORD = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{LETTER
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian bytes of numpy's ``kind``: two an id where the vocabulary allows, else four.
 
     Texts with characters beyond ``PLAIN`` go to the tokenizer as they are.
     """
@@ -70,11 +70,12 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
         self.newline = self.ids("\n").tolist()[0]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
     def learn(self, words: list[str]) -> None:
         """Words other than blanks keep their bounds when lines separate them, so one call encodes them all."""
@@ -89,22 +90,29 @@ class WordEncoder:
         if len(cuts) != len(plain) - 1:
             self.kept |= {w: self.ids(w).tobytes() for w in plain}
             return
-        raw = ids.tobytes()
-        starts = [0, *(4 * (cuts + 1)).tolist()]
-        ends = [*(4 * cuts).tolist(), len(raw)]
+        raw, size = ids.tobytes(), ids.itemsize
+        starts = [0, *(size * (cuts + 1)).tolist()]
+        ends = [*(size * cuts).tolist(), len(raw)]
         self.kept.update(zip(plain, [raw[a:z] for a, z in zip(starts, ends, strict=True)], strict=True))
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return self.ids(text).tobytes()
         words = WORD.findall(text)
-        new = set(words).difference(self.kept)
-        if new:
+        found = list(map(self.kept.get, words))
+        try:
+            return b"".join(found)
+        except TypeError:  # a word that hasn't been met
+            new = {w for w, v in zip(words, found, strict=True) if v is None}
             if len(self.kept) + len(new) > WORDS_KEPT:
                 self.kept.clear()
                 new = set(words)
             self.learn(list(new))
-        return b"".join(map(self.kept.__getitem__, words))
+            return b"".join(map(self.kept.__getitem__, words))
+
+    def document(self, text: str | None) -> bytes:
+        """A text's ids and the end id."""
+        return self.encode(text or "") + np.array([END_ID], self.kind).tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -120,27 +128,33 @@ def encoder(vocabulary: str) -> WordEncoder:
 # ---- the coding -------------------------------------------------------------
 
 #: Bytes of the four codes that a control byte stands for.
-LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
+LENGTHS = (1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)).astype(np.uint8)
 
 
 def pack_codes(codes: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit codes."""
     codes = np.ascontiguousarray(codes, dtype="<u4")
-    need = (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
-    data = codes.view(np.uint8).reshape(-1, 4)[np.arange(4) <= need[:, None]].tobytes()
-    need = np.concatenate([need, np.zeros(-len(need) % 4, np.uint8)]).reshape(-1, 4)
-    return (need << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes(), data
+    more = (codes > 0xFF).view(np.uint8) + (codes > 0xFFFF).view(np.uint8) + (codes > 0xFFFFFF).view(np.uint8)
+    at = np.cumsum(more, dtype=np.int64) - more + np.arange(len(codes))
+    data = np.empty(len(codes) + int(more.sum(dtype=np.int64)), np.uint8)
+    raw = codes.view(np.uint8).reshape(-1, 4)
+    data[at] = raw[:, 0]
+    for k in range(1, int(more.max(initial=0)) + 1):
+        long = np.flatnonzero(more >= k)
+        data[at[long] + k] = raw[long, k]
+    more = np.concatenate([more, np.zeros(-len(more) % 4, np.uint8)]).reshape(-1, 4)
+    return (more[:, 0] | more[:, 1] << 2 | more[:, 2] << 4 | more[:, 3] << 6).tobytes(), data.tobytes()
 
 
 def unpack_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The codes again: lengths by table lookup, then one gather for each byte place."""
+    """The codes again: lengths by table lookup, then a gather for each byte place."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    codes = np.zeros(n, np.uint32)
-    for k in range(int(lengths.max(initial=0))):
-        more = lengths > k
-        codes[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.frombuffer(data, np.uint8)
+    codes = raw[at].astype(np.uint32)
+    for k in range(1, int(lengths.max(initial=0))):
+        long = np.flatnonzero(lengths > k)
+        codes[long] |= raw[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
     return codes
 
 
@@ -190,17 +204,13 @@ def get_file(uri: str) -> bytes:
 # ---- the operator -----------------------------------------------------------
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, kind: str = "<u4") -> DataFrame:
-    """(doc_id, ids binary): each document's ids and the end id, as numpy's ``kind``."""
-    tail = struct.pack("<I", END_ID)
+def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+    """(doc_id, ids binary): each document's ids and the end id, in the encoder's kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        document = encoder(vocabulary).document
         for b in pieces(batches):
-            ids = [enc.encode(t or "") + tail for t in b.column(1).to_pylist()]
-            if kind != "<u4":
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(document, b.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -215,18 +225,17 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     vocabulary = vocabulary or default_vocabulary()
     kept = fresh_dir(spark, "ids")
 
-    kind = "<u4" if encoder(vocabulary).tokenizer.get_vocab_size() > 1 << 16 else "<u2"
-    encoded(docs, id_col, text_col, vocabulary, kind).write.option("compression", "zstd").parquet(kept)
+    kind = encoder(vocabulary).kind
+    encoded(docs, id_col, text_col, vocabulary).write.option("compression", "zstd").parquet(kept)
     ids = spark.read.schema("doc_id long, ids binary").parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, kind))
-                if len(c) > len(total):
-                    c, total = total, c.astype(np.int64)
-                total[: len(c)] += c
+        for b in pieces(batches):
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+            if len(c) > len(total):
+                c, total = total, c
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -251,10 +260,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
                 rank_of[order] = np.arange(len(order), dtype=np.uint32)
             doc_ids += [NO_ID if x is None else x for x in b.column(0).to_pylist()]
-            for x in b.column(1).to_pylist():
-                c = rank_of[np.frombuffer(x, kind)]
-                counts.append(len(c))
-                codes.append(c)
+            raw = b.column(1).to_pylist()
+            counts += [len(x) // np.dtype(kind).itemsize for x in raw]
+            codes.append(rank_of[np.frombuffer(b"".join(raw), kind)])
         if doc_ids:
             path = f"{folder}/shard-{shard:08d}.rlti"
             put_file(path, shard_bytes(np.array(doc_ids), np.array(counts), np.concatenate(codes)))
