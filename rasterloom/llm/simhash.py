@@ -13,11 +13,13 @@ at most 65 nodes share any; so no link is lost and rows stay linear.
 ``near_duplicate_groups`` (similarity 0.8 of five-word shingle sets): texts of
 equal word sequences are one node.  A node's fingerprint is a SimHash of its
 distinct words, in segments of 23 bits; each pair of segments gives a key of two
-Golay indices, so the errors of all other segments don't matter.  In each key
-the nodes are compared with the smallest; after components are formed, nodes
-that don't share its component are compared with the key's other nodes as well,
-so nothing is missed in a key and no key pairs up all its nodes.  Pairs are
-verified by the shingle sets themselves.
+Golay indices, so the errors of all other segments don't matter, and a few bits
+of a third.  In each key the nodes are compared with the smallest; after
+components are formed, keys whose other nodes are in several components have
+them compared with one of these, and so on for some rounds; at last, nodes of a
+key that are still apart are compared in full.  So no pair of a key is missed,
+and a key full of alike nodes never pairs them all up.  Pairs are verified by
+the shingle sets themselves.
 
 Defined results: null texts count as empty; texts without words are equal; rows
 that share a doc_id are one document where one of a group is to stay; rows with
@@ -43,6 +45,10 @@ SEED = 42
 #: Nodes of a key that are paired up; keys of more go by the exact linear way.
 PAIRED = 16
 SEGMENTS, WIDE = 16, 48
+#: Bits of a third segment in a key, which keep chance meetings in proportion to the documents.
+EXACT_BITS = 8
+#: Rounds with one more node of each key to compare with; what they leave open is compared in full.
+ROUNDS = 3
 WORDS_KEPT = 300_000
 
 
@@ -100,7 +106,7 @@ def fingerprint_keys(nodes: DataFrame) -> DataFrame:
     """(key, node, fp, home): three home keys of each fingerprint and all keys it is looked up by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 4096):
             node = b.column(0).to_numpy(zero_copy_only=False)
             fp = b.column(1).to_numpy(zero_copy_only=False)
             seg = [(fp >> s & (1 << n) - 1) for s, n in CUTS]
@@ -202,16 +208,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def segment_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): for each pair of segments, the two Golay homes."""
+    """(key, node): for each pair of segments, the two Golay homes and ``EXACT_BITS`` of a third segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2048):
             node = b.column(0).to_numpy(zero_copy_only=False)
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, WIDE), axis=1)[:, : SEGMENTS * golay.LENGTH]
             words = bits.reshape(len(node), SEGMENTS, golay.LENGTH).astype(np.int64) @ (1 << np.arange(golay.LENGTH))
             at = golay.home(words)
-            keys = [((i * SEGMENTS + j) << 2 * golay.INFO) | (at[:, i] << golay.INFO) | at[:, j] for i, j in combinations(range(SEGMENTS), 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.tile(node, len(keys)))], ["key", "node"])
+            keys = []
+            for i, j in combinations(range(SEGMENTS), 2):
+                third = next(k % SEGMENTS for k in range(i + j + 1, i + j + 4) if k % SEGMENTS not in (i, j))
+                head = (i * SEGMENTS + j) << 2 * golay.INFO | at[:, i] << golay.INFO | at[:, j]
+                keys.append(head << EXACT_BITS | words[:, third] & (1 << EXACT_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(node, len(keys)))], ["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
@@ -268,22 +278,29 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "a")
     first = materialize(first, "first")
     shared = materialize(keys.join(broadcast_if_small(first, first.count(), 24), "key"), "shared")  # key, node, a
-    star = shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     how = (nodes, docs, id_col, text_col, size, least, most_bits)
-    links = materialize(verified(star, *how), "links")
+    links = materialize(verified(shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")), *how), "links")
     found = components(links)
-
-    # nodes outside the component of the smallest: against the key's other nodes of other components
-    of = found.select("node", "label")
-    tagged = shared.join(of, "node", "left").select("key", "a", "node", F.coalesce("label", "node").alias("comp"))
-    top = of.select(F.col("node").alias("a"), F.col("label").alias("top"))
-    tagged = materialize(tagged.join(top, "a", "left").withColumn("top", F.coalesce("top", "a")), "tagged")
-    out = tagged.where((F.col("comp") != F.col("top")) & (F.col("node") != F.col("a"))).select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = tagged.where(F.col("node") != F.col("a")).select("key", F.col("node").alias("a"), "comp")
-    more = out.join(rest, "key").where(F.col("comp") != F.col("comp_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(verified(more, *how), "links")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    open_ = shared.where(F.col("node") != F.col("a")).select("key", "node")  # nodes that not all of their key have been compared with
+    for k in range(ROUNDS + 1):
+        tagged = open_.join(found.select("node", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        tagged = materialize(tagged, "tagged")
+        split = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).where(F.col("lo") != F.col("hi.comp"))
+        split = materialize(split.select("key", F.col("hi.node").alias("a"), F.col("hi.comp").alias("top")), "split")
+        n = split.count()
+        if not n:
+            break
+        tagged = tagged.join(broadcast_if_small(split, n, 32), "key")
+        if k < ROUNDS:
+            pairs = tagged.where(F.col("comp") != F.col("top"))
+            open_ = materialize(tagged.where(F.col("node") != F.col("a")).select("key", "node"), "open")
+        else:
+            pairs = tagged.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(tagged.select("key", "node", "comp"), "key").where((F.col("comp") != F.col("comp_a")) & (F.col("a") < F.col("node")))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        more = materialize(verified(pairs, *how), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            found = components(links)
     groups = nodes.join(found, "node", "left").select("same", F.coalesce("label", "node").alias("group_id"))
     return sigs.select("doc_id", "same").join(groups, "same").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
