@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +49,10 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rasterloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once while we write: texts are long.
+BATCH_ROWS = "1000"
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
@@ -53,7 +60,13 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,10 +82,19 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system; workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows: bounds what a Python worker holds as objects at once."""
+    give_back()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
         del b
-        pa.default_memory_pool().release_unused()
+        give_back()

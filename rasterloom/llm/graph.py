@@ -22,17 +22,18 @@ def components(edges: DataFrame) -> DataFrame:
     before the shuffle; joins on a hub are left to the runtime's skew handling.
     Each round is written to the shared folder, and the last but one is dropped.
     """
-    both, _ = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    spark = edges.sparkSession
+    both, used = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels, old = _kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
-        seen = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
-        low = labels.unionByName(seen).groupBy("node").agg(F.min("label").alias("label"))
+        seen = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        low = labels.select("node", "label", F.col("label").alias("was")).unionByName(seen).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = low.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
+        new = low.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "was")
         new, path = _kept(new, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "was"), "node").where(F.col("label") != F.col("was")).limit(1).count()
+        drop_written(spark, old)
+        changed = new.where(F.col("label") < F.col("was")).limit(1).count()
+        labels, old = new.select("node", "label"), path
         if not changed:
-            drop_written(edges.sparkSession, old)
-            return new
-        drop_written(edges.sparkSession, old)
-        labels, old = new, path
+            drop_written(spark, used)
+            return labels

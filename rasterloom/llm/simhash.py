@@ -14,10 +14,10 @@ at most 65 nodes share any; so no link is lost and rows stay linear.
 equal word sequences are one node.  A node's fingerprint is a SimHash of its
 distinct words, in segments of 23 bits; each pair of segments gives a key of two
 Golay indices, so the errors of all other segments don't matter, and a few bits
-of a third.  In each key the nodes are compared with the smallest; after
-components are formed, keys whose other nodes are in several components have
-them compared with one of these, and so on for some rounds; at last, nodes of a
-key that are still apart are compared in full.  So no pair of a key is missed,
+of a third.  In some keys the nodes are compared with the smallest.  After
+components are formed, all keys whose nodes are in several components have these
+compared with one node of a component, and so on for some rounds; at last, nodes
+of a key that are still apart are compared in full.  So no pair of a key is missed,
 and a key full of alike nodes never pairs them all up.  Pairs are verified by
 the shingle sets themselves.
 
@@ -49,6 +49,8 @@ SEGMENTS, WIDE = 16, 48
 EXACT_BITS = 8
 #: Rounds with one more node of each key to compare with; what they leave open is compared in full.
 ROUNDS = 3
+#: Nodes whose fingerprints are broadcast at most.
+SIGS_SENT = 100_000
 WORDS_KEPT = 300_000
 
 
@@ -252,12 +254,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     leaves few texts to look at.
     """
     sig = nodes.select("node", *[F.conv(F.hex(F.substring("sig", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(WIDE // 8)])
-    named = lambda end: sig.select(F.col("node").alias(end), *[F.col(f"s{k}").alias(f"{end}{k}") for k in range(WIDE // 8)])
+    small = nodes.count() <= SIGS_SENT
+    named = lambda end: (lambda d: F.broadcast(d) if small else d)(sig.select(F.col("node").alias(end), *[F.col(f"s{k}").alias(f"{end}{k}") for k in range(WIDE // 8)]))
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE // 8)), F.lit(0))
     close = materialize(pairs.distinct().join(named("a"), "a").join(named("b"), "b").where(apart <= most_bits).select("a", "b"), "close")
-    ends = materialize(close.select(F.col("a").alias("end")).union(close.select("b")).distinct(), "ends")
-    texts = docs.join(broadcast_if_small(ends, ends.count(), 16), docs[id_col] == ends["end"], "left_semi")
-    sets = materialize(shingle_sets(texts, id_col, text_col, size).dropDuplicates(["node"]), "sets")
+    n = close.count()
+    if not n:
+        return close
+    ends = close.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    texts = docs.join(broadcast_if_small(ends, 2 * n, 16), docs[id_col] == ends["end"], "left_semi")
+    sets = materialize(shingle_sets(texts, id_col, text_col, size), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -279,14 +285,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = materialize(first, "first")
     shared = materialize(keys.join(broadcast_if_small(first, first.count(), 24), "key"), "shared")  # key, node, a
     how = (nodes, docs, id_col, text_col, size, least, most_bits)
-    links = materialize(verified(shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")), *how), "links")
+    # a few keys first: what they join needn't be compared again for each of the other keys
+    near = F.shiftright("key", 2 * golay.INFO + EXACT_BITS)
+    some = shared.where((near % SEGMENTS - F.call_function("div", near, F.lit(SEGMENTS)) == 1) & (F.col("node") != F.col("a")))
+    links = materialize(verified(some.select("a", F.col("node").alias("b")), *how), "links")
     found = components(links)
-    open_ = shared.where(F.col("node") != F.col("a")).select("key", "node")  # nodes that not all of their key have been compared with
+    open_ = shared.select("key", "node")  # nodes that not all of their key have been compared with
     for k in range(ROUNDS + 1):
         tagged = open_.join(found.select("node", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
         tagged = materialize(tagged, "tagged")
-        split = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).where(F.col("lo") != F.col("hi.comp"))
-        split = materialize(split.select("key", F.col("hi.node").alias("a"), F.col("hi.comp").alias("top")), "split")
+        ends = tagged.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).where(F.col("lo.comp") != F.col("hi.comp"))
+        lead = "hi" if k == ROUNDS - 1 else "lo"
+        split = materialize(ends.select("key", F.col(f"{lead}.node").alias("a"), F.col(f"{lead}.comp").alias("top")), "split")
         n = split.count()
         if not n:
             break
