@@ -75,7 +75,7 @@ class WordEncoder:
         self.newline = self.ids("\n").tolist()[0]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def learn(self, words: list[str]) -> None:
         """Words other than blanks keep their bounds when lines separate them, so one call encodes them all."""
