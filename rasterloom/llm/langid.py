@@ -191,7 +191,7 @@ class Tagger:
         words = [WORD.findall(t.lower()) if t and self.n else [] for t in texts]
         langs, scores = [], []
         for w, path in zip(words, self.paths(words), strict=True):
-            if not w:
+            if not any(map(str.isalpha, w)):  # numerals beyond 0-9 match like letters
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue

@@ -72,13 +72,13 @@ def test_the_batched_search_is_viterbi(tagger):
 
 
 def test_language_rows(spark, docs_of):
-    rows = [(d, text_in(k, d), "s", k) for d, k in enumerate(list(LANGS) * 30)] + [(500, None, "s", "aa"), (501, "1 2 3", "s", "aa"), (502, "ba de", "s", None), (503, text_in("bb", 1, 30000), "s", None), (502, "ba de", "s", None)]
+    rows = [(d, text_in(k, d), "s", k) for d, k in enumerate(list(LANGS) * 30)] + [(500, None, "s", "aa"), (501, "1 2 3", "s", "aa"), (504, "½ ²", "s", None), (502, "ba de", "s", None), (503, text_in("bb", 1, 30000), "s", None), (502, "ba de", "s", None)]
     docs = docs_of(rows)
     m = langid.train(docs, training=F.col("doc_id") % 4 != 2)
     got = langid.identify(docs, m).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
-    assert by[500] == by[501] == ("und", 0.0) and by[503][0] == "bb" and all(by[d][0] == k for d, _, _, k in rows[:90])
+    assert by[500] == by[501] == by[504] == ("und", 0.0) and by[503][0] == "bb" and all(by[d][0] == k for d, _, _, k in rows[:90])
     assert all(0 <= s <= 1 for _, s in by.values())
     spans = langid.label_spans(docs, m)
     assert spans.where("doc_id = 500").count() == 0 and spans.where("doc_id = 503").count() == 1
