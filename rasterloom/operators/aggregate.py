@@ -79,6 +79,8 @@ def size_statistics(boxes: DataFrame, *by: str) -> DataFrame:
     Ranks come from counts of distinct sizes, so a group of any size is summed
     before it is ordered.
     """
+    if not by:
+        return size_statistics(boxes.withColumn("__all", F.lit(0)), "__all").drop("__all")
     out = None
     for c in ("w", "h"):
         n = boxes.groupBy(*by, F.col(c).alias("v")).agg(F.count("*").alias("n"))
@@ -95,7 +97,7 @@ def size_statistics(boxes: DataFrame, *by: str) -> DataFrame:
         over = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.when(x["v"] > 2 * F.col("med"), x["n"]).otherwise(0))
         u = c
         g = g.select(*by, F.element_at("s", -1)["v"].cast("int").alias(f"max_{u}"), F.col("med").alias(f"median_{u}"), F.col("p90").alias(f"p90_{u}"), over.alias(f"outliers_{u}"), "count")
-        out = g if out is None else (out.join(g.drop("count"), list(by)) if by else out.crossJoin(g.drop("count")))
+        out = g if out is None else out.join(g.drop("count"), list(by))
     return out
 
 
