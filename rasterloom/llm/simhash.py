@@ -48,7 +48,7 @@ SEGMENTS, WIDE = 16, 48
 #: Bits of a third segment in a key, which keep chance meetings in proportion to the documents.
 EXACT_BITS = 8
 #: Rounds with one more node of each key to compare with; what they leave open is compared in full.
-ROUNDS = 3
+ROUNDS = 4
 #: Nodes whose fingerprints are broadcast at most.
 SIGS_SENT = 100_000
 WORDS_KEPT = 300_000
@@ -295,7 +295,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         tagged = open_.join(found.select("node", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
         tagged = materialize(tagged, "tagged")
         ends = tagged.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).where(F.col("lo.comp") != F.col("hi.comp"))
-        lead = "hi" if k == ROUNDS - 1 else "lo"
+        lead = "hi" if k else "lo"
         split = materialize(ends.select("key", F.col(f"{lead}.node").alias("a"), F.col(f"{lead}.comp").alias("top")), "split")
         n = split.count()
         if not n:
