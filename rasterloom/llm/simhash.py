@@ -10,16 +10,18 @@ up: their nodes meet instead in the 65 fingerprints within one bit of each, of
 which two nodes share one if and only if they differ in two bits or less, and
 at most 65 nodes share any; so no link is lost and rows stay linear.
 
-``near_duplicate_groups`` (similarity 0.8 of five-word shingle sets): texts of
-equal word sequences are one node.  A node's fingerprint is a SimHash of its
-distinct words, in segments of 23 bits; each pair of segments gives a key of two
-Golay indices, so the errors of all other segments don't matter, and a few bits
-of a third.  In some keys the nodes are compared with the smallest.  After
-components are formed, all keys whose nodes are in several components have these
-compared with one node of a component, and so on for some rounds; at last, nodes
-of a key that are still apart are compared in full.  So no pair of a key is missed,
-and a key full of alike nodes never pairs them all up.  Pairs are verified by
-the shingle sets themselves.
+``near_duplicate_groups`` (similarity 0.8 of five-word shingle sets, exact): texts
+of equal word sequences are one node.  A node's fingerprint is a SimHash of its
+distinct words, in segments of 23 bits; each pair of neighbouring segments gives a
+key of two Golay indices, in which the nodes are compared with the smallest: most
+copies meet there.  Then shingles are keys themselves: in any one order of all
+shingles, two sets of similarity t share one among the first n - ceil(t n) + 1 of
+either (n its size), so these are keyed; shingles that a sample shows to be
+frequent come last in the order, else by hash.  Keys whose nodes are in several
+components have these compared with one node of a component, and so on for some
+rounds; at last, nodes of a key that are still apart are compared in full.  So no
+pair is missed, and a key full of alike nodes never pairs them all up.  Pairs are
+verified by the shingle sets themselves.
 
 Defined results: null texts count as empty; texts without words are equal; rows
 that share a doc_id are one document where one of a group is to stay; rows with
@@ -30,7 +32,6 @@ only the named columns are read, all are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,14 @@ SEED = 42
 #: Nodes of a key that are paired up; keys of more go by the exact linear way.
 PAIRED = 16
 SEGMENTS, WIDE = 16, 48
-#: Bits of a third segment in a key, which keep chance meetings in proportion to the documents.
-EXACT_BITS = 8
+#: Bits of a third segment in a Golay key: none, as each bit parts alike texts.
+EXACT_BITS = 0
 #: Rounds with one more node of each key to compare with; what they leave open is compared in full.
 ROUNDS = 4
 #: Nodes whose fingerprints are broadcast at most.
 SIGS_SENT = 100_000
+#: One document of so many shows which shingles are frequent, and at most so many are sent; both only settle an order, never a result.
+SAMPLE, FREQUENT = 8, 200_000
 WORDS_KEPT = 300_000
 
 
@@ -210,7 +213,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def segment_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): for each pair of segments, the two Golay homes and ``EXACT_BITS`` of a third segment."""
+    """(key, node): for each pair of neighbouring segments, the two Golay homes and ``EXACT_BITS`` of a third segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2048):
@@ -219,8 +222,8 @@ def segment_keys(nodes: DataFrame) -> DataFrame:
             words = bits.reshape(len(node), SEGMENTS, golay.LENGTH).astype(np.int64) @ (1 << np.arange(golay.LENGTH))
             at = golay.home(words)
             keys = []
-            for i, j in combinations(range(SEGMENTS), 2):
-                third = next(k % SEGMENTS for k in range(i + j + 1, i + j + 4) if k % SEGMENTS not in (i, j))
+            for i, j in zip(range(SEGMENTS - 1), range(1, SEGMENTS), strict=True):
+                third = (j + 1) % SEGMENTS
                 head = (i * SEGMENTS + j) << 2 * golay.INFO | at[:, i] << golay.INFO | at[:, j]
                 keys.append(head << EXACT_BITS | words[:, third] & (1 << EXACT_BITS) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(node, len(keys)))], ["key", "node"])
@@ -228,6 +231,41 @@ def segment_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a sample hold: a hint for the order of keys, so bounds in it lose no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sets = [np.unique(shingle_hashes(words_of(t), size)) for t in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.array([], np.uint64), np.array([], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).cast("string"))
+    seen = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE)
+    return np.sort(np.array([r["h"] for r in seen.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def shingle_keys(docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
+    """(key, node, n): of each document's ``n`` distinct shingles the first ones, of which alike documents share one."""
+    frequent = frequent_shingles(docs, id_col, text_col, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            keys, sizes = [np.array([], np.uint64)], []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(words_of(t), size))
+                k = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                often = np.isin(h, frequent, assume_unique=True)
+                keys.append(np.concatenate([h[~often], h[often]])[:k])
+                sizes.append(len(h))
+            times = [len(k) for k in keys[1:]]
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), times)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, times), pa.int32())], ["key", "node", "n"])
+
+    known = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string")).where(F.col("node").isNotNull())
+    return known.mapInArrow(run, "key long, node long, n int")
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, set binary): sorted distinct 64-bit shingle hashes."""
 
@@ -258,6 +296,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     named = lambda end: (lambda d: F.broadcast(d) if small else d)(sig.select(F.col("node").alias(end), *[F.col(f"s{k}").alias(f"{end}{k}") for k in range(WIDE // 8)]))
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE // 8)), F.lit(0))
     close = materialize(pairs.distinct().join(named("a"), "a").join(named("b"), "b").where(apart <= most_bits).select("a", "b"), "close")
+    return compared(close, docs, id_col, text_col, size, least)
+
+
+def compared(close: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ``close`` whose shingle sets have a similarity of ``least`` or more."""
     n = close.count()
     if not n:
         return close
@@ -280,34 +323,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, group_id): for every non-null doc_id the smallest doc_id of its group."""
     sigs = materialize(signatures(docs, id_col, text_col), "sigs")
     nodes = materialize(sigs.groupBy("same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("node")), "nodes")
+    how = (docs, id_col, text_col, size, least)
+    # Golay keys first: what they join needn't be compared again for each of its shingles
     keys = segment_keys(nodes)
     first = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "a")
     first = materialize(first, "first")
-    shared = materialize(keys.join(broadcast_if_small(first, first.count(), 24), "key"), "shared")  # key, node, a
-    how = (nodes, docs, id_col, text_col, size, least, most_bits)
-    # a few keys first: what they join needn't be compared again for each of the other keys
-    near = F.shiftright("key", 2 * golay.INFO + EXACT_BITS)
-    some = shared.where((near % SEGMENTS - F.call_function("div", near, F.lit(SEGMENTS)) == 1) & (F.col("node") != F.col("a")))
-    links = materialize(verified(some.select("a", F.col("node").alias("b")), *how), "links")
+    some = keys.join(broadcast_if_small(first, first.count(), 24), "key").where(F.col("node") != F.col("a"))
+    links = materialize(verified(some.select("a", F.col("node").alias("b")), nodes, *how, most_bits), "links")
+    copies = sigs.join(nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = links.union(materialize(copies, "copies"))
     found = components(links)
-    open_ = shared.select("key", "node")  # nodes that not all of their key have been compared with
+    keys = materialize(shingle_keys(docs, id_col, text_col, size, least), "keys")
+    several = materialize(keys.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("key"), "several")
+    open_ = keys.join(broadcast_if_small(several, several.count(), 16), "key")  # nodes that not all of their key have been compared with
     for k in range(ROUNDS + 1):
-        tagged = open_.join(found.select("node", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        tagged = open_.join(found.select("node", "label"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp"))
         tagged = materialize(tagged, "tagged")
-        ends = tagged.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).where(F.col("lo.comp") != F.col("hi.comp"))
+        ends = tagged.groupBy("key").agg(F.min(F.struct("comp", "node", "n")).alias("lo"), F.max(F.struct("comp", "node", "n")).alias("hi")).where(F.col("lo.comp") != F.col("hi.comp"))
         lead = "hi" if k else "lo"
-        split = materialize(ends.select("key", F.col(f"{lead}.node").alias("a"), F.col(f"{lead}.comp").alias("top")), "split")
+        split = materialize(ends.select("key", F.col(f"{lead}.node").alias("a"), F.col(f"{lead}.comp").alias("top"), F.col(f"{lead}.n").alias("n_a")), "split")
         n = split.count()
         if not n:
             break
         tagged = tagged.join(broadcast_if_small(split, n, 32), "key")
         if k < ROUNDS:
             pairs = tagged.where(F.col("comp") != F.col("top"))
-            open_ = materialize(tagged.where(F.col("node") != F.col("a")).select("key", "node"), "open")
+            open_ = materialize(tagged.where(F.col("node") != F.col("a")).select("key", "node", "n"), "open")
         else:
-            pairs = tagged.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(tagged.select("key", "node", "comp"), "key").where((F.col("comp") != F.col("comp_a")) & (F.col("a") < F.col("node")))
+            pairs = tagged.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a")).join(tagged.select("key", "node", "comp", "n"), "key").where((F.col("comp") != F.col("comp_a")) & (F.col("a") < F.col("node")))
+        pairs = pairs.where(F.least("n", "n_a") >= F.greatest("n", "n_a") * F.lit(least) - 1e-6)  # sets of unlike sizes can't be alike
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        more = materialize(verified(pairs, *how), "links")
+        more = materialize(compared(materialize(pairs.distinct(), "close"), *how), "links")
         if more.limit(1).count():
             links = links.union(more)
             found = components(links)

@@ -129,3 +129,38 @@ def test_a_key_full_of_unlike_nodes_is_compared_in_full(spark, docs_of, prose, m
 def test_no_documents(docs_of):
     assert simhash.fingerprint_groups(docs_of([])).count() == 0
     assert simhash.keep_one(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize("change", ["substituted", "appended", "truncated"])
+@pytest.mark.parametrize("frequent", [False, True])
+def test_every_near_pair_is_found(docs_of, prose, monkeypatch, change, frequent):
+    """Pairs of a similarity of 0.80 to 0.90 and a little under 0.80, by brute force."""
+    if frequent:  # whatever the order, no pair is lost
+        monkeypatch.setattr(simhash, "frequent_shingles", lambda docs, id_col, text_col, size: np.unique(np.concatenate([np.array(sorted(s)[:: 3], np.uint64) for s in sets.values()])))
+    r = random.Random(5)
+    texts = {}
+    for k in range(60):
+        w = prose(9000 + k, 300).split()
+        least = r.uniform(0.78, 0.9)
+        if change == "substituted":
+            v = list(w)
+            for at in r.sample(range(300), round(300 * (1 - least) / (1 + least) / 5)):
+                v[at] = f"w{r.random()}"
+        elif change == "appended":
+            v = w + prose(19000 + k, round(300 / least) - 300).split()
+        else:
+            v = w[: round(300 * least)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(w), " ".join(v)
+    sets = {d: frozenset(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for d, t in texts.items()}
+    linked = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert 30 < len(linked) < 60
+    got = {x["doc_id"]: x["group_id"] for x in simhash.near_duplicate_groups(docs_of(list(texts.items()))).collect()}
+    assert got == brute_groups(texts, linked)
+
+
+def test_pair_of_unlike_vocabularies(docs_of):
+    """Many shingles of few words, then few shingles of many words: alike by shingles, unlike by words."""
+    r = random.Random(6)
+    w = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w + [f"w{k}" for k in range(200)]))]
+    assert {x["group_id"] for x in simhash.near_duplicate_groups(docs_of(rows)).collect()} == {1}
