@@ -45,3 +45,20 @@ def test_brute_force(docs_of, rows, broadcast, ratio, least):
 def test_no_documents(docs_of):
     for b in (None, False):
         assert lines.drop_lines(docs_of([]), broadcast=b).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [None, False])
+def test_copies_are_one_page(docs_of, broadcast):
+    """Six copies on a host of 100 pages keep their text; a line of six pages that differ goes."""
+    copy = "first of the copies\nsecond of the copies"
+    rows = [(d, copy if d < 6 else f"own {d}" + ("\nmenu" if d < 12 else ""), "h") for d in range(100)]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_lines(docs_of(rows), broadcast=broadcast, once=True).collect()}
+    assert out == {d: t.removesuffix("\nmenu") for d, t, _ in rows}
+
+
+def test_the_pipeline_keeps_one_of_large_groups_of_copies(spark, docs_of):
+    import corpus_pipeline
+
+    rows = [(d, f"copy of host {d % 2}\nbody {d % 2}" if d < 80 else f"own {d}", f"h{d % 2}") for d in range(300)]
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs_of(rows), ""), "")
+    assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t, _ in rows})
