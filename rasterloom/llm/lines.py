@@ -14,7 +14,9 @@ Defined results: a line is what stands between line feeds, compared without
 blanks at its ends; blank lines are never counted or dropped; null hosts are one
 host; a null text counts as a page without lines and stays null; repeated rows
 are pages each, or with ``once`` equal texts of a host are one page, so that copies
-don't make each other's lines boilerplate; hosts without ``least_pages`` pages that share a line lose none;
+don't make each other's lines boilerplate; hosts without ``least_pages`` pages that
+share a line lose none, unless a ``share`` is given: a line of two pages or more and
+over that share of its host's is boilerplate on hosts of any size;
 a page may lose all its lines and is then empty; an empty table stays empty.
 """
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, materialize
 
 RATIO, LEAST_PAGES = 0.01, 5
+#: Of a host's pages, for hosts of few; below it two near copies would lose what they share.
+SHARE = 0.25
 
 
 def _lines(text: Column) -> Column:
@@ -36,29 +40,32 @@ def _bare(line: Column) -> Column:
     return F.trim(line)
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, once: bool = False) -> DataFrame:
-    """(host, line, pages, total): lines in more than ``ratio`` of the host's pages and in ``least_pages`` at least."""
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, once: bool = False, share: float | None = None) -> DataFrame:
+    """(host, line, pages, total): lines in more than ``ratio`` of the host's pages and in ``least_pages`` at least, or in two and more than ``share``."""
+    n, of = F.col("pages"), F.col("total")
+    passes = (n >= least_pages) & (n > of * ratio)
+    if share is not None:
+        passes = passes | ((n >= 2) & (n > of * share))
     page = F.struct(F.xxhash64(text_col), F.length(text_col)).alias("page") if once else F.lit(0).alias("page")
     count = F.count_distinct("page") if once else F.count("*")
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
     bare = F.array_distinct(F.filter(F.transform(_lines(F.col(text_col)), _bare), lambda x: x != ""))
     total = docs.select(host, page).groupBy("host").agg(count.alias("total"))
     hashed = docs.select(host, page, F.explode(F.transform(bare, lambda x: F.xxhash64(x))).alias("h"))
-    seen = hashed.groupBy("host", "h").agg(count.alias("pages")).where(F.col("pages") >= least_pages)
-    often = materialize(seen.join(total, "host").where(F.col("pages") > F.col("total") * ratio), "often")
+    seen = hashed.groupBy("host", "h").agg(count.alias("pages")).where(n >= (least_pages if share is None else min(2, least_pages)))
+    often = materialize(seen.join(total, "host").where(passes), "often")
     texts = docs.select(host, page, F.explode(bare).alias("line")).withColumn("h", F.xxhash64("line"))
-    n = often.count()
-    side = F.broadcast(often) if n <= BROADCAST_ROWS else often
+    side = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
     exact = texts.join(side, ["host", "h"]).groupBy("host", "line").agg(count.alias("pages"), F.first("total").alias("total"))
-    return exact.where((F.col("pages") >= least_pages) & (F.col("pages") > F.col("total") * ratio))
+    return exact.where(passes)
 
 
-def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast: bool | None = None, once: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast: bool | None = None, once: bool = False, share: float | None = None) -> DataFrame:
     """The documents, all columns kept, without their host's boilerplate lines.
 
     ``broadcast``: None decides by size; False takes the way for sets of any size.
     """
-    found = materialize(boilerplate(docs, host_col, text_col, ratio, least_pages, once).select(F.col("host").alias("__host"), F.col("line").alias("__line")), "boilerplate")
+    found = materialize(boilerplate(docs, host_col, text_col, ratio, least_pages, once, share).select(F.col("host").alias("__host"), F.col("line").alias("__line")), "boilerplate")
     host = F.coalesce(docs[host_col].cast("string"), F.lit(""))
     if broadcast is None:
         size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__line") + F.octet_length("__host") + 32), F.lit(0)).alias("b")).first()

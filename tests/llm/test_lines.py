@@ -62,3 +62,13 @@ def test_the_pipeline_keeps_one_of_large_groups_of_copies(spark, docs_of):
     rows = [(d, f"copy of host {d % 2}\nbody {d % 2}" if d < 80 else f"own {d}", f"h{d % 2}") for d in range(300)]
     kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs_of(rows), ""), "")
     assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t, _ in rows})
+
+
+@pytest.mark.parametrize("broadcast", [None, False])
+def test_small_hosts_lose_lines_too(docs_of, broadcast):
+    import corpus_pipeline
+
+    rows = [(d, f"own {d}\nmenu", "four") for d in range(4)] + [(d, f"own {d}" + ("\nmenu" if d < 13 else "\npair" if d < 15 else ""), "ten") for d in range(10, 20)]
+    want = {d: t.removesuffix("\nmenu") for d, t, _ in rows}
+    assert {r["doc_id"]: r["text"] for r in lines.drop_lines(docs_of(rows), broadcast=broadcast, once=True, share=lines.SHARE).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(None, docs_of(rows), "").collect()} == want
