@@ -508,3 +508,29 @@ def r118_world_ticks(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "SQL", "aggregate", "components", "pointwise", "stencil"]
+
+# ---- all images and points, where the queries above (and their SQL) keep a few ---------------
+
+
+def _all_frames(spark, sf_dir):
+    px = rasters.px_vectors(spark, sf_dir)
+    return px.select(F.call_function("div", F.col("image_id"), F.lit(7)).alias("sheet_id"), (F.col("image_id") % 7).cast("int").alias("ord"), "x", "y", *"rgba")
+
+
+@query()
+def r007_frames_to_grid_all(spark, sf_dir):
+    return compose.frames_to_grid(_all_frames(spark, sf_dir))[0]
+
+
+def _all_points(px):
+    return px.select("image_id", (F.col("y") * 8 + F.col("x")).cast("long").alias("point_id"), (F.col("x") + 0.5).cast("double").alias("wx"), (F.col("y") * F.lit(1.1)).alias("wy"))
+
+
+vectors(geometry.tile_preview, SQL["r085_tile_preview"].replace(" where image_id < 40", ""), "r085_tile_preview_all")
+on_cells(lambda px, c: cells.hit_test(_all_points(px), c), SQL["r112_hit_test"].replace(" where x % 3 = 0", ""), "r112_hit_test_all")
+on_cells(lambda px, c: cells.hit_test(_all_points(px).withColumn("wx", F.col("wx") - 0.5), c), SQL["r104_cell_click"].replace(" where x % 3 = 0", ""), "r104_cell_click_all")
+
+
+@query()
+def r007b_grid_cells_all(spark, sf_dir):
+    return compose.frames_to_grid(_all_frames(spark, sf_dir))[1]
