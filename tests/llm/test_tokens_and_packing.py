@@ -116,3 +116,15 @@ def test_norm_is_best_fit_when_tokens_alone_count():
     c = packing.Capacity(10, 100, 10**6, (1.0, 0.0, 0.0))
     bins, _ = packing.pack(np.array([6, 5, 4, 4, 3]), c)
     assert bins.max() + 1 == 3 and bins[0] == bins[2]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("cap,binds", [((1024, 3, 10**9), "docs"), ((1024, 1024, 20_000), "attention")])
+def test_documents_and_attention_bind_when_set_lower(docs_of, prose, rule, cap, binds):
+    rows = [(d, prose(d, 5 + d % 20)) for d in range(120)]
+    c = packing.Capacity(*cap, rule=rule)
+    got = packing.pack_documents(docs_of(rows), capacity=c).collect()
+    n = check(got, c)
+    free = check(packing.pack_documents(docs_of(rows)).collect(), packing.Capacity())
+    assert n > free
+    assert n >= (len(got) / 3 if binds == "docs" else sum(r["length"] ** 2 for r in got) / 20_000)
