@@ -13,7 +13,8 @@ trained no dictionary; it calibrates the thresholds.
 
 Only text and labels of the training rows are looked at: at most
 ``TRAIN_DOCS`` texts of each label, of at most ``TRAIN_BYTES`` each, chosen by a
-hash.  Scoring looks at whole texts.
+hash.  The ordinary dictionary has ``SAMPLES`` samples at most: beyond, words
+repeat less often, then a hash chooses them.  Scoring looks at whole texts.
 
 Defined results: a null text is empty; texts without a gain, empty ones too,
 all get one score; no labels, or labels of one kind only, give a model that scores 0 (or 1);
@@ -23,6 +24,7 @@ the largest; only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import struct
 from collections import Counter
@@ -41,6 +43,8 @@ TRAIN_DOCS, TRAIN_BYTES = 2000, 50_000
 SURPLUS = 5.0
 LEVEL, WINDOW = 19, 64
 ORDINARY_SIZE = 16_384
+#: Samples of the ordinary dictionary at most, which bounds the driver's memory.
+SAMPLES = 400_000
 GAINS = (2, 3, 4, 5, 6, 7)
 CARRIER = b"\n0123456789abcdefghijklmnopqrstuvwxyz\n"
 WINDOWS_KEPT = 300_000
@@ -138,6 +142,13 @@ def surplus(n: int, a: int, m: int, b: int) -> float:
     return (n / max(1, a) - m / max(1, b)) / max(1e-9, (p * (1 - p) * (1 / max(1, a) + 1 / max(1, b))) ** 0.5)
 
 
+def ordinary_samples(ordinary: Counter, most: int = SAMPLES) -> list[bytes]:
+    """Words as often as they count, 20 times at most; to stay within ``most``, less often, then those of the smallest hashes."""
+    times = next((k for k in range(20, 0, -1) if sum(min(n, k) for n in ordinary.values()) <= most), 1)
+    words = ordinary if len(ordinary) <= most else sorted(ordinary, key=lambda w: hashlib.blake2b(w, digest_size=8).digest())[:most]
+    return [b" " + w + b" " for w in sorted(words) for _ in range(min(ordinary[w], times))]
+
+
 def fit(rows: list[tuple[str, int, float]], seed: int = 7) -> Model:
     """``rows``: (text, label, weight).  Even rows train the dictionaries, odd ones the scale."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
@@ -155,7 +166,7 @@ def fit(rows: list[tuple[str, int, float]], seed: int = 7) -> Model:
     model.toxic = contents(samples, max(1024, 6 * sum(len(w) + 2 for w in chosen)), seed) if samples else b""
     missed = [w for w in sorted(chosen) if b" " + w + b" " not in model.toxic]  # what the trainer's segments left out
     model.toxic += b"".join(b" " + w + b" " for w in missed)
-    model.ordinary = contents([b" " + w + b" " for w in sorted(ordinary) for _ in range(min(ordinary[w], 20))][:400_000], ORDINARY_SIZE, seed)
+    model.ordinary = contents(ordinary_samples(ordinary), ORDINARY_SIZE, seed)
     scorer = model.scorer()
     x = np.array([scorer.features(r[0]) for r in rows[1::2]])
     y, w = np.array([r[1] for r in rows[1::2]], float), np.array([r[2] for r in rows[1::2]])

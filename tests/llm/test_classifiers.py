@@ -161,3 +161,11 @@ def test_held_out_toxicity(spark):
     d = toxicity.score(docs, m).join(labels.select("doc_id", "toxic"), "doc_id").where(b == 0).where("toxic is not null")
     r = d.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("int")).alias("a"), (F.count_if((F.col("score") >= 0.5) & (F.col("toxic") == 1)) / F.count_if(F.col("toxic") == 1)).alias("r")).first()
     assert r["a"] > 0.96 and r["r"] > 0.85
+
+
+def test_ordinary_samples_leave_out_no_end_of_the_alphabet():
+    count = toxicity.Counter({f"{c}{k}".encode(): 1 + k % 30 for c in "abyzéя" for k in range(200)})
+    whole, few, fewest = (toxicity.ordinary_samples(count, n) for n in (400_000, 3000, 600))
+    assert whole == [b" " + w + b" " for w in sorted(count) for _ in range(min(count[w], 20))]
+    assert len(few) <= 3000 and set(few) == set(whole)
+    assert len(fewest) == 600 and all(60 < sum(s.decode()[1] == c for s in fewest) < 140 for c in "abyzéя")
