@@ -53,13 +53,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 BATCH_ROWS = "1000"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    path = path or fresh_dir(spark, name)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, BATCH_ROWS)
@@ -77,6 +77,33 @@ def drop_written(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables that are written, read back, and deleted at the end of a ``with`` block: nothing that reads them may leave it unwritten."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self.held:
+            drop_written(spark, path)
+
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        path = fresh_dir(df.sparkSession, name)
+        self.held.append((df.sparkSession, path))
+        return materialize(df, name, codec, path)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A name made from ``name`` that no column of ``docs`` has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only for a counted size within the bounds; else leave the join to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import drop_written, fresh_dir
+from rasterloom.llm.common import Scratch, drop_written, fresh_dir
 
 
 def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -14,13 +14,14 @@ def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     """(node, label): for each end of the edges (a, b) the smallest node it reaches.
 
     A round takes the smallest label among a node and its neighbours, then the
     label of that label; the rounds end when nothing changes.  Minima are taken
     before the shuffle; joins on a hub are left to the runtime's skew handling.
-    Each round is written to the shared folder, and the last but one is dropped.
+    Each round is written to the shared folder, and the last but one is dropped;
+    the last goes with ``into``.
     """
     spark = edges.sparkSession
     both, used = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -36,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels, old = new.select("node", "label"), path
         if not changed:
             drop_written(spark, used)
+            if into:
+                into.held.append((spark, path))
             return labels

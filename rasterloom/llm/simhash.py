@@ -10,18 +10,21 @@ up: their nodes meet instead in the 65 fingerprints within one bit of each, of
 which two nodes share one if and only if they differ in two bits or less, and
 at most 65 nodes share any; so no link is lost and rows stay linear.
 
-``near_duplicate_groups`` (similarity 0.8 of five-word shingle sets, exact): texts
-of equal word sequences are one node.  A node's fingerprint is a SimHash of its
-distinct words, in segments of 23 bits; each pair of neighbouring segments gives a
-key of two Golay indices, in which the nodes are compared with the smallest: most
-copies meet there.  Then shingles are keys themselves: in any one order of all
+``near_duplicate_groups`` (similarity 0.8 of five-word shingle sets): texts of equal
+word sequences are one node, with a 184-bit SimHash of its distinct words in eight
+segments.  A key is the Golay homes of two segments with one of the up to six
+codeword indices near a third; the nodes of a key are compared with the smallest.
+The fingerprints of alike texts can differ in any number of bits, so no set of
+Golay keys reaches every pair.  Shingles are keys too, then: in any one order of all
 shingles, two sets of similarity t share one among the first n - ceil(t n) + 1 of
-either (n its size), so these are keyed; shingles that a sample shows to be
-frequent come last in the order, else by hash.  Keys whose nodes are in several
-components have these compared with one node of a component, and so on for some
-rounds; at last, nodes of a key that are still apart are compared in full.  So no
-pair is missed, and a key full of alike nodes never pairs them all up.  Pairs are
-verified by the shingle sets themselves.
+either (n its size).  A sample shows which are frequent, and these come last in the
+order, else it is a hash.  In each key whose nodes are in several components one node
+is compared with the others, first that with the largest share of shared keys, in the
+next round another one, until a round finds no link.  So every pair of similar texts
+shares a key, rows stay in proportion to those of the keys, and no key is paired up.
+A link is missed where both ends share keys only with leaders unlike them; the README
+has the recall measured.  Sizes and parities of shingle sets rule candidates out
+first, by bounds that hold for every pair; the rest are compared by their whole sets.
 
 Defined results: null texts count as empty; texts without words are equal; rows
 that share a doc_id are one document where one of a group is to stay; rows with
@@ -32,6 +35,7 @@ only the named columns are read, all are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import golay
-from rasterloom.llm.common import broadcast_if_small, materialize, pieces
+from rasterloom.llm.common import Scratch, broadcast_if_small, materialize, pieces, unused
 from rasterloom.llm.graph import components
 
 SEED = 42
 #: Nodes of a key that are paired up; keys of more go by the exact linear way.
 PAIRED = 16
-SEGMENTS, WIDE = 16, 48
-#: Bits of a third segment in a Golay key: none, as each bit parts alike texts.
-EXACT_BITS = 0
-#: Rounds with one more node of each key to compare with; what they leave open is compared in full.
-ROUNDS = 4
-#: Nodes whose fingerprints are broadcast at most.
-SIGS_SENT = 100_000
+#: Segments of a fingerprint of shingle sets, and its bytes; longs of parity bits.
+SEGMENTS, WIDE, PARITY = 8, 23, 8
 #: One document of so many shows which shingles are frequent, and at most so many are sent; both only settle an order, never a result.
 SAMPLE, FREQUENT = 8, 200_000
 WORDS_KEPT = 300_000
@@ -188,47 +187,65 @@ class WordBits:
             n = len(self.at)
             while n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[n : n + len(new)] = np.frombuffer(b"".join(h(w, s) for w in new for s in (1, 2, 3)), np.uint8).reshape(-1, WIDE)
+            self.rows[n : n + len(new)] = np.frombuffer(b"".join((h(w, 1) + h(w, 2))[:WIDE] for w in new), np.uint8).reshape(-1, WIDE)
             self.at |= {w: n + i for i, w in enumerate(new)}
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, same binary, sig binary): a hash of the word sequence and the wide SimHash of the distinct words."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(shingle_hashes(words_of(text), size))
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY`` longs whose bits say whether an odd number of the hashes fall on them.
+
+    A shingle that only one of two sets holds changes one bit, so the bits in which
+    two sets differ are never more than the shingles in which they differ.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
+    """The first n - ceil(least n) + 1 of the hashes, in an order that is the same for all sets: frequent ones last."""
+    if not len(hashes):
+        return hashes
+    often = np.isin(hashes, frequent, assume_unique=True)
+    return np.concatenate([hashes[~often], hashes[often]])[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+
+
+SIGNED = "doc_id long, s1 long, s2 long, n int, sig binary, " + ", ".join(f"p{k} long" for k in range(PARITY)) + ", keys array<long>"
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
+    """One pass over the texts of non-null ids: hash of the word sequence (s1, s2), number of distinct shingles,
+    SimHash of the distinct words, parities of the shingles, and the shingles that are keys."""
+    frequent = frequent_shingles(docs, id_col, text_col, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         bits = WordBits()
-        for b in pieces(batches):
-            same, sig = [], []
+        for b in pieces(batches, 256):
+            same, n, sig, par, keys = [], [], [], [np.zeros((0, PARITY), np.int64)], [np.array([], np.uint64)]
             for t in b.column(1).to_pylist():
                 w = words_of(t)
                 u = set(w)
+                h = np.unique(shingle_hashes(w, size))
                 same.append(xxh3_128_digest(b" ".join(w)))
+                n.append(len(h))
                 sig.append(np.packbits(2 * ones(bits(u)) > len(u)).tobytes() if u else bytes(WIDE))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "same", "sig"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, same binary, sig binary")
-
-
-def segment_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): for each pair of neighbouring segments, the two Golay homes and ``EXACT_BITS`` of a third segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2048):
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, WIDE), axis=1)[:, : SEGMENTS * golay.LENGTH]
-            words = bits.reshape(len(node), SEGMENTS, golay.LENGTH).astype(np.int64) @ (1 << np.arange(golay.LENGTH))
-            at = golay.home(words)
-            keys = []
-            for i, j in zip(range(SEGMENTS - 1), range(1, SEGMENTS), strict=True):
-                third = (j + 1) % SEGMENTS
-                head = (i * SEGMENTS + j) << 2 * golay.INFO | at[:, i] << golay.INFO | at[:, j]
-                keys.append(head << EXACT_BITS | words[:, third] & (1 << EXACT_BITS) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(node, len(keys)))], ["key", "node"])
+                par.append(parity(h)[None])
+                keys.append(prefix(h, frequent, least))
+            s = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
+            p = np.concatenate(par)
+            ends = np.cumsum([len(k) for k in keys])
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            cols = [b.column(0), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(PARITY)), held]
+            yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in SIGNED.split(", ")])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).where(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) -> np.ndarray:
@@ -236,7 +253,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [np.unique(shingle_hashes(words_of(t), size)) for t in b.column(0).to_pylist()]
+            sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.array([], np.uint64), np.array([], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
@@ -245,36 +262,25 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     return np.sort(np.array([r["h"] for r in seen.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
-def shingle_keys(docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
-    """(key, node, n): of each document's ``n`` distinct shingles the first ones, of which alike documents share one."""
-    frequent = frequent_shingles(docs, id_col, text_col, size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            keys, sizes = [np.array([], np.uint64)], []
-            for t in b.column(1).to_pylist():
-                h = np.unique(shingle_hashes(words_of(t), size))
-                k = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
-                often = np.isin(h, frequent, assume_unique=True)
-                keys.append(np.concatenate([h[~often], h[often]])[:k])
-                sizes.append(len(h))
-            times = [len(k) for k in keys[1:]]
-            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, times), pa.int32())], ["key", "node", "n"])
-
-    known = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string")).where(F.col("node").isNotNull())
-    return known.mapInArrow(run, "key long, node long, n int")
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, set binary): sorted distinct 64-bit shingle hashes."""
+def segment_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node): for each segment the homes of it and of the next one, with each of the Golay indices near the one after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            sets = [np.unique(shingle_hashes(words_of(t), size)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+        for b in pieces(batches, 2048):
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, WIDE), axis=1)
+            words = bits.reshape(len(node), SEGMENTS, golay.LENGTH).astype(np.int64) @ (1 << np.arange(golay.LENGTH))
+            at = golay.home(words)
+            keys, of = [], []
+            for i in range(SEGMENTS):
+                near = golay.keys(words[:, (i + 2) % SEGMENTS])
+                head = (i << golay.INFO | at[:, i]) << golay.INFO | at[:, (i + 1) % SEGMENTS]
+                row, k = np.nonzero(near >= 0)
+                keys.append(head[row] << golay.INFO | near[row, k])
+                of.append(node[row])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], ["key", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string")).mapInArrow(run, "node long, set binary")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -285,83 +291,94 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float, most_bits: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a similarity of ``least`` or more.
-
-    Fingerprints that differ in over ``most_bits`` bits are put aside first, which
-    leaves few texts to look at.
-    """
-    sig = nodes.select("node", *[F.conv(F.hex(F.substring("sig", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(WIDE // 8)])
-    small = nodes.count() <= SIGS_SENT
-    named = lambda end: (lambda d: F.broadcast(d) if small else d)(sig.select(F.col("node").alias(end), *[F.col(f"s{k}").alias(f"{end}{k}") for k in range(WIDE // 8)]))
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE // 8)), F.lit(0))
-    close = materialize(pairs.distinct().join(named("a"), "a").join(named("b"), "b").where(apart <= most_bits).select("a", "b"), "close")
-    return compared(close, docs, id_col, text_col, size, least)
-
-
-def compared(close: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ``close`` whose shingle sets have a similarity of ``least`` or more."""
-    n = close.count()
-    if not n:
-        return close
-    ends = close.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = docs.join(broadcast_if_small(ends, 2 * n, 16), docs[id_col] == ends["end"], "left_semi")
-    sets = materialize(shingle_sets(texts, id_col, text_col, size), "sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            x, y = ([np.frombuffer(s, np.uint64) for s in b.column(k).to_pylist()] for k in (2, 3))
-            keep = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
-            at = pa.array(np.flatnonzero(keep), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
-
-    both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, most_bits: int = 96) -> DataFrame:
-    """(doc_id, group_id): for every non-null doc_id the smallest doc_id of its group."""
-    sigs = materialize(signatures(docs, id_col, text_col), "sigs")
-    nodes = materialize(sigs.groupBy("same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("node")), "nodes")
-    how = (docs, id_col, text_col, size, least)
-    # Golay keys first: what they join needn't be compared again for each of its shingles
-    keys = segment_keys(nodes)
-    first = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "a")
-    first = materialize(first, "first")
-    some = keys.join(broadcast_if_small(first, first.count(), 24), "key").where(F.col("node") != F.col("a"))
-    links = materialize(verified(some.select("a", F.col("node").alias("b")), nodes, *how, most_bits), "links")
-    copies = sigs.join(nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = links.union(materialize(copies, "copies"))
-    found = components(links)
-    keys = materialize(shingle_keys(docs, id_col, text_col, size, least), "keys")
-    several = materialize(keys.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("key"), "several")
-    open_ = keys.join(broadcast_if_small(several, several.count(), 16), "key")  # nodes that not all of their key have been compared with
-    for k in range(ROUNDS + 1):
-        tagged = open_.join(found.select("node", "label"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp"))
-        tagged = materialize(tagged, "tagged")
-        ends = tagged.groupBy("key").agg(F.min(F.struct("comp", "node", "n")).alias("lo"), F.max(F.struct("comp", "node", "n")).alias("hi")).where(F.col("lo.comp") != F.col("hi.comp"))
-        lead = "hi" if k else "lo"
-        split = materialize(ends.select("key", F.col(f"{lead}.node").alias("a"), F.col(f"{lead}.comp").alias("top"), F.col(f"{lead}.n").alias("n_a")), "split")
-        n = split.count()
-        if not n:
-            break
-        tagged = tagged.join(broadcast_if_small(split, n, 32), "key")
-        if k < ROUNDS:
-            pairs = tagged.where(F.col("comp") != F.col("top"))
-            open_ = materialize(tagged.where(F.col("node") != F.col("a")).select("key", "node", "n"), "open")
-        else:
-            pairs = tagged.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a")).join(tagged.select("key", "node", "comp", "n"), "key").where((F.col("comp") != F.col("comp_a")) & (F.col("a") < F.col("node")))
-        pairs = pairs.where(F.least("n", "n_a") >= F.greatest("n", "n_a") * F.lit(least) - 1e-6)  # sets of unlike sizes can't be alike
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        more = materialize(compared(materialize(pairs.distinct(), "close"), *how), "links")
-        if more.limit(1).count():
+@dataclass(frozen=True)
+class Verifier:
+    """Compares candidates (a, b) of ``nodes`` (node, n, p0...) by the shingle sets of their texts."""
+
+    nodes: DataFrame
+    n_nodes: int
+    docs: DataFrame
+    id_col: str
+    text_col: str
+    size: int
+    least: float
+
+    def candidates(self, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        """Distinct pairs that sizes and parities don't rule out; neither test loses a pair of ``least``."""
+        named = lambda end: broadcast_if_small(self.nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"p{k}").alias(f"{end}{k}") for k in range(PARITY)]), self.n_nodes, 12 + 8 * PARITY)
+        apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
+        near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(self.least) - 1e-6) & (apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - self.least) / (1 + self.least)) + 1e-6)
+        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return scratch.keep(both.join(named("a"), "a").join(named("b"), "b").where(near).select("a", "b").distinct(), "close")
+
+    def links(self, pairs: DataFrame, into: Scratch) -> DataFrame:
+        """The pairs that are alike, kept in ``into``."""
+        with Scratch() as scratch:
+            close = self.candidates(pairs, scratch)
+            n = close.count()
+            ends = close.select("a").union(close.select("b")).distinct()
+            texts = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).cast("string").alias("text"))
+            texts = scratch.keep(texts.join(broadcast_if_small(ends.withColumnRenamed("a", "node"), 2 * n, 16), "node", "left_semi"), "texts")
+            size, least = self.size, self.least
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                last: tuple[str | None, np.ndarray] = ("", np.array([], np.uint64))
+                for b in pieces(batches, 256):
+                    keep = []
+                    for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                        if x != last[0]:  # rows of one end follow each other
+                            last = (x, shingle_set(x, size))
+                        keep.append(similarity(last[1], shingle_set(y, size)) >= least)
+                    at = pa.array(np.flatnonzero(keep), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+
+            both = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+            return into.keep(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, group_id), materialised: for every non-null doc_id the smallest doc_id of its group."""
+    with Scratch() as scratch:
+        sigs = scratch.keep(signatures(docs, id_col, text_col, size, least), "sigs")
+        ids = scratch.keep(sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "ids")
+        n = ids.count()
+        same = ["s1", "s2"]
+        own = sigs.withColumnRenamed("doc_id", "node").join(broadcast_if_small(ids, n, 32), [*same, "node"], "left_semi")
+        nodes = scratch.keep(own.drop("keys", *same), "nodes")
+        verifier = Verifier(nodes, n, docs, id_col, text_col, size, least)
+        # a doc_id with several texts joins them, as it is one document
+        apart = sigs.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in same for f in (F.min, F.max)]).where((F.col("min_s1") != F.col("max_s1")) | (F.col("min_s2") != F.col("max_s2")))
+        links = scratch.keep(sigs.join(apart.select("doc_id"), "doc_id").join(ids, same).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "several")
+
+        # Golay keys first: what they join needn't be compared again for each of its shingles
+        keys = segment_keys(nodes)
+        first = scratch.keep(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("times")).where(F.col("times") > 1).select("key", "a"), "first")
+        met = keys.join(broadcast_if_small(first, first.count(), 24), "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+        links = links.union(verifier.links(met, scratch))
+        found = components(links, scratch)
+
+        keys = own.select("node", "n", F.explode("keys").alias("key"))
+        several = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("key"), "several")
+        shared = scratch.keep(keys.join(broadcast_if_small(several, several.count(), 16), "key"), "shared")
+        # a node whose keys are all shared stands in the middle of its group, so it leads in its keys
+        rank = shared.groupBy("node").agg((F.floor(F.count("*") * 100_000 / (F.max("n") * F.lit(1 - least) + 1)) * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("rank"))
+        open_ = scratch.keep(shared.select("key", "node").join(rank, "node"), "open")
+        while True:
+            tagged = scratch.keep(open_.join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp")), "tagged")
+            lead = tagged.groupBy("key").agg(F.max_by("node", "rank").alias("a"), F.max_by("comp", "rank").alias("comp_a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
+            star = scratch.keep(tagged.join(lead, "key").where(F.col("node") != F.col("a")).select("key", "node", "rank", "comp", "a", "comp_a"), "star")
+            more = verifier.links(star.where(F.col("comp") != F.col("comp_a")).select("a", F.col("node").alias("b")), scratch)
+            if not more.limit(1).count():
+                break
             links = links.union(more)
-            found = components(links)
-    groups = nodes.join(found, "node", "left").select("same", F.coalesce("label", "node").alias("group_id"))
-    return sigs.select("doc_id", "same").join(groups, "same").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+            found = components(links, scratch)
+            open_ = star.select("key", "node", "rank")
+        groups = ids.join(found, "node", "left").select(*same, F.coalesce("label", "node").alias("group_id"))
+        return materialize(sigs.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents less all but the smallest doc_id of each group, all columns kept."""
-    gone = near_duplicate_groups(docs, id_col, text_col, **how).where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = unused(docs, "gone")
+    copies = near_duplicate_groups(docs, id_col, text_col, **how).where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(gone))
+    return docs.join(copies, docs[id_col].cast("long") == F.col(gone), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from itertools import combinations
 
@@ -117,15 +118,65 @@ def test_near_duplicates_by_similarity(docs_of, prose):
     assert kept.columns == docs_of(rows).columns and kept.where("doc_id is null").count() == 1
 
 
-def test_a_key_full_of_unlike_nodes_is_compared_in_full(spark, docs_of, prose, monkeypatch):
-    """All nodes share every key: only verification tells the groups."""
+def test_a_key_full_of_unlike_nodes(docs_of, prose, monkeypatch):
+    """All nodes share every Golay key: the shingles tell the groups."""
     monkeypatch.setattr(simhash.golay, "home", lambda w: np.zeros_like(w))
-    monkeypatch.setattr(simhash, "EXACT_BITS", 0)
     rows = [(d, prose(d // 3, 200) + (f" more{d}" if d % 3 else "")) for d in range(30)]
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs_of(rows), most_bits=400).collect()}
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs_of(rows)).collect()}
     assert got == {d: d // 3 * 3 for d in range(30)}
 
 
+def test_sizes_and_parities_rule_out_no_alike_pair():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(r.integers(1, 3000))
+        a = r.integers(0, 1 << 63, n, np.uint64)
+        b = np.unique(np.concatenate([a[: int(n * r.uniform(0.8, 1))], r.integers(0, 1 << 63, int(n * r.uniform(0, 0.2)), np.uint64)]))
+        a = np.unique(a)
+        apart = sum(int(x).bit_count() for x in (simhash.parity(a) ^ simhash.parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+        if simhash.similarity(a, b) >= 0.8:
+            assert apart <= (len(a) + len(b)) * 0.2 / 1.8 + 1e-6 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-6
+            assert np.intersect1d(simhash.prefix(a, a[::3], 0.8), simhash.prefix(b, a[::3], 0.8)).size
+
+
+@pytest.mark.parametrize("copies", [40, 160])
+def test_rows_stay_in_proportion_to_a_group_of_near_copies(docs_of, prose, monkeypatch, copies):
+    """Copies of one text, each changed in its own way and often unlike each other: pairs looked at a copy don't grow."""
+    w, r, rows = prose(77, 200).split(), random.Random(8), []
+    for d in range(copies):
+        v = list(w)
+        for at in r.sample(range(200), 4 if d else 0):
+            v[at] = f"w{d}x{at}"
+        rows.append((d, " ".join(v)))
+    looked = []
+    real = simhash.Verifier.candidates
+
+    def counted(self, pairs, scratch):
+        looked.append(pairs.distinct().count())
+        return real(self, pairs, scratch)
+
+    monkeypatch.setattr(simhash.Verifier, "candidates", counted)
+    got = {x["doc_id"]: x["group_id"] for x in simhash.near_duplicate_groups(docs_of(rows)).collect()}
+    assert set(got.values()) == {0} and sum(looked) <= 8 * copies
+
+
+def test_columns_whose_names_clash(spark, prose):
+    rows = [(1, prose(1, 50), "x"), (2, prose(1, 50), "y"), (None, prose(1, 50), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string").selectExpr("*", "gone as node", "gone as key", "gone as GONE_")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["gone"] for r in kept.collect()) == ["x", "z"]
+
+
+def test_intermediate_tables_are_deleted(spark, docs_of, prose):
+    from rasterloom.llm import common
+
+    base = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(base))
+    simhash.near_duplicate_groups(docs_of([(d, prose(d // 2, 60)) for d in range(8)])).collect()
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before} == {"rasterloom-groups"}
+
+
 def test_no_documents(docs_of):
     assert simhash.fingerprint_groups(docs_of([])).count() == 0
     assert simhash.keep_one(docs_of([])).count() == 0
