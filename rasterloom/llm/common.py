@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="rasterloom-"))
     return base if ":" in base.split("/")[0] else f"file://{base}"
 
@@ -49,6 +51,9 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rasterloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Tasks that files are dealt to at most; each then takes several.
+MOST_TASKS = 20_000
+
 #: Rows that go to a Python worker at once while we write: texts are long.
 BATCH_ROWS = "1000"
 
@@ -104,9 +109,13 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    return rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only for a counted size within the bounds; else leave the join to a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
 
 
 def give_back() -> None:

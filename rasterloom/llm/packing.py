@@ -6,7 +6,8 @@ length; each goes to the open sequence that holds it under every constraint and
 that scores best, by the weighted norm of what would be left (smallest) or the
 weighted dot product of piece and residual (largest).
 
-Pieces are dealt by a hash to groups, one for every ``group_docs`` documents, each
+Pieces are dealt by a hash (of their place too, so that rows that are all alike part)
+to groups, one for every ``group_docs`` documents, each
 packed in one task; a group wastes half a sequence on average, whatever the group count,
 and one long document or source is spread over all groups.  In a group, open
 sequences are kept by residual tokens; for the norm the search goes up from the
@@ -31,28 +32,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import pieces
-from rasterloom.llm.tokens import default_vocabulary, encoder
+from rasterloom.llm.tokens import TOGETHER, default_vocabulary, encoder
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of one sequence.  Documents and attention never bind at the defaults but when set lower."""
+    """Of one sequence.  At the defaults tokens alone bind (documents and attention when set lower), but the loads of all three choose between sequences."""
 
     tokens: int = 1024
     docs: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     rule: str = "norm"
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, size: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, at): only documents of over ``size`` ids are cut, the first piece takes the rest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document, kind = encoder(vocabulary).document, encoder(vocabulary).kind
-        for b in pieces(batches):
+        documents, kind = encoder(vocabulary).documents, encoder(vocabulary).kind
+        for b in pieces(batches, TOGETHER):
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = memoryview(np.frombuffer(document(text), kind).astype("<u4").tobytes())
+            for doc, ids in zip(b.column(0).to_pylist(), documents(b.column(1).to_pylist()), strict=True):
+                raw = memoryview(np.frombuffer(ids, kind).astype("<u4").tobytes())
                 n = len(raw) // 4
                 first = n if n <= size else n % size or size
                 cuts = [0, *range(first, n + 1, size)]
@@ -117,7 +118,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cap = capacity or Capacity()
     groups = max(1, -(-docs.count() // group_docs))
     pieces = pieces_of(docs, id_col, text_col, vocabulary or default_vocabulary(), cap.tokens)
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

@@ -28,15 +28,16 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import drop_written, fresh_dir, pieces
+from rasterloom.llm.common import MOST_TASKS, drop_written, fresh_dir, materialize, pieces
 
 END_ID = 2
 #: Stands for a null doc_id in the files.
@@ -44,6 +45,8 @@ NO_ID = -(1 << 63)
 MAGIC = b"RLTI\x01\x00\x00\x00"
 #: Words that an encoder keeps at most before it starts anew; bounds memory, not what is encoded.
 WORDS_KEPT = 1_000_000
+#: Documents whose words are cut and learnt together.
+TOGETHER = 128
 
 
 def default_vocabulary() -> str:
@@ -72,47 +75,49 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
+        self.blank = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True  # ids that start with a blank
         self.newline = self.ids("\n").tolist()[0]
+        self.end = np.array([END_ID], self.kind).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def learn(self, words: list[str]) -> None:
-        """Words other than blanks keep their bounds when lines separate them, so one call encodes them all."""
-        plain = [w for w in words if not w.isspace()]
-        for w in words if len(plain) < len(words) else ():
+    def learn(self, words: Iterable[str]) -> None:
+        """One call encodes all words of a kind: a blank ahead keeps a word's bounds, and so do lines between the others."""
+        led, plain = [], []
+        for w in words:
             if w.isspace():
                 self.kept[w] = self.ids(w).tobytes()
-        if not plain:
-            return
-        ids = self.ids("\n".join(plain))
-        cuts = np.flatnonzero(ids == self.newline)
-        if len(cuts) != len(plain) - 1:
-            self.kept |= {w: self.ids(w).tobytes() for w in plain}
+            else:
+                (led if w[0] == " " else plain).append(w)
+        if led:
+            ids = self.ids("".join(led))
+            starts = np.flatnonzero(self.blank[ids])
+            self.keep(led, ids, starts, np.append(starts[1:], len(ids)))
+        if plain:
+            ids = self.ids("\n".join(plain))
+            cuts = np.flatnonzero(ids == self.newline)
+            self.keep(plain, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+
+    def keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(starts) != len(words):  # the bounds can't be told
+            self.kept |= {w: self.ids(w).tobytes() for w in words}
             return
         raw, size = ids.tobytes(), ids.itemsize
-        starts = [0, *(size * (cuts + 1)).tolist()]
-        ends = [*(size * cuts).tolist(), len(raw)]
-        self.kept.update(zip(plain, [raw[a:z] for a, z in zip(starts, ends, strict=True)], strict=True))
-
-    def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
-            return self.ids(text).tobytes()
-        words = WORD.findall(text)
-        found = list(map(self.kept.get, words))
-        try:
-            return b"".join(found)
-        except TypeError:  # a word that hasn't been met
-            new = {w for w, v in zip(words, found, strict=True) if v is None}
-            if len(self.kept) + len(new) > WORDS_KEPT:
-                self.kept.clear()
-                new = set(words)
-            self.learn(list(new))
-            return b"".join(map(self.kept.__getitem__, words))
-
-    def document(self, text: str | None) -> bytes:
-        """A text's ids and the end id."""
-        return self.encode(text or "") + np.array([END_ID], self.kind).tobytes()
+        self.kept.update(zip(words, [raw[a:z] for a, z in zip((size * starts).tolist(), (size * ends).tolist(), strict=True)], strict=True))
+
+    def documents(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids and the end id; the words that haven't been met are learnt together."""
+        words = [WORD.findall(t) if PLAIN.fullmatch(t) else None for t in (t or "" for t in texts)]
+        every = set().union(*filter(None, words))
+        new = every.difference(self.kept)
+        if len(self.kept) + len(new) > WORDS_KEPT:
+            self.kept.clear()
+            new = every
+        self.learn(new)
+        of = self.kept.__getitem__
+        return [(self.ids(t or "").tobytes() if w is None else b"".join(map(of, w))) + self.end for t, w in zip(texts, words, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -189,7 +194,7 @@ def put_file(uri: str, raw: bytes) -> None:
     """Whole or not at all: written beside and renamed."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    beside = f"{path}.{os.getpid()}.part"
+    beside = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(beside) as f:
         f.write(raw)
     fs.move(beside, path)
@@ -208,13 +213,17 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> Dat
     """(doc_id, ids binary): each document's ids and the end id, in the encoder's kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document = encoder(vocabulary).document
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(document, b.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+        documents = encoder(vocabulary).documents
+        for b in pieces(batches, TOGETHER):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(documents(b.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
+#: Bytes of ids of a shard, on average.
+SHARD_BYTES = 32 << 20
+
+
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, shard_docs: int = 4096) -> DataFrame:
     """Encode every text and write the shards; returns the manifest (shard, first_doc_id, docs, n_ids, path), materialised.
 
@@ -245,8 +254,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     put_file(f"{folder}/ranks.u4", by_rank.tobytes())
     ranks = f"{folder}/ranks.u4"
 
-    docs_n = ids.count()
-    parts = max(1, -(-docs_n // shard_docs))
+    size = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("b")).first()
+    parts = max(1, -(-size["n"] // shard_docs), -(-size["b"] // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -268,20 +277,26 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             put_file(path, shard_bytes(np.array(doc_ids), np.array(counts), np.concatenate(codes)))
             yield pa.RecordBatch.from_pydict({"shard": [shard], "first_doc_id": [doc_ids[0]], "docs": [len(doc_ids)], "n_ids": [int(sum(counts))], "path": [path]})
 
-    ordered = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
-    schema = "shard long, first_doc_id long, docs long, n_ids long, path string"
-    out = spark.createDataFrame(ordered.mapInArrow(write, schema).collect(), schema)  # a row a shard
+    by = ["doc_id", "h", "m"]  # the last one lets ranges part rows that are all alike
+    ordered = ids.withColumn("h", F.xxhash64("ids")).withColumn("m", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "ids")
+    out = materialize(ordered.mapInArrow(write, "shard long, first_doc_id long, docs long, n_ids long, path string"), "manifest")
     drop_written(spark, kept)
     return out
 
 
+#: Shards whose sizes are summed in one task.
+GROUP = 4096
+
+
 def read_token_files(spark: SparkSession, manifest: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shards."""
-    rows = sorted(manifest.collect(), key=lambda r: r["shard"])  # a row a shard, not a document
-    base, at = {}, 0
-    for r in rows:
-        base[r["path"]], at = at, at + r["n_ids"]
-    todo = spark.createDataFrame([(p, s) for p, s in base.items()] or [], "path string, base long").repartition(max(1, len(base)))
+    # sums of what stands before: of groups of shards first, then within a group
+    shards = manifest.withColumn("of", F.floor(F.col("shard") / GROUP))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    groups = shards.groupBy("of").agg(F.sum("n_ids").alias("n")).select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("of").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    todo = shards.withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(groups, "of").select("path", (F.col("before") + F.col("own")).alias("base"))
+    todo = todo.repartition(max(1, min(manifest.count(), MOST_TASKS)), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = None

@@ -25,14 +25,14 @@ def ids(enc, text):
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sré1²½_-.<|>")), max_size=40))
 def test_words_make_the_ids_of_the_text(text):
     e = tokens.encoder(tokens.default_vocabulary())
-    assert np.frombuffer(e.encode(text), e.kind).tolist() == ids(e, text)
+    assert np.frombuffer(e.documents([text])[0], e.kind).tolist() == [*ids(e, text), 2]
 
 
 def test_forgetting_words_changes_nothing(enc, monkeypatch, prose):
     monkeypatch.setattr(tokens, "WORDS_KEPT", 20)
     for k in range(10):
-        t = prose(k, 30) + "\n\n  it's"
-        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == ids(enc, t)
+        t = [prose(k, 30) + "\n\n  it's", None, prose(k + 1, 9) + " 12, ('x') 日"]
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.documents(t)] == [[*ids(enc, x or ""), 2] for x in t]
 
 
 @settings(max_examples=80, deadline=None)
@@ -66,6 +66,15 @@ def test_files(spark, docs_of, prose, enc):
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_alike_rows_go_to_several_shards(spark, docs_of, enc, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 2)
+    folder = common.fresh_dir(spark, "t")
+    m = tokens.write_token_files(docs_of([(7, "all alike")] * 80).repartition(4), folder, shard_docs=20)
+    n = len(ids(enc, "all alike")) + 1
+    assert m.count() >= 3 and m.agg({"docs": "max"}).first()[0] <= 40
+    assert sorted(r["start"] for r in tokens.read_token_files(spark, m, f"{folder}/ranks.u4").collect()) == [n * k for k in range(80)]
+
+
 def test_no_documents(spark, docs_of):
     folder = common.fresh_dir(spark, "t")
     m = tokens.write_token_files(docs_of([]), folder)
@@ -112,6 +121,34 @@ def test_every_constraint_holds(rule, cap):
     check(rows, c)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_documents_and_attention_choose_between_sequences(rule):
+    """Against a brute force that looks at every open sequence."""
+    n = np.random.default_rng(3).integers(1, 900, 300)
+    c = packing.Capacity(rule=rule)
+    t, d, a = c.tokens, c.docs, c.attention
+    open_: list[list[int]] = []
+    want = [0] * len(n)
+    for i in np.argsort(-n, kind="stable").tolist():
+        x = int(n[i])
+        scored = []
+        for k, (used, docs, att) in enumerate(open_):
+            if used + x <= t and docs < d and att + x * x <= a:
+                left = ((t - used - x) / t, (d - docs - 1) / d, (a - att - x * x) / a)
+                now = (x * (t - used) / t**2, (d - docs) / d**2, x * x * (a - att) / a**2)
+                scored.append((sum(w * v * v for w, v in zip(c.weights, left, strict=True)) if rule == "norm" else -sum(w * v for w, v in zip(c.weights, now, strict=True)), k))
+        k = min(scored)[1] if scored else len(open_)
+        if k == len(open_):
+            open_.append([0, 0, 0])
+        want[i] = k
+        open_[k] = [open_[k][0] + x, open_[k][1] + 1, open_[k][2] + x * x]
+    got = packing.pack(n, c)[0]
+    assert got.max() + 1 == len(open_)
+    kinds = lambda b: sorted(tuple(sorted(n[np.asarray(b) == k].tolist())) for k in range(max(b) + 1))
+    assert kinds(got) == kinds(want)
+    assert kinds(got) != kinds(packing.pack(n, packing.Capacity(rule=rule, weights=(1.0, 0.0, 0.0)))[0])
+
+
 def test_norm_is_best_fit_when_tokens_alone_count():
     c = packing.Capacity(10, 100, 10**6, (1.0, 0.0, 0.0))
     bins, _ = packing.pack(np.array([6, 5, 4, 4, 3]), c)
