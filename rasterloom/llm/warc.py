@@ -11,7 +11,9 @@ date, the type from what is to become of it, SHA-256 digests of block and
 payload.  A payload that an earlier record holds becomes a ``revisit`` of that
 record and keeps the HTTP header only.
 
-Pages are dealt to archives of bounded size by a hash of their id.  Executors
+Pages are dealt to archives by a hash, which also splits rows that are all alike:
+about ``PAGES`` pages or ``ARC_BYTES`` each, whichever are more archives.  Archives are
+written, converted and read in as many tasks, ``MOST_TASKS`` at most.  Executors
 write archives to the shared folder by a rename, under names that don't depend on
 the attempt, and are never asked for what they wrote before: a lost executor
 costs the repetition of its archives.
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import fresh_dir, materialize
+from rasterloom.llm.common import MOST_TASKS, Scratch, drop_written, fresh_dir, materialize
 from rasterloom.llm.tokens import get_file, put_file
 
 #: Header fields by version (fixed values of the format).
@@ -52,6 +54,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 100
 #: Pages of an archive on average.
 PAGES = 2048
+#: And bytes of html.
+ARC_BYTES = 64 << 20
 
 
 @dataclass
@@ -199,11 +203,12 @@ def convert(raw: bytes, firsts: dict[str, dict] | None = None, info: bytes = b"s
 DATE = "20240101000000"
 
 
-def write_arcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = PAGES) -> DataFrame:
-    """Write the pages as ARC files of both versions; returns their index (arc, key, page_id, url, bytes, digest)."""
-    files = max(1, -(-pages.count() // per_file))
+def write_arcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = PAGES, scratch: Scratch | None = None) -> DataFrame:
+    """Write the pages as ARC files of both versions; returns their index (arc, key, page_id, url, bytes, digest), which goes with ``scratch``."""
+    size = pages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(html_col).cast("string"))), F.lit(0)).alias("b")).first()
+    files = max(1, -(-size["n"] // per_file), -(-size["b"] // ARC_BYTES))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("urn:unknown")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("arc", F.pmod(F.xxhash64("page_id", "url"), F.lit(files)))
+    rows = rows.withColumn("arc", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(files)))
 
     def run(key, t):
         arc = key[0].as_py()
@@ -222,7 +227,8 @@ def write_arcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         cols = zip(*index, strict=True)
         return pa.table(dict(zip(("arc", "key", "page_id", "url", "bytes", "digest"), [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], strict=True)))
 
-    return materialize(rows.groupBy("arc").applyInArrow(run, "arc long, key string, page_id long, url string, bytes long, digest string"), "arc-index")
+    dealt = rows.repartition(min(files, MOST_TASKS), "arc")
+    return (scratch.keep if scratch else materialize)(dealt.groupBy("arc").applyInArrow(run, "arc long, key string, page_id long, url string, bytes long, digest string"), "arc-index")
 
 
 def first_holders(index: DataFrame, least: int = LEAST) -> DataFrame:
@@ -233,8 +239,10 @@ def first_holders(index: DataFrame, least: int = LEAST) -> DataFrame:
     return big.select("arc", "key", "digest").join(holder, "digest").where(F.col("key") != F.col("of.key")).select("arc", "key", "of")
 
 
-def convert_arcs(index: DataFrame, folder: str) -> DataFrame:
-    """Convert every ARC file of the index beside it; returns (path, records), materialised."""
+def convert_arcs(index: DataFrame, folder: str, to: str | None = None) -> DataFrame:
+    """Convert every ARC file of the index into ``to``, or beside it; returns (path, size), materialised."""
+    to = to or folder
+    tasks = max(1, min(index.agg(F.max("arc")).first()[0] or 0, MOST_TASKS - 1) + 1)
     revisits = first_holders(index).select("arc", "key", F.col("of.key").alias("of_key"), F.col("of.url").alias("of_url"), F.col("of.page_id").alias("of_page"))
     todo = index.select("arc", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("of_key"), F.lit(None).cast("string").alias("of_url"), F.lit(None).cast("long").alias("of_page")).distinct().unionByName(revisits)
 
@@ -243,11 +251,11 @@ def convert_arcs(index: DataFrame, folder: str) -> DataFrame:
         own = pdf[pdf["key"].notna()]
         firsts = {k: {"id": identifier(bare(u), DATE, o), "key": "" if pd.isna(p) else str(int(p))} for k, o, u, p in zip(own["key"], own["of_key"], own["of_url"], own["of_page"], strict=True)}
         raw = convert(get_file(f"{folder}/pages-{arc:08d}.arc.gz"), firsts)
-        path = f"{folder}/pages-{arc:08d}.warc.gz"
+        path = f"{to}/pages-{arc:08d}.warc.gz"
         put_file(path, raw)
         return pd.DataFrame({"path": [path], "size": [len(raw)]})
 
-    return materialize(todo.groupBy("arc").applyInPandas(run, "path string, size long"), "warcs")
+    return materialize(todo.repartition(tasks, "arc").groupBy("arc").applyInPandas(run, "path string, size long"), "warcs")
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
@@ -273,10 +281,16 @@ def read_warcs(files: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return files.select("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = files.select("path").repartition(max(1, min(files.count(), MOST_TASKS)), "path")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, **cols) -> DataFrame:
-    """Pages to ARC files, those to WARC files, and what these hold."""
-    folder = fresh_dir(pages.sparkSession, "archives")
-    return read_warcs(convert_arcs(write_arcs(pages, folder, **cols), folder))
+    """Pages to ARC files, those to WARC files, and what these hold; only the WARC files stay."""
+    spark = pages.sparkSession
+    old, new = fresh_dir(spark, "arc"), fresh_dir(spark, "warc")
+    with Scratch() as scratch:
+        index = write_arcs(pages, old, scratch=scratch, **cols)
+        files = convert_arcs(index, old, new)
+        drop_written(spark, old)
+    return read_warcs(files)

@@ -44,14 +44,13 @@ def test_conversion():
     assert warc.convert(raw) == warc.convert(raw)
 
 
-def test_pages(spark, monkeypatch):
-    monkeypatch.setattr(warc.write_arcs, "__defaults__", ("page_id", "url", "html", 7))
+def test_pages(spark):
     same, long = "x" * 100, "é" * 60
     rows = [(d, f"http://h/{d}", f"<p>{d}</p>") for d in range(40)]
     rows += [(100, "u", same), (50, "u\nv w", same), (101, None, same), (102, "u", same[:-1]), (103, "u", same[:-1]), (104, "u", None), (105, "u", ""), (106, "a", long), (107, "b", long), (None, "n", "null id"), (108, "u", "WARC/1.1\r\n\r\n" * 20)]
     rows += [(200, "u", "twice " * 30), (200, "u", "twice " * 30)]
     d = spark.createDataFrame([(*r, 1) for r in rows], PAGES)
-    got = warc.archive_pages(d).collect()
+    got = warc.archive_pages(d, per_file=7).collect()
     first = {}
     for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         first.setdefault(h or "", i)
@@ -64,5 +63,20 @@ def test_pages(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_alike_rows_and_long_pages_are_spread_over_archives(spark, monkeypatch):
+    from rasterloom.llm import common
+
+    monkeypatch.setattr(warc, "ARC_BYTES", 200_000)
+    rows = [(1, "u", "alike " * 30, 1)] * 60 + [(2, "u", "long " * 200_000, 1)]
+    folder = common.fresh_dir(spark, "arc")
+    index = warc.write_arcs(spark.createDataFrame(rows, PAGES).repartition(3), folder, per_file=10)
+    counts = [r["count"] for r in index.groupBy("arc").count().collect()]
+    assert len(counts) >= 5 and max(counts) <= 20
+    files = warc.convert_arcs(index, folder)
+    assert files.count() == len(counts)
+    got = warc.read_warcs(files).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == sorted([(1, 180, "response")] + [(1, 180, "revisit")] * 59 + [(2, 1_000_000, "response")])
+
+
 def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], PAGES)).count() == 0
