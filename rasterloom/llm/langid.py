@@ -9,7 +9,7 @@ that of most letters.
 
 Training looks at text and non-null language of the training rows only: a
 sample of ``TRAIN_DOCS`` texts over all languages, as many of each, chosen by a
-hash, of at most ``TRAIN_BYTES`` each.  Prediction looks at whole texts, and at
+hash, of at most ``TRAIN_BYTES`` each; this alone bounds what a model holds.  Prediction looks at whole texts, and at
 nothing but the text.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter;
@@ -36,6 +36,8 @@ from rasterloom.llm.common import pieces
 TRAIN_DOCS, TRAIN_BYTES = 4000, 50_000
 SWITCH, WORST, BARRED = 8.0, -6.0, -12.0
 WORDS_KEPT = 400_000
+#: Of a language in a path.
+PLACE = np.int32
 UNDETERMINED = "und"
 #: First code points of script ranges (fixed values of Unicode): (start, end, script).
 SCRIPTS = (
@@ -66,8 +68,8 @@ def trigrams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
-def fit(rows: list[tuple[str, str]], least: int = 5, most_words: int = 50_000) -> Model:
-    """``rows``: (text, language)."""
+def fit(rows: list[tuple[str, str]], least: int = 5) -> Model:
+    """``rows``: (text, language).  Words seen less than ``least`` times in all are too rare for counts: their trigrams score them."""
     counts: dict[str, Counter] = defaultdict(Counter)
     for text, lang in rows:
         counts[lang].update(WORD.findall(text.lower()))
@@ -87,7 +89,7 @@ def fit(rows: list[tuple[str, str]], least: int = 5, most_words: int = 50_000) -
     kinds = len(grams)
     all_grams = sum(grams.values())
     log = lambda n, t, v: np.log((n + 0.1) / (t + 0.1 * v))
-    words = {w: log(np.array([counts[k][w] for k in langs]), total, len(every)) for w, n in every.most_common(most_words) if n >= least}
+    words = {w: log(np.array([counts[k][w] for k in langs]), total, len(every)) for w, n in sorted(every.items()) if n >= least}
     return Model(
         langs,
         {s: (n >= 0.01 * total).tolist() for s, n in scripts.items()},
@@ -143,16 +145,16 @@ class Tagger:
         sizes = np.array([len(ids[i]) for i in order])
         longest = int(sizes.max(initial=0))
         if not longest:
-            return [np.zeros(0, np.int8) for _ in texts]
+            return [np.zeros(0, PLACE) for _ in texts]
         live = np.searchsorted(-sizes, -np.arange(longest), "left")  # texts with more than t words
         starts = np.concatenate([[0], np.cumsum(live)])
         flat = np.empty(int(starts[-1]), np.int64)  # by place, then text
         for k, i in enumerate(order):
             flat[starts[: sizes[k]] + k] = ids[i]
-        best_of = np.zeros(len(flat), np.int8)
+        best_of = np.zeros(len(flat), PLACE)
         moved = np.zeros((len(flat), self.n), bool)
         state = np.zeros((len(texts), self.n), np.float32)
-        last = np.zeros(len(texts), np.int8)
+        last = np.zeros(len(texts), PLACE)
         for t in range(longest):
             a, m = starts[t], live[t]
             now = state[:m]
@@ -165,7 +167,7 @@ class Tagger:
             state[:m] = now + self.rows[flat[a : a + m]]
             done = live[t + 1] if t + 1 < longest else 0
             last[done:m] = state[done:m].argmax(axis=1)
-        tags = np.empty(len(flat), np.int8)
+        tags = np.empty(len(flat), PLACE)
         cur = last.copy()
         for t in range(longest - 1, -1, -1):
             a, m = starts[t], live[t]
@@ -173,7 +175,7 @@ class Tagger:
             if t:
                 go = moved[np.arange(a, a + m), cur[:m]]
                 cur[:m] = np.where(go, best_of[a : a + m], cur[:m])
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        out: list[np.ndarray] = [np.zeros(0, PLACE)] * len(texts)
         for k, i in enumerate(order):
             out[i] = tags[starts[: sizes[k]] + k]
         return out
@@ -191,7 +193,7 @@ class Tagger:
         words = [WORD.findall(t.lower()) if t and self.n else [] for t in texts]
         langs, scores = [], []
         for w, path in zip(words, self.paths(words), strict=True):
-            if not any(map(str.isalpha, w)):  # numerals beyond 0-9 match like letters
+            if not any(any(map(str.isalpha, x)) for x in w):  # numerals beyond 0-9 match like letters
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
