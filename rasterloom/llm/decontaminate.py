@@ -5,8 +5,10 @@ window stands in a document, one of the document's 7-word runs at every seventh
 word lies wholly in it; so only those runs are hashed and looked up among the
 7-word runs of the windows (for shorter windows, runs and steps of half their
 length), and the windows around a hit are then looked up and verified word by
-word.  Both sets of hashes are broadcast when their counted size allows, and
-shuffled otherwise.  The few verified spans are gathered per document.
+word.  The sets are broadcast when their counted size allows.  Otherwise only the
+places and hashes of the runs are shuffled, in proportion to the texts; the words of
+documents with a hit are joined back, and only their windows are looked up.  The few
+verified spans are gathered per document.
 
 Defined results: a null or word-less text has no windows, no hits and is never
 contaminated.  A document that occurs twice is judged twice, alike.  Item ids
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import ascii_lower, broadcast_if_small, materialize
+from rasterloom.llm.common import ascii_lower, fits_broadcast, materialize, unused
 
 #: A word of a lower-cased text is a run of ASCII letters, digits and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,20 +60,30 @@ def window_hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_
     grams = materialize(grams, "grams")
     stats = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m"), F.collect_set(F.size("gram")).alias("ks")).first()
     lengths = sorted(stats["ks"]) or [WINDOW]
-    side = broadcast_if_small(grams, stats["n"], 64 * WINDOW + 64 * (stats["m"] // max(1, stats["n"]) + 1))
+    small = fits_broadcast(stats["n"], 64 * WINDOW + 64 * (stats["m"] // max(1, stats["n"]) + 1)) and fits_broadcast(stats["n"] * WINDOW, 16)
+    side = F.broadcast(grams) if small else grams
     run = lambda k: F.floor((k + 2) / 2).cast("int")
     size = F.size("gram")
     runs = grams.select(F.explode(F.transform(F.sequence(F.lit(1), size - run(size) + 1), lambda j: F.xxhash64(size, F.slice("gram", j, run(size))))).alias("rh")).distinct()
-    runs = broadcast_if_small(runs, stats["n"] * WINDOW, 16)
+    runs = F.broadcast(runs) if small else runs
 
-    scan = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
+    scan = texts
     scan = scan.withColumn("k", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
     scan = scan.where(F.size("w") >= F.col("k")).withColumn("g", run(F.col("k")))
     scan = scan.select("id", "text_hash", "w", "k", "g", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("g") + 1, F.col("k") - F.col("g") + 1)).alias("p"))
-    near = scan.withColumn("h1", F.xxhash64("k", F.slice("w", F.col("p"), F.col("g")))).join(runs, F.col("h1") == F.col("rh"))
+    scan = scan.withColumn("h1", F.xxhash64("k", F.slice("w", F.col("p"), F.col("g"))))
+    if small:
+        near = scan.join(runs, F.col("h1") == F.col("rh"))
+    else:  # a document's places are no more than its words
+        places = scan.select("id", "text_hash", "k", "g", "p", "h1").join(runs, F.col("h1") == F.col("rh")).groupBy("id", "text_hash").agg(F.collect_set(F.struct("k", "g", "p")).alias("places"))
+        places = places.withColumnsRenamed({"id": "place_id", "text_hash": "place_hash"})
+        near = texts.dropDuplicates(["id", "text_hash"]).join(places, F.col("id").eqNullSafe(F.col("place_id")) & (F.col("text_hash") == F.col("place_hash"))).select("id", "text_hash", "w", F.inline("places"))
     starts = F.sequence(F.greatest(F.lit(1), F.col("p") + F.col("g") - F.col("k")), F.least(F.col("p"), F.size("w") - F.col("k") + 1))
     near = near.select("id", "text_hash", "w", "k", F.explode(starts).alias("at")).withColumn("wh", F.xxhash64(F.slice("w", F.col("at"), F.col("k"))))
     seen = F.slice("w", F.col("at"), F.col("k"))
+    if not small:
+        near, seen = near.select("id", "text_hash", "k", "at", "wh", seen.alias("seen")), F.col("seen")
     hits = near.join(side, (F.col("wh") == F.col("h")) & (seen >= F.col("gram")) & (seen <= F.col("gram")))
     hits = hits.select("id", "text_hash", F.struct(F.col("at").alias("s"), F.col("k").alias("k")).alias("span"), "items")
     return hits.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
@@ -114,9 +126,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The documents, all columns kept, less contaminated ones (``drop``) or less the hit words of those (``cut``)."""
     if mode not in ("drop", "cut"):
         raise ValueError(f"mode: {mode}")
-    bad = judge(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col("id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"), F.col("spans").alias("__bad_spans")).dropDuplicates(["__bad_id", "__bad_hash"])
-    same = docs[id_col].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs[text_col]) == bad["__bad_hash"])
+    b_id, b_hash, b_spans = (unused(docs, c) for c in ("bad_id", "bad_hash", "bad_spans"))
+    bad = judge(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col("id").alias(b_id), F.col("text_hash").alias(b_hash), F.col("spans").alias(b_spans)).dropDuplicates([b_id, b_hash])
+    same = docs[id_col].eqNullSafe(bad[b_id]) & (F.xxhash64(docs[text_col]) == bad[b_hash])
     if mode == "drop":
         return docs.join(bad, same, "left_anti")
-    cut = F.when(F.col("__bad_spans").isNull(), docs[text_col]).otherwise(without_spans(docs[text_col], F.col("__bad_spans")))
+    cut = F.when(F.col(b_spans).isNull(), docs[text_col]).otherwise(without_spans(docs[text_col], F.col(b_spans)))
     return docs.join(bad, same, "left").select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])

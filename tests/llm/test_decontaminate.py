@@ -65,7 +65,7 @@ def test_brute_force(spark, docs_of, case):
 
 def test_without_broadcast(spark, docs_of, case, monkeypatch):
     docs, bench = case
-    monkeypatch.setattr(D, "broadcast_if_small", lambda df, rows, size: df)
+    monkeypatch.setattr(D, "fits_broadcast", lambda rows, size: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert ours(D.judge(docs_of(docs), spark.createDataFrame(bench, "item_id int, text string"))) == brute(docs, bench)
