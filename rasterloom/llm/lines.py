@@ -7,7 +7,7 @@ a host with a third of all pages is spread by its lines; the lines behind the
 few hashes that pass are then counted by their text, which makes it exact.
 
 The lines found go back to the pages by a broadcast if their counted size is
-within bounds; else pages are taken apart, their lines joined on (host, line)
+within bounds, of any host too; else pages are taken apart, their lines joined on (host, line)
 and put together again, page by page.
 
 Defined results: a line is what stands between line feeds, compared without
@@ -25,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, materialize
+from rasterloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, materialize, unused
 
 RATIO, LEAST_PAGES = 0.01, 5
+#: Lines of a host that each of its pages is searched for; hosts of more go by the join.
+LINES_A_HOST = 256
 #: Of a host's pages, for hosts of few; below it two near copies would lose what they share.
 SHARE = 0.25
 
@@ -65,21 +67,23 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
 
     ``broadcast``: None decides by size; False takes the way for sets of any size.
     """
-    found = materialize(boilerplate(docs, host_col, text_col, ratio, least_pages, once, share).select(F.col("host").alias("__host"), F.col("line").alias("__line")), "boilerplate")
+    h, ln, bad, row, at, raw, null, kept = (unused(docs, c) for c in ("host_", "line_", "bad_", "row_", "at_", "raw_", "null_", "kept_"))
+    found = materialize(boilerplate(docs, host_col, text_col, ratio, least_pages, once, share).select(F.col("host").alias(h), F.col("line").alias(ln)), "boilerplate")
     host = F.coalesce(docs[host_col].cast("string"), F.lit(""))
     if broadcast is None:
-        size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__line") + F.octet_length("__host") + 32), F.lit(0)).alias("b")).first()
-        broadcast = size["n"] <= BROADCAST_ROWS and size["b"] <= BROADCAST_BYTES
+        hosts = found.groupBy(h).agg(F.count("*").alias("n"), F.sum(F.octet_length(ln) + F.octet_length(h) + 32).alias("b"))
+        size = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+        broadcast = size["n"] <= BROADCAST_ROWS and size["b"] <= BROADCAST_BYTES and size["most"] <= LINES_A_HOST
     if broadcast:
-        of = F.broadcast(found.groupBy("__host").agg(F.collect_set("__line").alias("__bad")))
-        kept = F.array_join(F.filter(_lines(docs[text_col]), lambda x: ~F.array_contains(F.col("__bad"), _bare(x))), "\n")
-        text = F.when(F.col("__bad").isNull(), docs[text_col]).otherwise(kept)
-        return docs.join(of, host == F.col("__host"), "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+        of = F.broadcast(found.groupBy(h).agg(F.collect_set(ln).alias(bad)))
+        left = F.array_join(F.filter(_lines(docs[text_col]), lambda x: ~F.array_contains(F.col(bad), _bare(x))), "\n")
+        text = F.when(F.col(bad).isNull(), docs[text_col]).otherwise(left)
+        return docs.join(of, host == F.col(h), "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
     names = docs.columns
-    rows = materialize(docs.withColumn("__row", F.struct(F.monotonically_increasing_id(), F.xxhash64(text_col))), "rows")
-    parts = rows.select("__row", F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.posexplode(_lines(F.col(text_col))).alias("__at", "__text")).withColumn("__line", _bare(F.col("__text")))
-    left = parts.join(found, ["__host", "__line"], "left_anti")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__text"))), lambda x: x["__text"]), "\n")
-    back = left.groupBy("__row").agg(text.alias("__kept"))
-    joined = rows.drop(text_col).join(rows.select("__row", F.col(text_col).isNull().alias("__null")), "__row").join(back, "__row", "left")
-    return joined.select(*[F.when(~F.col("__null"), F.coalesce("__kept", F.lit(""))).alias(c) if c == text_col else F.col(c) for c in names])
+    rows = materialize(docs.withColumn(row, F.struct(F.monotonically_increasing_id(), F.xxhash64(text_col))), "rows")
+    parts = rows.select(row, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias(h), F.posexplode(_lines(F.col(text_col))).alias(at, raw)).withColumn(ln, _bare(F.col(raw)))
+    left = parts.join(found, [h, ln], "left_anti")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, raw))), lambda x: x[raw]), "\n")
+    back = left.groupBy(row).agg(text.alias(kept))
+    joined = rows.drop(text_col).join(rows.select(row, F.col(text_col).isNull().alias(null)), row).join(back, row, "left")
+    return joined.select(*[F.when(~F.col(null), F.coalesce(kept, F.lit(""))).alias(c) if c == text_col else F.col(c) for c in names])
