@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained separately: one on ordinary text, one on
 toxic text.  What counts as toxic text is found among the texts labelled so: the
 words that many of them show in contexts of their own and few others do (copies
 of a text repeat its contexts, so they don't count).  A window is a word, or 64
-bytes of a longer one, between two fixed carriers that both dictionaries hold;
+bytes at every 32nd of a longer one, between two fixed carriers that both dictionaries hold;
 without these, zstd stores so short an input as it is.  A window's gain is what
 the toxic dictionary saves against the better of the ordinary dictionary and of
 the carriers alone.  How many distinct windows reach each of several gains, and
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import pieces
+from rasterloom.llm.common import broadcast_if_small, pieces
 
 TRAIN_DOCS, TRAIN_BYTES = 2000, 50_000
 #: Standard errors by which the toxic texts that show a word must be more, for as many texts, than the others.
@@ -98,7 +98,7 @@ class Scorer:
 
     def gain(self, word: bytes) -> int:
         best = 0
-        for at in range(0, len(word), WINDOW):
+        for at in range(0, max(1, len(word) - WINDOW // 2), WINDOW // 2):  # halves overlap, so that no term is cut
             part = word[at : at + WINDOW]
             x = CARRIER + b" " + part + b" " + CARRIER
             t = len(self.toxic(x))
@@ -200,8 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = {y: min(1.0, TRAIN_DOCS / n) for y, n in counts.items()}
     unit = F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(unit < F.when(F.col("__y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    texts = docs.where(F.octet_length(text_col) <= TRAIN_BYTES).join(F.broadcast(chosen), docs[id_col] == F.col("__id"))  # TRAIN_DOCS of a label, give or take the hash
-    return fit([(r["t"], r["y"], 1 / share[r["y"]]) for r in texts.select(docs[text_col].alias("t"), F.col("__y").alias("y")).collect()])
+    few = sum(min(n, 2 * TRAIN_DOCS) for n in counts.values()) + 1
+    texts = docs.where(F.octet_length(text_col) <= TRAIN_BYTES).select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
+    texts = texts.join(broadcast_if_small(chosen, few, 24), "__id")  # TRAIN_DOCS of a label, give or take the hash
+    return fit([(r["t"], r["__y"], 1 / share[r["__y"]]) for r in texts.select("t", "__y").collect()])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
