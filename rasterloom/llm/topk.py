@@ -2,9 +2,9 @@
 
 Vectors become integers, floor(scale * x).  Candidates are dealt to blocks of
 bounded size.  A block's index holds its postings (vector, dimension, value) in
-segments of falling quantised impact, the absolute value of the component.  For
+segments of falling quantised impact, the power of two of the component.  For
 a block of queries the segments are processed from the highest impact on; each
-adds its part to the scores.  What a candidate can still gain or lose after a
+adds its part to the scores of the vectors it has postings of.  What a candidate can still gain or lose after a
 segment is bounded by Cauchy and Schwarz over the components that haven't been
 processed; processing stops for good when, for every query, the candidates that
 may still be among the k are few, which is a proof for all the others.  The
@@ -62,24 +62,34 @@ def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 
 class ImpactIndex:
-    """Segments of one block of candidates, by falling impact."""
+    """Postings (vector, dimension, value) of one block of candidates, in segments of falling quantised impact.
+
+    The impact is the power of two below which the component lies, counted down
+    from the largest; zero components have no postings.
+    """
 
     def __init__(self, values: np.ndarray, segments: int = 6):
-        size = np.abs(values)
-        top = float(size.max(initial=0.0))
-        # thresholds halve, so that the first segments hold the few components that matter most
-        self.bounds = [top / 2**k for k in range(1, segments)] + [-1.0]
-        self.values = values
-        self.size = size
-
-    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(part, norm of what is left) of each segment in turn."""
-        above = np.inf
-        for low in self.bounds:
-            now = (self.size > low) & (self.size <= above)
-            left = np.where(self.size <= low, self.values, 0.0)
-            yield np.where(now, self.values, 0.0), np.sqrt((left * left).sum(axis=1))
-            above = low
+        self.shape = values.shape
+        vec, dim = np.nonzero(values)
+        val = values[vec, dim]
+        size = np.abs(val)
+        level = np.minimum(segments - 1, np.floor(np.log2(size.max(initial=1.0)) - np.log2(size)).astype(np.int64))
+        order = np.argsort(level, kind="stable")
+        self.vec, self.dim, self.val = vec[order], dim[order], val[order]
+        self.cuts = np.searchsorted(level[order], np.arange(segments + 1))
+
+    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(vectors, their part, norm of what is left of each vector) of each segment in turn."""
+        spans = [slice(a, z) for a, z in zip(self.cuts, self.cuts[1:], strict=False)]
+        squares = [np.bincount(self.vec[s], self.val[s] ** 2, self.shape[0]) for s in spans]
+        left = [np.zeros(self.shape[0])]
+        for x in squares[:0:-1]:  # from the last segment on, so that nothing is ever taken away
+            left.append(left[-1] + x)
+        for s, rest in zip(spans, reversed(left), strict=True):
+            own, row = np.unique(self.vec[s], return_inverse=True)
+            part = np.zeros((len(own), self.shape[1]))
+            part[row, self.dim[s]] = self.val[s]
+            yield own, part, np.sqrt(rest)
 
 
 def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -99,8 +109,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, values: np.n
     partial = np.zeros((len(q), len(ids)))
     possible = np.ones((len(q), len(ids)), bool)
     n = min(k, len(ids))
-    for part, left in ImpactIndex(values).segments():
-        partial += q @ part.T
+    for own_rows, part, left in ImpactIndex(values).segments():
+        partial[:, own_rows] += q @ part.T
         slack = norms[:, None] * left[None, :]
         slack += 1e-9 * (np.abs(partial) + slack) + 1e-9  # for rounding, on the safe side
         low = np.where(own, -np.inf, partial - slack)
@@ -118,8 +128,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, values: np.n
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the rows whose id ``every`` divides."""
     rows = quantised(vectors, id_col, vec_col, scale)
-    total = vectors.count()
-    n, m = max(1, -(-total // BLOCK)), max(1, -(-total // (every * QUERY_BLOCK)))
+    size = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    n, m = max(1, -(-size["n"] // BLOCK)), max(1, -(-size["q"] // QUERY_BLOCK))
     cand = blocks(rows, n, "c")
     query = blocks(rows.where(F.col("vec_id") % every == 0), m, "q").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     pairs = query.join(cand, "c").select("q_ids", "q_dims", "q_values", "c_ids", "c_dims", "c_values")
