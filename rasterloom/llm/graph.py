@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import Scratch, drop_written, fresh_dir
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+#: Rows that one task writes at least.
+ROWS_A_TASK = 200_000
+
+
+def _kept(df: DataFrame, name: str, tasks: int | None = None) -> tuple[DataFrame, str]:
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -25,13 +29,14 @@ def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     """
     spark = edges.sparkSession
     both, used = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels, old = _kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    tasks = both.count() // ROWS_A_TASK + 1
+    labels, old = _kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels", tasks)
     while True:
         seen = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("was"))
         low = labels.select("node", "label", F.col("label").alias("was")).unionByName(seen).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = low.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "was")
-        new, path = _kept(new, "labels")
+        new, path = _kept(new, "labels", tasks)
         drop_written(spark, old)
         changed = new.where(F.col("label") < F.col("was")).limit(1).count()
         labels, old = new.select("node", "label"), path

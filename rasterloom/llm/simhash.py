@@ -19,9 +19,9 @@ Golay keys reaches every pair.  Shingles are keys too, then: in any one order of
 shingles, two sets of similarity t share one among the first n - ceil(t n) + 1 of
 either (n its size).  A sample shows which are frequent, and these come last in the
 order, else it is a hash.  In each key whose nodes are in several components one node
-is compared with the others, first that with the largest share of shared keys, in the
-next round another one, until a round finds no link.  So every pair of similar texts
-shares a key, rows stay in proportion to those of the keys, and no key is paired up.
+is compared with the others, first that with the largest share of shared keys (together
+with the Golay keys' pairs), in the next round another one, until a round adds next to
+no links (``SETTLED``).  So every pair of similar texts shares a key, rows stay in proportion to those of the keys, and no key is paired up.
 A link is missed where both ends share keys only with leaders unlike them; the README
 has the recall measured.  Sizes and parities of shingle sets rule candidates out
 first, by bounds that hold for every pair; the rest are compared by their whole sets.
@@ -51,6 +51,8 @@ SEED = 42
 PAIRED = 16
 #: Segments of a fingerprint of shingle sets, and its bytes; longs of parity bits.
 SEGMENTS, WIDE, PARITY = 8, 23, 8
+#: Rounds end when one adds no more than this share of the links.
+SETTLED = 0.001
 #: One document of so many shows which shingles are frequent, and at most so many are sent; both only settle an order, never a result.
 SAMPLE, FREQUENT = 8, 200_000
 WORDS_KEPT = 300_000
@@ -350,29 +352,31 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         apart = sigs.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in same for f in (F.min, F.max)]).where((F.col("min_s1") != F.col("max_s1")) | (F.col("min_s2") != F.col("max_s2")))
         links = scratch.keep(sigs.join(apart.select("doc_id"), "doc_id").join(ids, same).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "several")
 
-        # Golay keys first: what they join needn't be compared again for each of its shingles
         keys = segment_keys(nodes)
         first = scratch.keep(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("times")).where(F.col("times") > 1).select("key", "a"), "first")
-        met = keys.join(broadcast_if_small(first, first.count(), 24), "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
-        links = links.union(verifier.links(met, scratch))
-        found = components(links, scratch)
+        pairs = keys.join(broadcast_if_small(first, first.count(), 24), "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
 
         keys = own.select("node", "n", F.explode("keys").alias("key"))
         several = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("key"), "several")
         shared = scratch.keep(keys.join(broadcast_if_small(several, several.count(), 16), "key"), "shared")
         # a node whose keys are all shared stands in the middle of its group, so it leads in its keys
         rank = shared.groupBy("node").agg((F.floor(F.count("*") * 100_000 / (F.max("n") * F.lit(1 - least) + 1)) * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("rank"))
-        open_ = scratch.keep(shared.select("key", "node").join(rank, "node"), "open")
+        open_ = shared.select("key", "node").join(rank, "node").withColumn("comp", F.col("node"))
+        total, found = 0, None
         while True:
-            tagged = scratch.keep(open_.join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp")), "tagged")
-            lead = tagged.groupBy("key").agg(F.max_by("node", "rank").alias("a"), F.max_by("comp", "rank").alias("comp_a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
-            star = scratch.keep(tagged.join(lead, "key").where(F.col("node") != F.col("a")).select("key", "node", "rank", "comp", "a", "comp_a"), "star")
-            more = verifier.links(star.where(F.col("comp") != F.col("comp_a")).select("a", F.col("node").alias("b")), scratch)
-            if not more.limit(1).count():
+            open_ = scratch.keep(open_, "open")
+            lead = open_.groupBy("key").agg(F.max_by("node", "rank").alias("a"), F.max_by("comp", "rank").alias("comp_a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
+            star = scratch.keep(open_.join(lead, "key").where(F.col("node") != F.col("a")).select("key", "node", "rank", "comp", "a", "comp_a"), "star")
+            met = star.where(F.col("comp") != F.col("comp_a")).select("a", F.col("node").alias("b"))
+            more = verifier.links(met if total else pairs.union(met), scratch)
+            n_more = more.count()
+            total += n_more
+            if n_more or found is None:
+                links = links.union(more)
+                found = components(links, scratch)
+            if n_more <= total * SETTLED:
                 break
-            links = links.union(more)
-            found = components(links, scratch)
-            open_ = star.select("key", "node", "rank")
+            open_ = star.select("key", "node", "rank").join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp"))
         groups = ids.join(found, "node", "left").select(*same, F.coalesce("label", "node").alias("group_id"))
         return materialize(sigs.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
 
