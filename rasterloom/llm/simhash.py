@@ -358,7 +358,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         keys = own.select("node", "n", F.explode("keys").alias("key"))
         several = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("key"), "several")
-        shared = scratch.keep(keys.join(broadcast_if_small(several, several.count(), 16), "key"), "shared")
+        shared = scratch.keep(keys.join(several, "key"), "shared")
         # a node whose keys are all shared stands in the middle of its group, so it leads in its keys
         rank = shared.groupBy("node").agg((F.floor(F.count("*") * 100_000 / (F.max("n") * F.lit(1 - least) + 1)) * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("rank"))
         open_ = shared.select("key", "node").join(rank, "node").withColumn("comp", F.col("node"))
@@ -385,4 +385,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents less all but the smallest doc_id of each group, all columns kept."""
     gone = unused(docs, "gone")
     copies = near_duplicate_groups(docs, id_col, text_col, **how).where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(gone))
+    copies = broadcast_if_small(copies, copies.count(), 16)
     return docs.join(copies, docs[id_col].cast("long") == F.col(gone), "left_anti")
