@@ -58,8 +58,9 @@ def defringe(px: DataFrame, opaque: int = 250, **how) -> DataFrame:
 
 def remove_outliers(px: DataFrame, tolerance: float = 20, **how) -> DataFrame:
     """Remove pixels whose colour no neighbour shares, within the tolerance around their own."""
-    d = px.withColumns({"__lab": color.oklab(F.col("r"), F.col("g"), F.col("b")), "__tol": color.calibrated_column(F.col("r"), F.col("g"), F.col("b"), tolerance)})
-    d = neighbours(d, F.struct(F.col("__lab").alias("lab"), F.col("a").alias("a")), **how)
+    kinds = px.select("r", "g", "b").distinct()  # a colour is worked out once, however many pixels have it
+    kinds = kinds.withColumns({"__lab": color.oklab(F.col("r"), F.col("g"), F.col("b")), "__tol": color.calibrated_column(F.col("r"), F.col("g"), F.col("b"), tolerance)})
+    d = neighbours(px.join(kinds, ["r", "g", "b"]), F.struct(F.col("__lab").alias("lab"), F.col("a").alias("a")), **how)
     alike = F.exists("nb", lambda n: F.coalesce(n.isNotNull() & (n["a"] != 0) & (color.lab_distance_sq(F.col("__lab"), n["lab"]) <= F.col("__tol")), F.lit(False)))
     return _done(cleared(d, (F.col("a") != 0) & ~alike), px)
 

@@ -464,7 +464,7 @@ def r110_interactive_background(spark, sf_dir):
 # ---- time ------------------------------------------------------------------------------------
 
 _TICKS = """with t as (select cast(user_id as bigint) body_id, cast(event_id as bigint) ord, cast(event_id % 4 as double) / 16 dt, case when event_id % 7 < 4 then 'Walk' else 'run' end clip from events),
-u as (select *, case when lower(clip) = lag(lower(clip)) over (partition by body_id order by ord) then 0 else 1 end nw from t),
+u as (select *, case when clip = lag(clip) over (partition by body_id order by ord) then 0 else 1 end nw from t),
 v as (select *, sum(nw) over (partition by body_id order by ord) rn from u),
 w as (select *, sum(dt) over (partition by body_id, rn order by ord rows unbounded preceding) elapsed from v)
 """

@@ -20,11 +20,11 @@ TICK = 1.0 / 60.0
 def animate(ticks: DataFrame, clips: DataFrame, fixed_fps: float | None = 8.0, key: str = "body_id") -> DataFrame:
     """Ticks (key, ord, clip, dt) with the frame shown after each.
 
-    Time runs from the last change of clip; clips (name, fps, frames) are found
+    Time runs from the last change of the clip's name, of its case too; clips (name, fps, frames) are found
     in any case; a tick of an unknown, empty or still clip shows frame 0.
     """
     order = Window.partitionBy(key).orderBy("ord")
-    named = F.lower("clip")
+    named = F.col("clip")
     d = ticks.withColumn("__new", F.when(named.eqNullSafe(F.lag(named).over(order)) & F.lag("ord").over(order).isNotNull(), 0).otherwise(1))
     d = d.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     since = Window.partitionBy(key, "__run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)

@@ -425,3 +425,10 @@ def test_layers(px_of, grids_of):
     base, top = solid(2, 2, (10, 20, 30, 255)), solid(1, 1, (255, 255, 255, 255))
     out = one(grids_of, compose.draw(px_of(base), px_of(top), 1, 1))
     assert out[1, 1].tolist() == [255] * 4 and out[0, 0].tolist() == [10, 20, 30, 255]
+
+
+def test_a_clip_named_in_another_case_starts_anew(spark):
+    ticks = spark.createDataFrame([(1, k, c, 0.5) for k, c in enumerate(["walk", "walk", "Walk", "Walk", "walk"])], "body_id long, ord long, clip string, dt double")
+    clips = spark.createDataFrame([("WALK", 2.0, [5, 6, 7])], "name string, fps double, frames array<int>")
+    got = temporal.animate(ticks, clips, 2.0).orderBy("ord").collect()
+    assert [(r["elapsed"], r["frame_id"]) for r in got] == [(0.5, 6), (1.0, 7), (0.5, 6), (1.0, 7), (0.5, 6)]
