@@ -18,10 +18,13 @@ The fingerprints of alike texts can differ in any number of bits, so no set of
 Golay keys reaches every pair.  Shingles are keys too, then: in any one order of all
 shingles, two sets of similarity t share one among the first n - ceil(t n) + 1 of
 either (n its size).  A sample shows which are frequent, and these come last in the
-order, else it is a hash.  In each key whose nodes are in several components one node
-is compared with the others, first that with the largest share of shared keys (together
-with the Golay keys' pairs), in the next round another one, until a round adds next to
-no links (``SETTLED``).  So every pair of similar texts shares a key, rows stay in proportion to those of the keys, and no key is paired up.
+order, else it is a hash.  Each key has a leader, the node with the largest share of
+shared keys, and each node is first compared with the one leader, by Golay keys or
+shingles, that it shares most keys with, which joins up most of a large group by as
+many links as it has nodes.  Then, in each key whose nodes are in several components,
+its leader is compared with those of other components (in the first round the Golay
+keys' pairs are, too), in the next round another one, until a round adds next to no
+links (``SETTLED``).  So every pair of similar texts shares a key, rows stay in proportion to those of the keys, and no key is paired up.
 A link is missed where both ends share keys only with leaders unlike them; the README
 has the recall measured.  Sizes and parities of shingle sets rule candidates out
 first, by bounds that hold for every pair; the rest are compared by their whole sets.
@@ -338,6 +341,21 @@ class Verifier:
             return into.keep(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
+def labelled(links: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b): links with the labels of their ends; a node without one is its own."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
+
+
+def joined_up(found: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components ``found`` (node, label), joined by more links: only these links and the labels at their ends are searched."""
+    ends = labelled(more, found).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where(F.col("a") != F.col("b"))
+    up = components(ends, scratch)
+    old = found.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return scratch.keep(old.union(up.join(found.select("node"), "node", "left_anti").select("node", "label")), "found")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, group_id), materialised: for every non-null doc_id the smallest doc_id of its group."""
     with Scratch() as scratch:
@@ -355,28 +373,38 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         keys = segment_keys(nodes)
         first = scratch.keep(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("times")).where(F.col("times") > 1).select("key", "a"), "first")
         pairs = keys.join(broadcast_if_small(first, first.count(), 24), "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+        pairs = scratch.keep(pairs.groupBy("a", "b").agg(F.count("*").alias("times")), "pairs")
 
         keys = own.select("node", "n", F.explode("keys").alias("key"))
         several = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("key"), "several")
         shared = scratch.keep(keys.join(several, "key"), "shared")
         # a node whose keys are all shared stands in the middle of its group, so it leads in its keys
         rank = shared.groupBy("node").agg((F.floor(F.count("*") * 100_000 / (F.max("n") * F.lit(1 - least) + 1)) * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("rank"))
-        open_ = shared.select("key", "node").join(rank, "node").withColumn("comp", F.col("node"))
-        total, found = 0, None
+        open_ = scratch.keep(shared.select("key", "node").join(rank, "node"), "ranked")
+
+        # first each node and the one leader it shares most keys with: most of a group is joined by no more links than it has nodes
+        lead = open_.groupBy("key").agg(F.max_by("node", "rank").alias("a"))
+        met = open_.join(lead, "key").where(F.col("node") != F.col("a")).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("times"))
+        best = met.union(pairs).groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("b").agg(F.min(F.struct(-F.col("times"), "a")).alias("best")).select("best.a", "b")
+        alike = verifier.links(best, scratch)
+        total = alike.count()
+        found = components(links.union(alike), scratch)
+        left = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
         while True:
-            open_ = scratch.keep(open_, "open")
+            open_ = scratch.keep(open_.select("key", "node", "rank").join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp")), "open")
             lead = open_.groupBy("key").agg(F.max_by("node", "rank").alias("a"), F.max_by("comp", "rank").alias("comp_a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
             star = scratch.keep(open_.join(lead, "key").where(F.col("node") != F.col("a")).select("key", "node", "rank", "comp", "a", "comp_a"), "star")
             met = star.where(F.col("comp") != F.col("comp_a")).select("a", F.col("node").alias("b"))
-            more = verifier.links(met if total else pairs.union(met), scratch)
+            if left is not None:
+                met, left = met.union(labelled(left, found).where(F.col("label_a") != F.col("label_b")).select("a", "b")), None
+            more = verifier.links(met, scratch)
             n_more = more.count()
             total += n_more
-            if n_more or found is None:
-                links = links.union(more)
-                found = components(links, scratch)
+            if n_more:
+                found = joined_up(found, more, scratch)
             if n_more <= total * SETTLED:
                 break
-            open_ = star.select("key", "node", "rank").join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp"))
+            open_ = star
         groups = ids.join(found, "node", "left").select(*same, F.coalesce("label", "node").alias("group_id"))
         return materialize(sigs.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
 
