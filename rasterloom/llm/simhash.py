@@ -372,8 +372,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             n_more = more.count()
             total += n_more
             if n_more or found is None:
-                links = links.union(more)
-                found = components(links, scratch)
+                # what is joined up already goes on as one link a node
+                known = links if found is None else found.where(F.col("node") != F.col("label")).select(F.col("label").alias("a"), F.col("node").alias("b"))
+                found = components(known.union(more), scratch)
             if n_more <= total * SETTLED:
                 break
             open_ = star.select("key", "node", "rank").join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp"))

@@ -98,6 +98,19 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_random_graphs(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    e = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000, 1000), (7, 7)]  # repeats, both directions, loops
+    kept = []
+    keep = graph.Scratch.keep
+    monkeypatch.setattr(graph.Scratch, "keep", lambda self, df, name, *a: kept.append((name, out := keep(self, df, name, *a), out.count())) or out)
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(e + e[:50], "a long, b long")).collect()}
+    assert got == brute_groups({x for p in e for x in p}, e)
+    n = [rows for name, _, rows in kept if name == "edges"]
+    assert n[-1] == 0 and all(b < a for a, b in zip(n, n[1:], strict=False)) and sum(n) <= 3 * n[0]
+
+
 def test_near_duplicates_by_similarity(docs_of, prose):
     r = random.Random(3)
     rows = []
