@@ -87,11 +87,14 @@ class Scratch:
 
     def __init__(self) -> None:
         self.held: list[tuple[SparkSession, str]] = []
+        self.tables: list[tuple[SparkSession, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for spark, name in self.tables:
+            spark.sql(f"drop table if exists {name}")
         for spark, path in self.held:
             drop_written(spark, path)
 
@@ -100,6 +103,15 @@ class Scratch:
         self.held.append((df.sparkSession, path))
         return materialize(df, name, codec, path)
 
+    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """As ``keep``, dealt by a column, so that a join on it needn't move these rows."""
+        spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        self.held.append((spark, path))
+        self.tables.append((spark, table))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+        return spark.table(table)
+
 
 def unused(docs: DataFrame, name: str) -> str:
     """A name made from ``name`` that no column of ``docs`` has, in any case."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, common, decontaminate, langid, lines, packing, simhash, tokens, topk, toxicity, warc
+from rasterloom.llm import chat, common, decontaminate, langid, lines, merkle, negatives, packing, simhash, suffixes, tokens, topk, toxicity, warc
 
 table = common.table
 
@@ -66,6 +66,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.when(odd, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with common.Scratch() as scratch:
+        out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), scratch)
+        removed = F.aggregate(F.zip_with("starts", "ends", lambda a, z: z - a), F.lit(0).cast("long"), lambda n, x: n + x)
+        return common.materialize(out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "repeats")
+
+
 OP2_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -146,6 +163,90 @@ select cast(page_id as bigint) as page_id, cast(n as bigint) as payload_bytes, p
 from p left join f on p.d = f.d and n >= 100
 """
 
+OP11_SQL = """
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, c.vec_id as other, a.label = c.label as same, cast(list_dot_product(a.v, c.v) as bigint) as score
+  from r a join r c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0
+),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, other) as k from s where same) where k <= 5),
+n as (
+  select p.anchor_id, p.other as positive_id, s.other as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.other order by s.score desc, s.other) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+)
+select cast(anchor_id as bigint) as anchor_id, cast(positive_id as bigint) as positive_id, cast(rank as int) as rank, cast(negative_id as bigint) as negative_id, positive_score, negative_score
+from n where rank <= 5
+"""
+
+_FIELD = "coalesce(cast(strlen(cast(%s as varchar)) as varchar) || ':' || cast(%s as varchar), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD % (f, f) for f in ("doc_id", "source", "lang", "n_chars", "%s")) + ")"
+#: The CRC of the id's digits, bit by bit; the last step's complement is left to the reader of its last bit.
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))"
+
+OP12_SQL = f"""
+with recursive d as (
+  select row_number() over (partition by source order by doc_id nulls first, {_LEAF % ("text", "text")}) - 1 as pos, coalesce('s' || source, '') as g, doc_id, {_LEAF % ("text", "text")} as leaf,
+    case when xor({_CRC}, 4294967295) % 2 = 0 then {_LEAF % (("replace(text, chr(10), '')",) * 2)} else {_LEAF % ("text", "text")} end as checked from documents
+),
+t as (
+  select 0 as lvl, g, pos, leaf as h, count(*) over (partition by g) as n from d
+  union all
+  select lvl + 1, g, pos // 3, sha256(string_agg(h, '' order by pos)), (any_value(n) + 2) // 3 from t where n > 1 group by lvl, g, pos // 3
+),
+u0 as (select g as name, h, row_number() over (order by g) - 1 as pos, count(*) over () as n from t where n = 1),
+u as (
+  select 0 as lvl, name, pos, h, n from u0
+  union all
+  select lvl + 1, null, pos // 3, sha256(string_agg(h, '' order by pos)), (any_value(n) + 2) // 3 from u where n > 1 group by lvl, pos // 3
+),
+nodes as (
+  select 0 as part, lvl, g, pos, h, n from t
+  union all select 1, lvl, '', pos, h, n from u
+),
+run as (
+  select a.part, a.lvl, a.g, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), '') as l, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '') as r
+  from nodes a join nodes b on a.part = b.part and a.lvl = b.lvl and a.g = b.g and a.pos // 3 = b.pos // 3 where a.n > 1 group by all
+),
+step as (
+  select d.g, d.pos, part, lvl, l, r from d join run on part = 0 and run.g = d.g and run.pos = d.pos // cast(pow(3, lvl) as bigint)
+  union all
+  select d.g, d.pos, part, lvl, l, r from d join u0 on u0.name = d.g join run on part = 1 and run.pos = u0.pos // cast(pow(3, lvl) as bigint)
+),
+way as (select *, row_number() over (partition by g, pos order by part, lvl) as k from step),
+fold as (
+  select g, pos, 0 as k, checked as h from d
+  union all
+  select f.g, f.pos, f.k + 1, sha256(l || h || r) from fold f join way w on w.g = f.g and w.pos = f.pos and w.k = f.k + 1
+),
+proof as (select g, pos, string_agg(l || r, '' order by k) as p from way group by g, pos),
+folded as (select g, pos, arg_max(h, k) as h from fold group by g, pos)
+select doc_id, leaf, u0.h as subroot, top.h as root, sha256(coalesce(p, '')) as proof_sha256, folded.h as folded_root, folded.h = top.h as verified
+from d join u0 on u0.name = d.g join (select h from u where n = 1) top on true join folded on folded.g = d.g and folded.pos = d.pos left join proof on proof.g = d.g and proof.pos = d.pos
+"""
+
+#: Bytes as pairs of hex digits; strings of 50 bytes at every place.
+OP13_SQL = """
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select rid, doc_id, unnest(range(len(x) // 2 - 49)) as p, x from d where len(x) >= 100),
+s as (select rid, doc_id, p, substr(x, 2 * p + 1, 100) as s from w),
+hit as (select rid, p from s join (select s, min(doc_id) as least from s group by s) using (s) where least < doc_id),
+mark as (select rid, p, coalesce(p > lag(p) over (partition by rid order by p) + 50, true) as new from hit),
+grp as (select rid, p, count(*) filter (new) over (partition by rid order by p) as k from mark),
+span as (select rid, k, min(p) as a, max(p) + 50 as z from grp group by rid, k),
+gap as (
+  select rid, coalesce(lag(z) over (partition by rid order by a), 0) as a, a as z from span
+  union all select rid, max(z), 1000000000 from span group by rid
+),
+kept as (select rid, string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' order by a) as x from gap join d using (rid) group by rid),
+lost as (select rid, cast(sum(z - a) as bigint) as n, count(*) as k from span group by rid)
+select doc_id, cast(len(d.x) // 2 as bigint) as n_bytes, coalesce(n, 0) as n_removed, coalesce(k, 0) as n_spans, sha256(unhex(coalesce(kept.x, d.x))) as kept_sha256
+from d left join kept using (rid) left join lost using (rid)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
@@ -155,4 +256,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_exact_topk": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_exact_topk": OP9_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_suffix_dedup": OP13_SQL}

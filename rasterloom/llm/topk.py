@@ -36,12 +36,12 @@ QUERY_BLOCK, BLOCK = 512, 4096
 EXACT = 1 << 53
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<double>): whole numbers; rows that take no part are gone."""
+def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *carried: str) -> DataFrame:
+    """(vec_id, v array<double>, ...): whole numbers; rows that take no part are gone."""
     bad = F.exists(F.col(vec_col).cast("array<double>"), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(~bad)
     whole = F.transform(F.col(vec_col).cast("array<double>"), lambda c: F.when(F.abs(c * scale) < float(EXACT), F.floor(c * scale).cast("double")).otherwise(c * scale))
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).distinct()
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), *carried).distinct()
 
 
 def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
