@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -87,14 +88,14 @@ class Scratch:
 
     def __init__(self) -> None:
         self.held: list[tuple[SparkSession, str]] = []
-        self.tables: list[tuple[SparkSession, str]] = []
+        self.tables: dict[str, tuple[SparkSession, str]] = {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        for spark, name in self.tables:
-            spark.sql(f"drop table if exists {name}")
+        for name in list(self.tables):
+            self.release(name)
         for spark, path in self.held:
             drop_written(spark, path)
 
@@ -103,14 +104,25 @@ class Scratch:
         self.held.append((df.sparkSession, path))
         return materialize(df, name, codec, path)
 
-    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-        """As ``keep``, dealt by a column, so that a join on it needn't move these rows."""
+    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int, by: str | None = None) -> str:
+        """The name of a table dealt by ``column``, so that a join on it needn't move these rows; ``by``: a column of few values, a folder each."""
         spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
         table = path.rsplit("/", 1)[1].replace("-", "_")
-        self.held.append((spark, path))
-        self.tables.append((spark, table))
-        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
-        return spark.table(table)
+        self.tables[table] = spark, path
+        write = df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column)
+        (write.partitionBy(by) if by else write).saveAsTable(table)
+        return table
+
+    def release(self, table: str) -> None:
+        spark, path = self.tables.pop(table)
+        spark.sql(f"drop table if exists {table}")
+        drop_written(spark, path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark deletes shuffle files once nothing there refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(docs: DataFrame, name: str) -> str:

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import MOST_TASKS, Scratch, give_back
+from rasterloom.llm.common import MOST_TASKS, Scratch, give_back, let_go
 
 LENGTH, MER = 50, 20
 BATCHES, PIECE, SHARD, OFTEN = 4, 2 << 20, 1 << 20, 64
@@ -387,8 +387,8 @@ def _coded(r: dict, shards: int) -> Stretches:
 
 
 def _sent(marks: int, shards: int):
-    """(batch, shard, piece, blob): the stretches of each piece that may occur elsewhere."""
-    kinds = {"batch": pa.int32(), "shard": pa.int64(), "piece": pa.int64(), "blob": pa.binary()}
+    """(shard, piece, blob): the stretches of each piece that may occur elsewhere."""
+    kinds = {"shard": pa.int64(), "piece": pa.int64(), "blob": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
@@ -397,59 +397,64 @@ def _sent(marks: int, shards: int):
             if len(s.first):
                 least, most = np.minimum.reduceat(s.doc, s.first), np.maximum.reduceat(s.doc, s.first)
                 for shard, classes in s.shards(shards):
-                    for c, x in zip(kinds, (r["batch"], shard, r["piece"], s.packed(classes, least, most)), strict=True):
+                    for c, x in zip(kinds, (shard, r["piece"], s.packed(classes, least, most)), strict=True):
                         out[c].append(x)
             yield _batch(out, kinds)
 
     return run
 
 
-_FOUND = "shard long, piece long, verdict binary, level binary"
+_FOUND = "shard long, verdicts array<struct<piece: long, verdict: binary>>, level binary"
+_FOUND_KINDS = {"shard": pa.int64(), "verdicts": pa.list_(pa.struct({"piece": pa.int64(), "verdict": pa.binary()})), "level": pa.binary()}
 
 
-def _scan(key, t):
-    """A shard's blobs of a batch (piece, blob) with its levels (piece null): verdicts, and the batch's level."""
-    rows = t.sort_by("piece").to_pylist()
-    mine = [r for r in rows if r["piece"] is not None]
-    shard = key[0].as_py()
-    if not mine:
-        return pa.table({"shard": pa.array([], pa.int64()), "piece": pa.array([], pa.int64()), "verdict": pa.array([], pa.binary()), "level": pa.array([], pa.binary())})
-    found, level = scanned([r["blob"] for r in mine], [Level.read(r["blob"]) for r in rows if r["piece"] is None])
-    back = [(r["piece"], v) for r, v in zip(mine, found, strict=True) if v]
-    own = [level.packed()] if len(level.order) else []
-    give_back()
-    return pa.table({
-        "shard": pa.array([shard] * (len(back) + len(own)), pa.int64()), "piece": pa.array([p for p, _ in back] + [None] * len(own), pa.int64()),
-        "verdict": pa.array([v for _, v in back] + [None] * len(own), pa.binary()), "level": pa.array([None] * len(back) + own, pa.binary()),
-    })
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's blobs of a shard, merged with its levels: verdicts, and the batch's own level."""
+    for r in _rows(batches):
+        blobs = sorted(r["blobs"], key=lambda b: b["piece"])
+        found, level = scanned([b["blob"] for b in blobs], [Level.read(x) for c, x in r.items() if c.startswith("level_") and x is not None])
+        back = [{"piece": b["piece"], "verdict": v} for b, v in zip(blobs, found, strict=True) if v]
+        yield _batch({"shard": [r["shard"]], "verdicts": [back], "level": [level.packed() if len(level.order) else None]}, _FOUND_KINDS)
 
 
-def _merge(key, t):
-    levels = [Level.read(b) for b in t.column("blob").to_pylist()]
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.merged(x)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([out.packed()], pa.binary())})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for r in _rows(batches):
+        a, b = (Level.read(r[c]) if r[c] is not None else None for c in ("level_0", "level_1"))
+        yield _batch({"shard": [r["shard"]], "level": [(a.merged(b) if a and b else a or b).packed()]}, {"shard": pa.int64(), "level": pa.binary()})
 
 
 class Family:
-    """The levels, (batches held, table of (shard, blob)), the largest first."""
+    """The levels, (batches held, table of (shard, level)), the largest first.
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.levels = scratch, []
+    Tables are dealt by shard into ``buckets``, as batches are, so levels are read in place and never shuffled.
+    """
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int):
+        self.spark, self.scratch, self.buckets = spark, scratch, buckets
+        self.levels: list[tuple[int, str]] = []
+
+    def _level(self, table: str, name: str) -> DataFrame:
+        return self.spark.table(table).where("level is not null").select("shard", F.col("level").alias(name))
 
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """(piece, shard, verdict) of a batch (shard, piece, blob), which then becomes a level unless it is the last."""
-        rows = batch.select("shard", "piece", "blob")
-        for _, level in self.levels:
-            rows = rows.unionByName(level.select("shard", F.lit(None).cast("long").alias("piece"), "blob"))
-        found = self.scratch.keep(rows.groupBy("shard").applyInArrow(_scan, _FOUND), "scan")
-        if not last:
-            self.levels.append((1, found.where("level is not null").select("shard", F.col("level").alias("blob"))))
+        rows = batch.repartition(self.buckets, "shard").groupBy("shard").agg(F.collect_list(F.struct("piece", "blob")).alias("blobs"))
+        for i, (_, table) in enumerate(self.levels):
+            rows = rows.join(self._level(table, f"level_{i}").hint("merge"), "shard", "left")
+        found = self.scratch.bucketed(rows.mapInArrow(_scan, _FOUND), "scan", "shard", self.buckets)
+        verdicts = self.scratch.keep(self.spark.table(found).select("shard", F.explode("verdicts").alias("v")).select("v.piece", "shard", "v.verdict"), "verdicts")
+        if last:
+            self.scratch.release(found)
+        else:
+            self.levels.append((1, found))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, self.scratch.keep(a.unionByName(b).groupBy("shard").applyInArrow(_merge, "shard long, blob binary"), "level")))
-        return found.where("verdict is not null").select("piece", "shard", "verdict")
+            both = self._level(a, "level_0").hint("merge").join(self._level(b, "level_1"), "shard", "full")
+            self.levels.append((n + m, self.scratch.bucketed(both.mapInArrow(_merge, "shard long, level binary"), "level", "shard", self.buckets)))
+            self.scratch.release(a)
+            self.scratch.release(b)
+        let_go(self.spark)
+        return verdicts
 
 
 _OUT = "id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
@@ -497,23 +502,25 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     Reads tables of ``scratch``: use or write it within its block.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     told = rows.where("id is not null")
     size = told.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.percentile_approx("id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("cuts")).first()
-    marks, shards, buckets = (max(1, -(-size["bytes"] // x)) for x in (4 * SHARD, SHARD, 16 * PIECE))
+    marks, shards, dealt = (max(1, -(-size["bytes"] // x)) for x in (4 * SHARD, SHARD, 16 * PIECE))
     batch = F.lit(0)
     for c in sorted(set(size["cuts"] or []))[: batches - 1]:
         batch = batch + (F.col("id") > c).cast("int")
     cut = told.select("id", "text", batch.alias("batch")).mapInArrow(_cut, "piece long, batch int, ids binary, sizes binary, text binary")
-    pieces = scratch.bucketed(cut, "pieces", "piece", min(buckets, MOST_TASKS))  # joins on the piece move what they join, not the texts
+    pieces = spark.table(scratch.bucketed(cut, "pieces", "piece", min(dealt, MOST_TASKS), "batch"))  # joins on the piece move what they join, not the texts
     seen = pieces.mapInArrow(_marked(marks), "shard long, piece long, values binary, several binary")
     judged = seen.groupBy("shard").applyInArrow(_judged, "piece long, shard long, codes binary")
     codes = scratch.keep(judged.groupBy("piece").agg(F.collect_list(F.struct("shard", "codes")).alias("codes")), "codes")
-    coded = pieces.hint("merge").join(codes, "piece")
-    sent = scratch.keep(coded.mapInArrow(_sent(marks, shards), "batch int, shard long, piece long, blob binary"), "stretches")
-    family, found = Family(scratch), []
+    family, found = Family(spark, scratch, min(-(-shards // 8), MOST_TASKS)), []
     for k in range(batches):
-        found.append(family.add(sent.where(F.col("batch") == k), k == batches - 1))
+        coded = pieces.where(F.col("batch") == k).hint("merge").join(codes, "piece")
+        found.append(family.add(coded.mapInArrow(_sent(marks, shards), "shard long, piece long, blob binary"), k == batches - 1))
+    for _, table in family.levels:
+        scratch.release(table)
     verdicts = functools.reduce(DataFrame.unionByName, found).groupBy("piece").agg(F.collect_list(F.struct("shard", "verdict")).alias("verdicts"))
     done = pieces.hint("merge").join(codes, "piece", "left").join(verdicts.hint("merge"), "piece", "left").mapInArrow(_cleaned(marks, shards), _OUT)
     none = F.expr("cast(array() as array<bigint>)")
