@@ -5,8 +5,8 @@ and an anchor q becomes (q, 0), so that |q - x|^2 = |q|^2 + M^2 - 2 <q, x>: scor
 fall as distances rise, and a window of scores is an annulus about the anchor.
 Candidates are dealt to blocks of bounded size by a hash of their id; each block
 is written as one row with its tree.  A search takes the tree's parts nearest
-first, leaves out what lies inside or outside the annulus, and ends when the k
-rows found are nearer than any part that is left.  Distances carry a slack for
+first, leaves out what lies inside or outside the annulus, and tells a row once it
+is nearer than any part that is left; it ends with the k-th.  Distances carry a slack for
 rounding and only rule parts out; scores are exact integers, and decide.
 
 First each anchor's positives are found (any score, same label), then for each of
@@ -25,6 +25,7 @@ a positive without rows in its window gives none; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,29 +34,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import Scratch, materialize
-from rasterloom.llm.topk import exact_scores, quantised
+from rasterloom.llm.topk import EXACT, exact_scores, quantised
 
-BLOCK, ANCHORS, LEAF = 4096, 256, 64
-_TREE = "c long, dims long, ids binary, labels binary, vectors binary, order_ binary, nodes binary, bounds binary"
+BLOCK, ANCHORS, LEAF = 4096, 256, 128
+_TREE = "c long, dims long, ids binary, labels binary, vectors binary, nodes binary, bounds binary"
 
 
 class Tree:
-    """A vantage-point tree of one block.
+    """A vantage-point tree of one block; its rows stand in the order of its leaves.
 
-    ``nodes``: (first, last, vantage, left, right) over ``order``, vantage -1 in a leaf;
-    ``bounds``: least and largest distance to the vantage in the left and the right part.
+    ``nodes``: (first, last, vantage, left, right), vantage -1 in a leaf; ``bounds``: least
+    and largest distance to the vantage in the left and the right part.
     """
 
-    def __init__(self, ids, labels, vectors, order=None, nodes=None, bounds=None):
+    def __init__(self, ids, labels, vectors, nodes=None, bounds=None):
         self.ids, self.labels, self.vectors = ids, labels, vectors
-        self.scale = max(1.0, np.abs(vectors).max(initial=0.0))  # keeps squares finite
+        self.largest = np.abs(vectors).max(initial=0.0)
+        self.scale = max(1.0, self.largest)  # keeps squares finite
         small = vectors / self.scale
         squares = (small * small).sum(axis=1)
         self.most = squares.max(initial=0.0)
         self.points = np.concatenate([small, np.sqrt(self.most - squares)[:, None]], axis=1)
-        if nodes is None:
-            order, nodes, bounds = self._grow()
-        self.order, self.nodes, self.bounds = order, nodes, bounds
+        self.nodes, self.bounds = (nodes, bounds) if nodes is not None else self._grow()
 
     def _grow(self):
         order, nodes, bounds, todo = np.arange(len(self.ids)), [[0, len(self.ids), -1, -1, -1]], [[0.0] * 4], [0]
@@ -65,8 +65,7 @@ class Tree:
             if z - a <= LEAF:
                 continue
             part = order[a:z]
-            far = self._distances(part[0], part)
-            vantage = part[np.argmax(far)]
+            vantage = part[np.argmax(self._distances(part[0], part))]
             d = self._distances(vantage, part)
             by = np.lexsort((self.ids[part], d))
             order[a:z], d, mid = part[by], d[by], (z - a) // 2
@@ -75,68 +74,72 @@ class Tree:
             todo += [len(nodes), len(nodes) + 1]
             nodes += [[a, a + mid, -1, -1, -1], [a + mid, z, -1, -1, -1]]
             bounds += [[0.0] * 4, [0.0] * 4]
-        return order, np.array(nodes, np.int64), np.array(bounds)
+        self.ids, self.labels, self.vectors, self.points = (x[order] for x in (self.ids, self.labels, self.vectors, self.points))
+        place = np.argsort(order)
+        return [[a, z, int(place[v]) if v >= 0 else -1, x, y] for a, z, v, x, y in nodes], bounds
 
     def _distances(self, vantage, part):
         return np.sqrt(((self.points[part] - self.points[vantage]) ** 2).sum(axis=1))
 
 
 class Search:
-    """One anchor's searches in a tree; scores of a leaf are worked out once."""
+    """One anchor's searches in a tree."""
 
     def __init__(self, tree: Tree, own: int, q: np.ndarray):
         self.tree, self.own, self.q = tree, own, q
         small = q / tree.scale
         self.base = float(small @ small) + float(tree.most)
         self.slack = 1e-6 * (1 + self.base**0.5)
-        self.to_vantage = {}
-        self.leaves = {}
         self.small = np.append(small, 0.0)
+        self.exact = max(np.abs(q).max(initial=0), 1) * max(tree.largest, 1) * max(1, len(q)) < EXACT
+        self.leaves = 0
 
     def _radius(self, score: int) -> float:
-        """Within it lie all rows of the score and higher ones; scores that may have been cut tell nothing."""
-        if abs(score) >= 1 << 62:
-            return 0.0 if score > 0 else float("inf")
+        """Within it lie all rows of the score and higher ones."""
         return max(0.0, self.base - 2 * score / self.tree.scale**2) ** 0.5
 
-    def _leaf(self, at: int):
-        if at not in self.leaves:
-            rows = self.tree.order[self.tree.nodes[at, 0] : self.tree.nodes[at, 1]]
-            self.leaves[at] = self.tree.ids[rows], self.tree.labels[rows], exact_scores(self.q, self.tree.vectors[rows])
-        return self.leaves[at]
-
-    def nearest(self, k: int, accept, low: int | None = None, high: int | None = None) -> list[tuple[int, int]]:
-        """(score, id) of the first k rows that ``accept`` takes by (ids, labels), of scores from ``low`` to ``high``; higher first, then smaller ids."""
-        t, best = self.tree, []
-        inner = 0.0 if high is None or high <= -(1 << 62) else self._radius(high) - self.slack
-        outer = float("inf") if low is None or low >= 1 << 62 else self._radius(low) + self.slack
-        queue = [(0.0, 0, float("inf"))] if len(t.ids) else []
-        while queue and queue[0][0] <= outer:
-            near, at, far = heapq.heappop(queue)
-            _, _, vantage, left, right = t.nodes[at].tolist()
+    def _reach(self, distance: float) -> float:
+        """No row from the distance on has a higher score; beyond 62 bits scores may have been cut, so nothing is told."""
+        top = (self.base - max(0.0, distance) ** 2) / 2 * self.tree.scale**2
+        return top + 1 if abs(top) < 1 << 62 else float("inf")
+
+    def nearest(self, accept, low: int | None = None, high: int | None = None) -> Iterator[tuple[int, int]]:
+        """(score, id) of the rows that ``accept`` takes by their labels, of scores from ``low`` to ``high``: nearest first, so higher scores first, then smaller ids.
+
+        A row is told once no part that is left can hold a row before it; parts are only opened until then.
+        """
+        t = self.tree
+        inner = 0.0 if high is None or abs(high) >= 1 << 62 else self._radius(high) - self.slack
+        outer = float("inf") if low is None or abs(low) >= 1 << 62 else self._radius(low) + self.slack
+        parts, rows = [(0.0, 0, float("inf"))] if len(t.ids) else [], []
+        while parts or rows:
+            reach = self._reach(parts[0][0]) if parts else -float("inf")
+            while rows and -rows[0][0] > reach:
+                score, i = heapq.heappop(rows)
+                yield -score, i
+            if not parts:
+                continue
+            near, at, far = heapq.heappop(parts)
+            first, last, vantage, left, right = t.nodes[at]
             if vantage >= 0:
-                d = self.to_vantage.get(at)
-                if d is None:
-                    d = self.to_vantage[at] = float(np.sqrt(((t.points[vantage] - self.small) ** 2).sum()))
-                b = t.bounds[at].tolist()
+                gap = t.points[vantage] - self.small
+                d, b = float(gap @ gap) ** 0.5, t.bounds[at]
                 for child, lo, hi in ((left, b[0], b[1]), (right, b[2], b[3])):
                     least, most = max(near, d - hi - self.slack, lo - d - self.slack), min(far, d + hi + self.slack)
                     if least <= outer and most >= inner:
-                        heapq.heappush(queue, (least, child, most))
+                        heapq.heappush(parts, (least, child, most))
                 continue
-            ids, labels, s = self._leaf(at)
-            ok = accept(ids, labels) & (ids != self.own)
-            for bound, cut in ((low, s >= low if low is not None else None), (high, s <= high if high is not None else None)):
-                if bound is not None:
-                    ok &= cut
+            self.leaves += 1
+            span = slice(first, last)
+            s = (t.vectors[span] @ self.q).astype(np.int64) if self.exact else exact_scores(self.q, t.vectors[span])
+            ok = accept(t.labels[span]) & (t.ids[span] != self.own)
+            if low is not None:
+                ok &= s >= low
+            if high is not None:
+                ok &= s <= high
             if ok.any():
-                got = np.flatnonzero(ok)
-                if len(got) > k:  # ties of the k-th stay
-                    got = got[s[got] >= np.partition(s[got], len(got) - k)[len(got) - k]]
-                best = sorted(best + list(zip(s[got].tolist(), ids[got].tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
-                if len(best) == k and best[-1][0] < 1 << 62:
-                    outer = min(outer, self._radius(best[-1][0]) + self.slack)
-        return best
+                rows += zip((-s[ok]).tolist() if self.exact else [-x for x in s[ok].tolist()], t.ids[span][ok].tolist(), strict=True)
+                heapq.heapify(rows)
 
 
 def trees(rows: DataFrame, n: int) -> DataFrame:
@@ -147,8 +150,8 @@ def trees(rows: DataFrame, n: int) -> DataFrame:
         m = dense(t.column("v"))
         ids, labels = (t.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "label"))
         tree = Tree(ids, labels, m)
-        parts = (ids, labels, m, tree.order.astype(np.int64), tree.nodes, tree.bounds)
-        names = ("ids", "labels", "vectors", "order_", "nodes", "bounds")
+        parts = (tree.ids, tree.labels, tree.vectors, np.array(tree.nodes, np.int64), np.array(tree.bounds))
+        names = ("ids", "labels", "vectors", "nodes", "bounds")
         return pa.table({"c": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([m.shape[1]], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(names, parts, strict=True)}})
 
     return rows.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("c").applyInArrow(run, _TREE)
@@ -163,8 +166,9 @@ def dense(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _tree(r: dict) -> Tree:
-    ids, labels, order = (np.frombuffer(r[c], np.int64) for c in ("ids", "labels", "order_"))
-    return Tree(ids, labels, np.frombuffer(r["vectors"]).reshape(len(ids), r["dims"]), order, np.frombuffer(r["nodes"], np.int64).reshape(-1, 5), np.frombuffer(r["bounds"]).reshape(-1, 4))
+    ids, labels = (np.frombuffer(r[c], np.int64) for c in ("ids", "labels"))
+    nodes, bounds = np.frombuffer(r["nodes"], np.int64).reshape(-1, 5), np.frombuffer(r["bounds"]).reshape(-1, 4)
+    return Tree(ids, labels, np.frombuffer(r["vectors"]).reshape(len(ids), r["dims"]), nodes.tolist(), bounds.tolist())
 
 
 def _searched(anchors: DataFrame, forest: DataFrame, n: int, m: int, schema: str, ask) -> DataFrame:
@@ -185,7 +189,7 @@ def _searched(anchors: DataFrame, forest: DataFrame, n: int, m: int, schema: str
                     v = np.array(a["v"])
                     d = max(len(v), tree.vectors.shape[1])
                     if d > tree.vectors.shape[1]:
-                        tree = Tree(tree.ids, tree.labels, np.pad(tree.vectors, ((0, 0), (0, d - tree.vectors.shape[1]))), tree.order, tree.nodes, tree.bounds)
+                        tree = Tree(tree.ids, tree.labels, np.pad(tree.vectors, ((0, 0), (0, d - tree.vectors.shape[1]))), tree.nodes, tree.bounds)
                     out += ask(Search(tree, a["vec_id"], np.pad(v, (0, d - len(v)))), a)
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], pa.schema([(c, pa.int64()) for c in names]))
 
@@ -213,19 +217,24 @@ def mine(vectors: DataFrame, anchor: Column, label: Column, k_pos: int = 5, k_ne
         anchors = rows.where("anchor").select("vec_id", "label", "v").withColumn("key", F.xxhash64("vec_id", "label", "v"))
 
         def positives(s: Search, a: dict) -> list[tuple]:
-            return [(a["vec_id"], a["key"], i, x) for x, i in s.nearest(k_pos, lambda ids, labels: labels == a["label"])]
+            return [(a["vec_id"], a["key"], i, x) for x, i in itertools.islice(s.nearest(lambda labels: labels == a["label"]), k_pos)]
 
         found = _searched(anchors, forest, n, m, "anchor_id long, key long, positive_id long, positive_score long", positives)
         found = scratch.keep(_first(found, ["anchor_id", "key"], "positive_score", "positive_id", k_pos), "positives")
         chosen = found.groupBy(F.col("anchor_id").alias("vec_id"), "key").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("chosen"))
 
         def negatives(s: Search, a: dict) -> list[tuple]:
-            out = []
-            for p in a["chosen"]:
-                top = p["positive_score"]
-                got = s.nearest(k_neg, lambda ids, labels: labels != a["label"], -(-num * top // den), top)
-                out += [(a["vec_id"], a["key"], p["positive_id"], i, top, x) for x, i in got]
-            return out
+            """One walk from the highest positive down fills the windows of all positives."""
+            windows = [(p["positive_id"], -(-num * p["positive_score"] // den), p["positive_score"], []) for p in a["chosen"]]
+            windows = [w for w in windows if w[1] <= w[2]]
+            if windows:
+                for x, i in s.nearest(lambda labels: labels != a["label"], min(w[1] for w in windows), max(w[2] for w in windows)):
+                    for _, low, high, got in windows:
+                        if low <= x <= high and len(got) < k_neg:
+                            got.append((i, x))
+                    if all(len(w[3]) == k_neg or x < w[1] for w in windows):
+                        break
+            return [(a["vec_id"], a["key"], p, i, high, x) for p, _, high, got in windows for i, x in got]
 
         schema = "anchor_id long, key long, positive_id long, negative_id long, positive_score long, negative_score long"
         mined = _searched(anchors.join(chosen, ["vec_id", "key"]), forest, n, m, schema, negatives)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -60,13 +61,14 @@ def test_few_heavy_and_no_rows(spark):
     assert ours(spark, heavy) == brute(heavy, 10, 5)
 
 
-def test_the_tree_leaves_parts_out():
+def test_the_tree_leaves_parts_out(monkeypatch):
+    monkeypatch.setattr(negatives, "LEAF", 64)
     r = np.random.default_rng(1)
     centres = r.normal(0, 300, (16, 8))
     m = np.floor(np.concatenate([c + r.normal(0, 3, (128, 8)) for c in centres]))
     t = negatives.Tree(np.arange(len(m)), np.arange(len(m)) % 5, m)
     s = negatives.Search(t, 0, m[0])
-    got = s.nearest(5, lambda ids, labels: labels != 0)
+    got = list(itertools.islice(s.nearest(lambda labels: labels != 0), 5))
     scores = (m @ m[0]).astype(int)
     assert got == sorted(((int(x), i) for i, x in enumerate(scores) if i % 5), key=lambda x: (-x[0], x[1]))[:5]
-    assert len(s.leaves) < np.count_nonzero(t.nodes[:, 2] < 0) / 2
+    assert s.leaves < sum(n[2] < 0 for n in t.nodes) / 2
