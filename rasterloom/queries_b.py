@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalar
 from rasterloom.operators import aggregate, cells, components, compose, generate, geometry, palette, pointwise, stencil, validate
 from rasterloom.plans import pipelines
-from rasterloom.schema import images_of
+from rasterloom.schema import images_of, recolour, to_raster
+from rasterloom.shared import fresh_dir
 from rasterloom.sources import exports, images, rasters, video
 from rasterloom.sqltext import CELLS, IMG, NB, OUT, PV, PX, dist, fold, lab, reach
 from rasterloom.streaming import temporal
@@ -115,6 +116,81 @@ def r003_placed_frames(spark, sf_dir):
     return images.placed_frames(d, 4, 3)
 
 
+def _imported(spark, sf_dir):
+    """Sheets of nine frames for eight places; every fifth image is moved out of view, so that it is blank."""
+    px = rasters.px_events(spark, sf_dir)
+    px = recolour(px, F.col("image_id") % 5 == 3, a=F.lit(0))
+    frames = to_raster(px).select(F.call_function("div", F.col("image_id"), F.lit(9)).alias("sheet_id"), F.format_string("f%04d", 9999 - F.col("image_id")).alias("name"), "width", "height", "rgba")
+    return images.import_frames(frames, 2, 4, 13, 18, alpha=100)
+
+
+_IMPORT = """fr as (select image_id, image_id // 9 sheet, row_number() over (partition by image_id // 9 order by printf('f%04d', 9999 - image_id)) - 1 o from (select distinct image_id from px)),
+pl as (select px.* replace (case when image_id % 5 = 3 then 0 else a end as a) from px),
+bx as (select image_id, min(x) filter (where a >= 100) x0, max(x) filter (where a >= 100) + 1 x1, min(y) filter (where a >= 100) y0, max(y) filter (where a >= 100) + 1 y1 from pl group by image_id),
+layers as (
+  select sheet image_id, x + coalesce(13 // 2 - (x0 + (x1 - x0) // 2), -1) + o % 4 * 13 x, y + coalesce(18 // 2 - (y0 + (y1 - y0) // 2), 1) + o // 4 * 18 y, o z, r, g, b, a
+  from pl join fr using (image_id) join bx using (image_id) where o < 8
+),
+sheets as (select distinct sheet image_id, 52 width, 36 height from fr)"""
+
+
+@query(with_px(f"select {OUT} from done", _IMPORT, fold(sizes="sheets")))
+def r003b_import_frames(spark, sf_dir):
+    return _imported(spark, sf_dir)[0]
+
+
+@query(with_px("select cast(image_id as bigint) image_id, cast(o as int) ord, 'r' || o // 4 || 'c' || o % 4 id, cast(o % 4 * 13 as int) min_x, cast(o // 4 * 18 as int) min_y, cast(o % 4 * 13 + 13 as int) max_x, cast(o // 4 * 18 + 18 as int) max_y from (select distinct image_id // 9 image_id from px), (select unnest(range(0, 8)) o)"))
+def r003c_import_cells(spark, sf_dir):
+    return _imported(spark, sf_dir)[1].drop("pivot_x", "pivot_y")
+
+
+# ---- files -----------------------------------------------------------------------------
+
+
+def _written(spark, files, name):
+    folder = fresh_dir(spark, name)
+    images.write_files(files, folder)
+    return folder
+
+
+@query(with_px(f"select {OUT} from px"))
+def r011_png_files(spark, sf_dir):
+    """Every image written as a PNG file, the folder scanned, and the files read back."""
+    files = images.encoded(rasters.px_events(spark, sf_dir)).select(F.format_string("%d.png", "image_id").alias("name"), "png")
+    back = images.read_pngs(spark, _written(spark, files, "png")).withColumn("image_id", F.split("name", "[.]")[0].cast("long"))
+    return images.to_px(back)
+
+
+_LOCKED = [(0, 0, 0, 0), (200, 40, 0, 255), (0, 160, 100, 255), (128, 128, 200, 128)]
+
+
+@query(with_px(f"""select {OUT} from (select image_id, x, y, pal.r r, pal.g g, pal.b b, pal.a a, row_number() over (partition by image_id, x, y order by (px.r - pal.r) ** 2 + (px.g - pal.g) ** 2 + (px.b - pal.b) ** 2 + (px.a - pal.a) ** 2, pal.i) k
+from px, (select unnest(range(0, 4)) i, unnest([0, 200, 0, 128]) r, unnest([0, 40, 160, 128]) g, unnest([0, 0, 100, 200]) b, unnest([0, 255, 255, 128]) a) pal) where k = 1"""))
+def r012_indexed_png_files(spark, sf_dir):
+    """The same with a locked palette: each pixel comes back as its nearest entry."""
+    files = images.encoded(rasters.px_events(spark, sf_dir), _LOCKED).select(F.format_string("%d.png", "image_id").alias("name"), "png")
+    back = images.read_pngs(spark, _written(spark, files, "indexed")).withColumn("image_id", F.split("name", "[.]")[0].cast("long"))
+    return images.to_px(back)
+
+
+@query(with_px(f"select {OUT} from (select image_id, x, y, case when a = 0 then 0 else r end r, case when a = 0 then 0 else g end g, case when a = 0 then 0 else b end b, case when a = 0 then 0 else 255 end a from px)"))
+def r013_automatic_palette_files(spark, sf_dir):
+    """Opaque and transparent pixels of under 256 colours an image come back as they were from files with their own palette."""
+    px = recolour(rasters.px_events(spark, sf_dir), F.col("a") != 0, a=255)
+    back = images.decoded(images.encoded_auto(px, 255).select(F.format_string("%d.png", "image_id").alias("path"), F.col("png").alias("content")))
+    return images.to_px(back.withColumn("image_id", F.split("path", "[.]")[0].cast("long")))
+
+
+@query(with_px("select cast(image_id // 6 as bigint) sheet_id, cast(row_number() over (partition by image_id // 6 order by image_id) - 1 as int) ord, printf('f%d.png', image_id) as name, cast(256 as bigint) pixels from (select distinct image_id from px where image_id % 4 <> 2)"))
+def r016_zip_of_frames(spark, sf_dir):
+    """An archive a sheet, opened again; names that are blank are skipped, the ending is added where it lacks."""
+    files = images.encoded(rasters.px_events(spark, sf_dir)).select(F.call_function("div", F.col("image_id"), F.lit(6)).alias("sheet_id"), F.col("image_id").alias("ord"), F.when(F.col("image_id") % 4 == 2, " ").when(F.col("image_id") % 4 == 1, F.format_string("f%d", "image_id")).otherwise(F.format_string("f%d.png", "image_id")).alias("name"), "png")
+    entries = images.unzipped(images.zipped(files))
+    shown = images.decoded(entries.select(F.concat_ws("/", "sheet_id", "ord", "name").alias("path"), "content"))
+    at = F.split("path", "/")
+    return shown.select(at[0].cast("long").alias("sheet_id"), at[1].cast("int").alias("ord"), "name", (F.col("width") * F.col("height")).cast("long").alias("pixels"))
+
+
 # ---- names and documents ---------------------------------------------------------------
 
 

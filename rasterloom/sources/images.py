@@ -11,23 +11,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.compose import on_canvas
 from rasterloom.schema import RASTER, to_px, to_raster
-from rasterloom.sources import png
+from rasterloom.sources import png, sinks, webp
 
 
-def read_pngs(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, image_id, width, height, rgba, error): the PNG files of one folder, not of those below it.
+DECODERS = {".png": png.decode, ".webp": webp.decode}
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, name, image_id, width, height, rgba, error) of files (path, content), PNG or lossless WebP by their ending.
 
     ``image_id`` hashes the path.  A file that can't be read has an error and no pixels.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    g = png.decode(raw)
+                    g = DECODERS[path[path.rindex(".") :].lower()](raw)
                     out.append((path, g.shape[1], g.shape[0], g.tobytes(), None))
                 except Exception as e:  # noqa: BLE001  one bad file doesn't end a batch
                     out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
@@ -35,10 +38,21 @@ def read_pngs(spark: SparkSession, folder: str) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "width", "height", "rgba", "error"])
 
-    d = files.mapInArrow(run, "path string, width int, height int, rgba binary, error string")
+    d = files.select("path", "content").mapInArrow(run, "path string, width int, height int, rgba binary, error string")
     return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.xxhash64("path").alias("image_id"), "width", "height", "rgba", "error")
 
 
+def read_pngs(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
+    """``decoded`` files of one folder, not of those below it; a task takes files up to ``spark.sql.files.maxPartitionBytes``."""
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
+
+
+def stream_pngs(spark: SparkSession, folder: str, pattern: str = "*.png", files_a_batch: int = 1000) -> DataFrame:
+    """``decoded`` files as they arrive in the folder, each once; the query's checkpoint holds which have been seen."""
+    arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_a_batch)
+    return decoded(arriving.load(folder))
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, image_id, width, height, rgba) through Spark's own image source (png, jpeg, gif, bmp), whose bytes are BGR(A)."""
     d = spark.read.format("image").load(folder).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("n"), "image.data")
@@ -92,27 +106,16 @@ def encoded_auto(px: DataFrame, k: int = 256) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "png") -> DataFrame:
-    """Write each row's bytes to ``folder/name`` from the executors, through a rename; returns (name, bytes), materialised.
+    """Write each row's bytes to ``folder/name`` through ``sinks.FileSink``; returns (name, bytes) of these files as they lie in the folder.
 
-    ``folder`` is one that all executors share; any filesystem that pyarrow knows by its URI.
+    ``folder`` is one that driver and executors share; any filesystem that pyarrow knows by its URI.
     """
-    target = folder if "://" in folder else f"file://{folder}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        disk, root = fs.FileSystem.from_uri(target)
-        disk.create_dir(root, recursive=True)
-        for b in batches:
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with disk.open_output_stream(f"{root}/{n}.part") as f:
-                    f.write(raw)
-                disk.move(f"{root}/{n}.part", f"{root}/{n}")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64())], ["name", "bytes"])
-
-    done = files.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(run, "name string, bytes long")
-    rows = done.collect()  # a row a file that was written
-    return files.sparkSession.createDataFrame([(r["name"], r["bytes"]) for r in rows], "name string, bytes long")
+    spark = files.sparkSession
+    spark.dataSource.register(sinks.FileSink)
+    rows = files.select(F.col(name).alias("name"), F.col(content).alias("content"))
+    rows.write.format(sinks.FileSink.name()).option("path", folder).mode("append").save()
+    lying = spark.read.format("binaryFile").load(folder if "://" in folder else f"file://{folder}").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    return rows.select("name").distinct().join(lying, F.col("name") == F.col("file")).select("name", "bytes")
 
 
 BAD_NAME = r'[<>:"/\\|?*\x00-\x1F]'
@@ -143,6 +146,19 @@ def zipped(files: DataFrame, sheet: str = "sheet_id") -> DataFrame:
     return ok.groupBy("sheet").applyInArrow(run, f"{sheet} long, zip binary")
 
 
+def unzipped(zips: DataFrame, sheet: str = "sheet_id") -> DataFrame:
+    """(sheet, ord, name, content): the entries of each archive, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    names = z.namelist()
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), pa.int64()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string()), pa.array([z.read(n) for n in names], pa.binary())], [sheet, "ord", "name", "content"])
+
+    return zips.select(F.col(sheet).cast("long"), "zip").mapInArrow(run, f"{sheet} long, ord int, name string, content binary")
+
+
 def placed_frames(files: DataFrame, rows: int, cols: int, sheet: str = "sheet_id") -> DataFrame:
     """(sheet, ord, id, name): the first rows*cols files by name on a grid; places without a file have a null name."""
     order = Window.partitionBy(sheet).orderBy("name")
@@ -152,4 +168,51 @@ def placed_frames(files: DataFrame, rows: int, cols: int, sheet: str = "sheet_id
     return out.select(sheet, "ord", F.concat(F.lit("r"), F.call_function("div", F.col("ord"), F.lit(cols)), F.lit("c"), F.col("ord") % cols).alias("id"), "name")
 
 
-__all__ = ["RASTER", "encoded", "encoded_auto", "frame_name", "placed_frames", "read_images", "read_pngs", "single_name", "to_px", "write_files", "zipped"]
+def import_frames(frames: DataFrame, rows: int, cols: int, cell_w: int = 64, cell_h: int = 64, alpha: int = 1, sheet: str = "sheet_id") -> tuple[DataFrame, DataFrame]:
+    """Frames (sheet, name, width, height, rgba), packed or as read from files, onto one sheet each; returns (pixels, cells).
+
+    The first rows*cols frames by name get a cell each, row by row; a frame's opaque box is put on the
+    middle of its cell, or the whole frame if nothing in it reaches ``alpha``.  What leaves the cell
+    lies on its neighbours, later frames on top; what leaves the sheet is cut.  Cells without a frame
+    stay empty, as do those of files that couldn't be read.  Boxes are taken from the packed rows in
+    the task that reads them, and only opaque pixels go further.
+    """
+    if min(rows, cols) < 1 or min(cell_w, cell_h) < 4:
+        raise ValueError("a grid of one cell and cells of four pixels at least")
+    order = Window.partitionBy(sheet).orderBy("name", "place")
+    named = frames.withColumn("place", F.monotonically_increasing_id()) if "place" not in frames.columns else frames
+    first = named.withColumn("ord", F.row_number().over(order) - 1).where(F.col("ord") < rows * cols)
+    half = lambda n: int(n / 2)  # noqa: E731  towards zero
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                (r,) = b.slice(i, 1).to_pylist()
+                if r["rgba"] is None or not r["width"] or not r["height"]:
+                    continue
+                g = np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4)
+                ys, xs = np.nonzero(g[..., 3] >= alpha)
+                if len(xs):
+                    dx = cell_w // 2 - (int(xs.min()) + (int(xs.max()) + 1 - int(xs.min())) // 2)
+                    dy = cell_h // 2 - (int(ys.min()) + (int(ys.max()) + 1 - int(ys.min())) // 2)
+                else:
+                    dx, dy = half(cell_w - r["width"]), half(cell_h - r["height"])
+                y, x = np.nonzero(g[..., 3])
+                colour = g[y, x].astype(np.int32)
+                x, y = x + dx + r["ord"] % cols * cell_w, y + dy + r["ord"] // cols * cell_h
+                on = (x >= 0) & (x < cols * cell_w) & (y >= 0) & (y < rows * cell_h)
+                n = int(on.sum())
+                values = [pa.array([r["sheet"]] * n, pa.int64()), *(pa.array(v[on].astype(np.int32)) for v in (x, y)), pa.array(np.full(n, r["ord"], np.int32)), *(pa.array(colour[on, k]) for k in range(4))]
+                yield pa.RecordBatch.from_arrays(values, ["image_id", "x", "y", "z", *"rgba"])
+
+    layers = first.select(F.col(sheet).cast("long").alias("sheet"), "ord", "width", "height", "rgba").mapInArrow(run, "image_id long, x int, y int, z int, r int, g int, b int, a int")
+    sheets = frames.select(F.col(sheet).cast("long").alias("image_id")).distinct()
+    px = on_canvas(layers, sheets.select("image_id", F.lit(cols * cell_w).alias("width"), F.lit(rows * cell_h).alias("height")))
+    c = sheets.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))))
+    col, row = F.col("ord") % cols, F.call_function("div", F.col("ord"), F.lit(cols)).cast("int")
+    at = {"min_x": col * cell_w, "min_y": row * cell_h, "max_x": (col + 1) * cell_w, "max_y": (row + 1) * cell_h}
+    cells = c.select("image_id", "ord", F.concat(F.lit("r"), row, F.lit("c"), col).alias("id"), *[v.cast("int").alias(k) for k, v in at.items()], F.lit(0.5).alias("pivot_x"), F.lit(0.5).alias("pivot_y"))
+    return px, cells
+
+
+__all__ = ["RASTER", "decoded", "encoded", "encoded_auto", "frame_name", "import_frames", "placed_frames", "read_images", "read_pngs", "single_name", "stream_pngs", "to_px", "unzipped", "write_files", "zipped"]
