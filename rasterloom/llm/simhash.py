@@ -21,9 +21,10 @@ either (n its size).  A sample shows which are frequent, and these come last in
 order, else it is a hash.  In each key whose nodes are in several components one node
 is compared with the others, first that with the largest share of shared keys (together
 with the Golay keys' pairs), in the next round another one, until a round adds next to
-no links (``SETTLED``).  So every pair of similar texts shares a key, rows stay in proportion to those of the keys, and no key is paired up.
-A link is missed where both ends share keys only with leaders unlike them; the README
-has the recall measured.  Sizes and parities of shingle sets rule candidates out
+no links (``SETTLED``).  Where a key still has nodes in several components, those that the
+leaders didn't bring together meet each other, by classes of size, and the pairs that sizes
+and parities don't rule out are compared.  So every pair of similar texts shares a key, and
+in that key its ends are in one component or are compared: no link is lost.  Sizes and parities of shingle sets rule candidates out
 first, by bounds that hold for every pair; the rest are compared by their whole sets.
 
 Defined results: null texts count as empty; texts without words are equal; rows
@@ -39,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import golay
@@ -51,7 +52,7 @@ SEED = 42
 PAIRED = 16
 #: Segments of a fingerprint of shingle sets, and its bytes; longs of parity bits.
 SEGMENTS, WIDE, PARITY = 8, 23, 8
-#: Rounds end when one adds no more than this share of the links.
+#: Rounds of leaders end when one adds no more than this share of the links; a last step finds what they leave.
 SETTLED = 0.001
 #: One document of so many shows which shingles are frequent, and at most so many are sent; both only settle an order, never a result.
 SAMPLE, FREQUENT = 8, 200_000
@@ -305,11 +306,32 @@ class Verifier:
     size: int
     least: float
 
+    def near(self) -> Column:
+        """What sizes (n_a, n_b) and parities (a0..., b0...) say of a pair: no pair of ``least`` is ruled out."""
+        apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
+        return (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(self.least) - 1e-6) & (apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - self.least) / (1 + self.least)) + 1e-6)
+
+    def unmet(self, rest: DataFrame, scratch: Scratch) -> DataFrame:
+        """(a, b): the pairs of two components in one key of ``rest`` (key, node, comp) that sizes and parities don't rule out, each once.
+
+        Keys are split by size first: class g and the one below meet, as sets of ``least`` differ in
+        size by one class at most.  The test is a condition of the join, so only what passes becomes a row.
+        """
+        several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+        rest = scratch.keep(rest.join(several, "key"), "rest")
+        ends = rest.select("node").distinct()
+        told = scratch.keep(self.nodes.select("node", "n", *[f"p{k}" for k in range(PARITY)]).join(ends, "node", "left_semi"), "told")
+        size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / self.least)) + F.lit(1e-9))
+        classed = rest.join(broadcast_if_small(told, told.count(), 12 + 8 * PARITY), "node").withColumn("size", size).withColumn("class", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+        named = lambda e: classed.select("key", "class", F.col("node").alias(e), F.col("comp").alias(f"comp_{e}"), F.col("size").alias(f"size_{e}"), F.col("n").alias(f"n_{e}"), *[F.col(f"p{k}").alias(f"{e}{k}") for k in range(PARITY)])
+        fits = (F.col("x.a") < F.col("y.b")) & (F.col("x.comp_a") != F.col("y.comp_b")) & (F.greatest("x.size_a", "y.size_b") == F.col("x.class")) & self.near()
+        pairs = named("a").alias("x").hint("merge").join(named("b").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class") == F.col("y.class")) & fits)
+        return scratch.keep(pairs.select("a", "b").distinct(), "unmet")
+
     def candidates(self, pairs: DataFrame, scratch: Scratch) -> DataFrame:
         """Distinct pairs that sizes and parities don't rule out; neither test loses a pair of ``least``."""
         named = lambda end: broadcast_if_small(self.nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"p{k}").alias(f"{end}{k}") for k in range(PARITY)]), self.n_nodes, 12 + 8 * PARITY)
-        apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
-        near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(self.least) - 1e-6) & (apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - self.least) / (1 + self.least)) + 1e-6)
+        near = self.near()
         both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return scratch.keep(both.join(named("a"), "a").join(named("b"), "b").where(near).select("a", "b").distinct(), "close")
 
@@ -378,6 +400,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if n_more <= total * SETTLED:
                 break
             open_ = star.select("key", "node", "rank").join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp"))
+        rest = star.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+        unmet = verifier.unmet(rest, scratch)
+        if unmet.limit(1).count():
+            more = verifier.links(unmet, scratch)
+            found = components(found.where(F.col("node") != F.col("label")).select(F.col("label").alias("a"), F.col("node").alias("b")).union(more), scratch)
         groups = ids.join(found, "node", "left").select(*same, F.coalesce("label", "node").alias("group_id"))
         return materialize(sigs.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
 

@@ -3,7 +3,7 @@
 Encoding: ``WordEncoder`` cuts a text as the vocabulary's own pre-tokenizer does
 and keeps the ids of each word it has met, as a BPE never merges across words;
 words met first are encoded by the tokenizers library, many in one call, and so
-are whole texts with characters for which the cut isn't certain.
+are whole texts with added tokens (control texts) or characters for which the cut isn't certain.
 
 File format (``.rlti``), one file a shard, shards in ascending document order:
 a header of magic, number of documents and of ids, then a control byte stream
@@ -64,7 +64,7 @@ WORD = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{LETTER
 class WordEncoder:
     """Ids of whole texts as little-endian bytes of numpy's ``kind``: two an id where the vocabulary allows, else four.
 
-    Texts with characters beyond ``PLAIN`` go to the tokenizer as they are.
+    Texts with characters beyond ``PLAIN``, or that hold one of the vocabulary's added tokens, go to the tokenizer as they are.
     """
 
     def __init__(self, vocabulary: str):
@@ -72,7 +72,8 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None  # cut out of a text before its words are
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
         self.blank = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
@@ -109,7 +110,7 @@ class WordEncoder:
 
     def documents(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id; the words that haven't been met are learnt together."""
-        words = [WORD.findall(t) if PLAIN.fullmatch(t) else None for t in (t or "" for t in texts)]
+        words = [WORD.findall(t) if PLAIN.fullmatch(t) and not (self.added and self.added.search(t)) else None for t in (t or "" for t in texts)]
         every = set().union(*filter(None, words))
         new = every.difference(self.kept)
         if len(self.kept) + len(new) > WORDS_KEPT:

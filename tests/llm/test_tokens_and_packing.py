@@ -28,6 +28,21 @@ def test_words_make_the_ids_of_the_text(text):
     assert np.frombuffer(e.documents([text])[0], e.kind).tolist() == [*ids(e, text), 2]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "</s>", "<s>", "[INST]", "<|end", "of", "text|>", " ", "\n", "it's", "<|", "|>", "日"]), st.text(max_size=6)), max_size=8).map("".join))
+def test_ids_are_those_of_the_plain_library_call(text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    e = tokens.encoder(tokens.default_vocabulary())
+    assert np.frombuffer(e.documents([text])[0], e.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_control_texts_are_single_ids(enc):
+    got = np.frombuffer(enc.documents(["a <|endoftext|> b"])[0], enc.kind).tolist()
+    assert 50256 in got and len(got) < 8
+
+
 def test_forgetting_words_changes_nothing(enc, monkeypatch, prose):
     monkeypatch.setattr(tokens, "WORDS_KEPT", 20)
     for k in range(10):
