@@ -85,16 +85,23 @@ def r006_frame_estimate(spark, sf_dir):
 
 
 def _grid_frames(spark, sf_dir):
-    px = rasters.px_vectors(spark, sf_dir).where("image_id < 70")
+    px = rasters.px_vectors(spark, sf_dir)
     return px.select(F.call_function("div", F.col("image_id"), F.lit(7)).alias("sheet_id"), (F.col("image_id") % 7).cast("int").alias("ord"), "x", "y", *"rgba")
 
 
-@query(with_px(f"select {OUT} from (select gr.image_id, gr.x, gr.y, {_none} from gr left join (select image_id // 7 image_id, x + image_id % 7 % 3 * 8 x, y + image_id % 7 // 3 * 8 y, case when a = 0 then 0 else r end r, case when a = 0 then 0 else g end g, case when a = 0 then 0 else b end b, a from px where image_id < 70) l using (image_id, x, y))", "sheets as (select distinct image_id // 7 image_id from px where image_id < 70)", _spread("24", "24", "sheets"), px=PV))
+#: Sheets of seven frames; the last one may have fewer, and is then narrower or lower.
+_SHEETS = """sheets as (
+  select image_id, n, cols, cast(ceil(n / cols) as int) rows, cols * 8 width, cast(ceil(n / cols) as int) * 8 height
+  from (select image_id // 7 image_id, max(image_id % 7) + 1 n, cast(ceil(sqrt(max(image_id % 7) + 1)) as int) cols from px group by image_id // 7)
+)"""
+
+
+@query(with_px(f"select {OUT} from (select gr.image_id, gr.x, gr.y, {_none} from gr left join (select s.image_id, x + px.image_id % 7 % cols * 8 x, y + px.image_id % 7 // cols * 8 y, case when a = 0 then 0 else r end r, case when a = 0 then 0 else g end g, case when a = 0 then 0 else b end b, a from px join sheets s on s.image_id = px.image_id // 7) l using (image_id, x, y))", _SHEETS, _spread("width", "height", "sheets"), px=PV))
 def r007_frames_to_grid(spark, sf_dir):
     return compose.frames_to_grid(_grid_frames(spark, sf_dir))[0]
 
 
-@query(with_px("select cast(image_id as bigint) image_id, cast(o as int) ord, printf('frame_%03d', o) id, cast(o % 3 * 8 as int) min_x, cast(o // 3 * 8 as int) min_y, cast(o % 3 * 8 + 8 as int) max_x, cast(o // 3 * 8 + 8 as int) max_y from (select distinct image_id // 7 image_id from px where image_id < 70), (select unnest(range(0, 7)) o)", px=PV))
+@query(with_px("select cast(image_id as bigint) image_id, cast(o as int) ord, printf('frame_%03d', o) id, cast(o % cols * 8 as int) min_x, cast(o // cols * 8 as int) min_y, cast(o % cols * 8 + 8 as int) max_x, cast(o // cols * 8 + 8 as int) max_y from (select *, unnest(range(0, n)) o from sheets)", _SHEETS, px=PV))
 def r007b_grid_cells(spark, sf_dir):
     return compose.frames_to_grid(_grid_frames(spark, sf_dir))[1]
 
@@ -247,7 +254,7 @@ events(lambda px: geometry.seamless(px, 4), with_px(f"""select {OUT} from (selec
 from (select *, greatest(0.0::float, 1.0::float - (abs(x - 8) / 4.0::float)::float, 1.0::float - (abs(y - 8) / 4.0::float)::float) > ({_bayer}[(y & 3) * 4 + (x & 3) + 1] / 16.0::float)::float p from px) t join px s on s.image_id = t.image_id and s.x = (t.x + 8) % 16 and s.y = (t.y + 8) % 16)"""), "r082_seamless")
 events(lambda px: geometry.crop_to_grid(px, 4, 5, 1, 0, 1, 2), with_px(f"select {OUT} from (select image_id, x - 1 x, y - 2 y, r, g, b, a from px where x >= 1 and x < 15 and y >= 2 and y < 12)"), "r083_crop_to_grid")
 events(lambda px: geometry.crop(px, rasters.cells(images_of(px)).where("ord = 3")), with_px(f"select {OUT} from (select image_id, x - 4 x, y - 4 y, r, g, b, a from px where x >= 4 and y >= 4)"), "r084_crop_selection")
-vectors(lambda px: geometry.tile_preview(px.where("image_id < 40")), with_px(f"select {OUT} from (select image_id, x + 8 * i x, y + 8 * j y, r, g, b, a from px, (select unnest(range(0, 3)) i), (select unnest(range(0, 3)) j) where image_id < 40)", px=PV), "r085_tile_preview")
+vectors(geometry.tile_preview, with_px(f"select {OUT} from (select image_id, x + 8 * i x, y + 8 * j y, r, g, b, a from px, (select unnest(range(0, 3)) i), (select unnest(range(0, 3)) j))", px=PV), "r085_tile_preview")
 
 # ---- generated tables ----------------------------------------------------------------------
 
@@ -390,10 +397,10 @@ def r099d_drag_snap(spark, sf_dir):
 
 
 def _points(px):
-    return px.where("x % 3 = 0").select("image_id", (F.col("y") * 8 + F.col("x")).cast("long").alias("point_id"), (F.col("x") + 0.5).cast("double").alias("wx"), (F.col("y") * F.lit(1.1)).alias("wy"))
+    return px.select("image_id", (F.col("y") * 8 + F.col("x")).cast("long").alias("point_id"), (F.col("x") + 0.5).cast("double").alias("wx"), (F.col("y") * F.lit(1.1)).alias("wy"))
 
 
-_hit = """pts as (select image_id, cast(y * 8 + x as bigint) point_id, x + 0.5::double wx, y * 1.1::double wy from px where x % 3 = 0)
+_hit = """pts as (select image_id, cast(y * 8 + x as bigint) point_id, x + 0.5::double wx, y * 1.1::double wy from px)
 select p.image_id, point_id, min(ord) ord, 'k' || min(ord) id from pts p left join cells c on c.image_id = p.image_id and wx >= min_x and wx < max_x and wy >= min_y and wy < max_y group by p.image_id, point_id"""
 on_cells(lambda px, c: cells.hit_test(_points(px), c), "with " + ",\n".join([PV, IMG, CELLS, _hit]), "r112_hit_test")
 _snapl = """vs as (select image_id, cast(y * 8 + x as bigint) value_id, x * 1.3::double v from px), ls as (select distinct image_id, unnest([min_x, max_x]) l from cells),
@@ -584,29 +591,3 @@ def r118_world_ticks(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "SQL", "aggregate", "components", "pointwise", "stencil"]
-
-# ---- all images and points, where the queries above (and their SQL) keep a few ---------------
-
-
-def _all_frames(spark, sf_dir):
-    px = rasters.px_vectors(spark, sf_dir)
-    return px.select(F.call_function("div", F.col("image_id"), F.lit(7)).alias("sheet_id"), (F.col("image_id") % 7).cast("int").alias("ord"), "x", "y", *"rgba")
-
-
-@query()
-def r007_frames_to_grid_all(spark, sf_dir):
-    return compose.frames_to_grid(_all_frames(spark, sf_dir))[0]
-
-
-def _all_points(px):
-    return px.select("image_id", (F.col("y") * 8 + F.col("x")).cast("long").alias("point_id"), (F.col("x") + 0.5).cast("double").alias("wx"), (F.col("y") * F.lit(1.1)).alias("wy"))
-
-
-vectors(geometry.tile_preview, SQL["r085_tile_preview"].replace(" where image_id < 40", ""), "r085_tile_preview_all")
-on_cells(lambda px, c: cells.hit_test(_all_points(px), c), SQL["r112_hit_test"].replace(" where x % 3 = 0", ""), "r112_hit_test_all")
-on_cells(lambda px, c: cells.hit_test(_all_points(px).withColumn("wx", F.col("wx") - 0.5), c), SQL["r104_cell_click"].replace(" where x % 3 = 0", ""), "r104_cell_click_all")
-
-
-@query()
-def r007b_grid_cells_all(spark, sf_dir):
-    return compose.frames_to_grid(_all_frames(spark, sf_dir))[1]

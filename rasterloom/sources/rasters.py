@@ -11,15 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def px_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16x16 images of 256 events each, in the order of their dense ids; an incomplete last one is left out."""
-    events = table(spark, sf_dir, "events")
-    whole = events.count() // 256 * 256  # from the files' footers
-    d = events.where(F.col("event_id") < whole).select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return d.selectExpr(
+    """16x16 images of 256 events each, by their ids; places without an event, as at the end of the last image, are transparent."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    ids = events.agg(F.count("event_id").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    n = (ids["hi"] // 256 + 1) * 256 if ids["n"] else 0
+    if ids["n"] and ids["lo"] == 0 and ids["n"] == ids["hi"] + 1:  # dense: only the end is missing
+        gaps = spark.range(ids["hi"] + 1, n, 1, 1).withColumnRenamed("id", "event_id")
+    else:
+        gaps = spark.range(n).withColumnRenamed("id", "event_id").join(events, "event_id", "left_anti")
+    d = events.selectExpr(
         "cast(event_id div 256 as bigint) image_id", "cast(event_id % 16 as int) x", "cast((event_id div 16) % 16 as int) y",
         "cast((user_id % 4) * 64 as int) r", "cast((k % 4) * 80 as int) g", "cast(user_id % 3 * 100 as int) b",
         "case event_type when 'error' then 0 when 'signup' then 96 when 'click' then 128 else 255 end a",
     )
+    return d.unionByName(gaps.selectExpr("cast(event_id div 256 as bigint) image_id", "cast(event_id % 16 as int) x", "cast((event_id div 16) % 16 as int) y", "0 r", "0 g", "0 b", "0 a")) if n else d
 
 
 def px_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

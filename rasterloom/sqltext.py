@@ -6,7 +6,10 @@ PX = """px as (
   select cast(event_id // 256 as bigint) image_id, cast(event_id % 16 as int) x, cast((event_id // 16) % 16 as int) y,
     cast((user_id % 4) * 64 as int) r, cast((cast(json_extract_string(props, '$.k') as int) % 4) * 80 as int) g, cast(user_id % 3 * 100 as int) b,
     case event_type when 'error' then 0 when 'signup' then 96 when 'click' then 128 else 255 end a
-  from events where event_id < (select count(*) // 256 * 256 from events)
+  from events
+  union all
+  select cast(i // 256 as bigint), cast(i % 16 as int), cast((i // 16) % 16 as int), 0, 0, 0, 0
+  from (select unnest(range(0, (max(event_id) // 256 + 1) * 256)) i from events) where i not in (select event_id from events)
 )"""
 PV = """px as (
   select cast(vec_id as bigint) image_id, cast(pos % 8 as int) x, cast(pos // 8 as int) y, l r, 255 - l g, cast(pos * 37 % 256 as int) b,
