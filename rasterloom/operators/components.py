@@ -1,7 +1,16 @@
-"""Connected pixels: labels per image, and labels across tiles for images too large for a task."""
+"""Connected pixels.
+
+Images that fit a task are labelled whole.  Larger ones are cut into tiles: each
+is labelled alone and becomes one packed row; the labels along the edges of tiles
+are joined up image by image, which takes the edge lines alone (some thousandth
+of the pixels); then each tile gets its labels' final names back.  Operators count
+the pixels of the largest image to choose (``COUNTED``), unless told by ``tile``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,30 +18,35 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators.pointwise import matches_key
 from rasterloom.operators.stencil import sobel_edges
-from rasterloom.schema import cleared, recolour
+from rasterloom.schema import cleared, images_of, recolour
+from rasterloom.shared import shared_dir
 
+#: Images of more pixels go by tiles of this side.
+LARGE, TILE = 1 << 22, 1024
+#: Operators choose by the pixels they count.
+COUNTED = "counted"
+
+
+def tile_for(px: DataFrame) -> int | None:
+    """The side of the tiles that the images need; None where each fits a task."""
+    most = px.groupBy("image_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return TILE if (most or 0) > LARGE else None
+
+
+def chosen(px: DataFrame, tile: int | str | None) -> int | None:
+    return tile_for(px) if tile == COUNTED else tile
 
-def label(mask: np.ndarray, eight: bool) -> np.ndarray:
-    """For each set pixel the smallest linear index of its component, -1 elsewhere.
 
-    Hooks the roots of adjacent pixels to the smaller one, then halves the paths,
-    until nothing changes; all pixels at once.
+def joined(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each node the smallest one that the edges (u, v) reach.
+
+    Hooks the roots of an edge's ends to the smaller one, then halves the paths,
+    until nothing changes; all edges at once.
     """
-    h, w = mask.shape
-    parent = np.arange(h * w)
-    at = parent.reshape(h, w)
-    shifts = [(at[:, :-1], at[:, 1:]), (at[:-1], at[1:])]
-    if eight:
-        shifts += [(at[:-1, :-1], at[1:, 1:]), (at[:-1, 1:], at[1:, :-1])]
-    flat = mask.ravel()
-    u = np.concatenate([p.ravel() for p, _ in shifts])
-    v = np.concatenate([q.ravel() for _, q in shifts])
-    both = flat[u] & flat[v]
-    u, v = u[both], v[both]
     while True:
         pu, pv = parent[u], parent[v]
         if (pu == pv).all():
-            break
+            return parent
         low = np.minimum(pu, pv)
         np.minimum.at(parent, pu, low)
         np.minimum.at(parent, pv, low)
@@ -41,14 +55,30 @@ def label(mask: np.ndarray, eight: bool) -> np.ndarray:
             if (up == parent).all():
                 break
             parent = up
+
+
+def label(mask: np.ndarray, eight: bool) -> np.ndarray:
+    """For each set pixel the smallest linear index of its component, -1 elsewhere."""
+    h, w = mask.shape
+    at = np.arange(h * w).reshape(h, w)
+    shifts = [(at[:, :-1], at[:, 1:]), (at[:-1], at[1:])]
+    if eight:
+        shifts += [(at[:-1, :-1], at[1:, 1:]), (at[:-1, 1:], at[1:, :-1])]
+    flat = mask.ravel()
+    u = np.concatenate([p.ravel() for p, _ in shifts])
+    v = np.concatenate([q.ravel() for _, q in shifts])
+    both = flat[u] & flat[v]
+    parent = joined(np.arange(h * w), u[both], v[both])
     return np.where(flat, parent, -1).reshape(h, w)
 
 
-def labelled(px: DataFrame, mask: Column, eight: bool) -> DataFrame:
+def labelled(px: DataFrame, mask: Column, eight: bool, tile: int | None = None) -> DataFrame:
     """``px`` with ``root``: smallest y*width+x of the pixel's component, null where the mask is false.
 
-    Images go to tasks whole; only place and mask go through Python.
+    Without ``tile`` images go to tasks whole; only place and mask go through Python.
     """
+    if tile:
+        return labelled_by_tiles(px, mask, eight, tile)
     d = px.select("image_id", "x", "y", mask.alias("m"))
 
     def run(key, t):
@@ -62,97 +92,188 @@ def labelled(px: DataFrame, mask: Column, eight: bool) -> DataFrame:
     return px.join(roots, ["image_id", "x", "y"])
 
 
-def labelled_by_tiles(px: DataFrame, mask: Column, eight: bool, tile: int = 1024) -> DataFrame:
-    """The same for images of any size: tiles are labelled alone, then labels that touch across borders are joined up.
+_TILE = "image_id long, tx int, ty int, w int, h int, roots binary"
+_EDGES = "image_id long, tx int, ty int, w int, h int, top binary, bottom binary, left binary, right binary"
+_NAMES = "image_id long, tx int, ty int, width long, nodes binary, root_x binary, root_y binary"
+#: Pixels that a batch of unpacked labels holds.
+_ROWS = 1 << 16
 
-    Rounds of smallest neighbouring label and its label; each is checkpointed
-    where a checkpoint folder is set, so that a lost executor repeats one round.
-    """
-    tx, ty = F.call_function("div", F.col("x"), F.lit(tile)), F.call_function("div", F.col("y"), F.lit(tile))
-    w = px.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("__w"))
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The labels along the four sides of each tile."""
+    for b in batches:
+        for r in b.to_pylist():
+            g = np.frombuffer(r["roots"], np.int32).reshape(r["h"], r["w"])
+            sides = [x.tobytes() for x in (g[0], g[-1], g[:, 0], g[:, -1])]
+            ints = [pa.array([r[c]], t) for c, t in (("image_id", pa.int64()), *((c, pa.int32()) for c in ("tx", "ty", "w", "h")))]
+            yield pa.RecordBatch.from_arrays([*ints, *(pa.array([x], pa.binary()) for x in sides)], [x.split()[0] for x in _EDGES.split(", ")])
+
+
+def _touching(a: np.ndarray, b: np.ndarray, eight: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places of two lines beside each other, of equal length or cut to it, that are set in both."""
+    n = min(len(a), len(b))
+    pairs = [(np.arange(n), np.arange(n))]
+    if eight:
+        pairs += [(np.arange(n - 1), np.arange(1, n)), (np.arange(1, n), np.arange(n - 1))]
+    return [(a[i][ok], b[j][ok]) for i, j in pairs for ok in [(a[i] >= 0) & (b[j] >= 0)]]
+
+
+def _names(tile: int, eight: bool):
+    """Of one image's edge lines: for each tile its labels that have another name in the whole image."""
+
+    def run(key, t):
+        rows = t.to_pylist()
+        at = {(r["tx"], r["ty"]): i for i, r in enumerate(rows)}
+        side = [{c: np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("top", "bottom", "left", "right")} for r in rows]
+        width = max(r["tx"] * tile + r["w"] for r in rows)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        each = tile * tile
+
+        def meet(i, j, a, b, diagonal):
+            for x, y in _touching(a, b, diagonal):
+                us.append(x + i * each)
+                vs.append(y + j * each)
+
+        for (x, y), i in at.items():
+            for (dx, dy), (mine, theirs) in {(1, 0): ("right", "left"), (0, 1): ("bottom", "top")}.items():
+                j = at.get((x + dx, y + dy))
+                if j is not None:
+                    meet(i, j, side[i][mine], side[j][theirs], eight)
+            for dx, corner in ((1, -1), (-1, 0)) if eight else ():
+                j = at.get((x + dx, y + 1))
+                if j is not None:
+                    meet(i, j, side[i]["bottom"][[corner]], side[j]["top"][[-1 - corner]], False)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        node = np.unique(np.concatenate([u, v]))
+        of, local = node // each, node % each
+        w = np.array([r["w"] for r in rows], np.int64)
+        gx = local % w[of] + np.array([r["tx"] for r in rows], np.int64)[of] * tile
+        gy = local // w[of] + np.array([r["ty"] for r in rows], np.int64)[of] * tile
+        order = np.lexsort((gx, gy))  # so that the smallest is the first pixel of its component
+        node, of, local, gx, gy = (c[order] for c in (node, of, local, gx, gy))
+        by = np.argsort(node)
+        place = lambda e: by[np.searchsorted(node[by], e)]
+        root = joined(np.arange(len(node)), place(u), place(v))
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        moved = moved[np.argsort(of[moved], kind="stable")]
+        cuts = np.searchsorted(of[moved], np.arange(len(rows) + 1))
+        out = {c: [] for c in (x.split()[0] for x in _NAMES.split(", "))}
+        for i, r in enumerate(rows):
+            m = moved[cuts[i] : cuts[i + 1]]
+            for c, value in zip(out, (r["image_id"], r["tx"], r["ty"], width, local[m].tobytes(), gx[root[m]].tobytes(), gy[root[m]].tobytes()), strict=True):
+                out[c].append(value)
+        kinds = {"image_id": pa.int64(), "tx": pa.int32(), "ty": pa.int32(), "width": pa.int64()}
+        return pa.table({c: pa.array(x, kinds.get(c, pa.binary())) for c, x in out.items()})
+
+    return run
+
+
+def _unpacked(tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                (r,) = b.slice(i, 1).to_pylist()
+                roots, w = np.frombuffer(r["roots"], np.int32).astype(np.int64), r["w"]
+                nodes = np.frombuffer(r["nodes"], np.int64)
+                order = np.argsort(nodes)
+                to = (np.frombuffer(r["root_y"], np.int64) * r["width"] + np.frombuffer(r["root_x"], np.int64))[order]
+                nodes = nodes[order]
+                for a in range(0, len(roots), _ROWS):
+                    part = roots[a : a + _ROWS]
+                    y, x = np.divmod(np.arange(a, a + len(part)), w)
+                    ry, rx = np.divmod(part, w)
+                    root = (ry + r["ty"] * tile) * r["width"] + rx + r["tx"] * tile
+                    if len(nodes):
+                        k = np.searchsorted(nodes, part).clip(max=len(nodes) - 1)
+                        root = np.where(nodes[k] == part, to[k], root)
+                    xy = [pa.array((v + r[t] * tile).astype(np.int32)) for v, t in ((x, "tx"), (y, "ty"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["image_id"], np.int64)), *xy, pa.array(root, pa.int64(), mask=part < 0)], ["image_id", "x", "y", "root"])
+
+    return run
+
+
+def labelled_by_tiles(px: DataFrame, mask: Column, eight: bool, tile: int = TILE) -> DataFrame:
+    """``labelled`` for images of any size: no task holds more than a tile, or the edge lines of one image's tiles."""
+    tx, ty = (F.call_function("div", F.col(c), F.lit(tile)).cast("int") for c in ("x", "y"))
     d = px.select("image_id", "x", "y", mask.alias("m"), tx.alias("tx"), ty.alias("ty"))
 
     def run(key, t):
-        x, y = t.column("x").to_numpy().astype(np.int64), t.column("y").to_numpy().astype(np.int64)
         ox, oy = key[1].as_py() * tile, key[2].as_py() * tile
-        m = np.zeros((int((y - oy).max()) + 1, int((x - ox).max()) + 1), bool)
-        m[y - oy, x - ox] = t.column("m").to_numpy(zero_copy_only=False)
-        root = label(m, eight)[y - oy, x - ox]
-        ry, rx = np.divmod(np.maximum(root, 0), m.shape[1])
-        off = root < 0
-        return pa.table({"image_id": t.column("image_id"), "x": t.column("x"), "y": t.column("y"), "rx": pa.array(rx + ox, pa.int64(), mask=off), "ry": pa.array(ry + oy, pa.int64(), mask=off)})
-
-    local = d.groupBy("image_id", "tx", "ty").applyInArrow(run, "image_id long, x int, y int, rx long, ry long")
-    local = kept(local.join(w, "image_id").select("image_id", "x", "y", (F.col("ry") * F.col("__w") + F.col("rx")).alias("node")))
-    steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if eight else [])
-    border = local.where(F.col("node").isNotNull() & ((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)))
-    to = border.select("image_id", F.col("node").alias("a"), F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("p")).select("image_id", "a", "p.x", "p.y")
-    edges = to.join(border.withColumnRenamed("node", "b"), ["image_id", "x", "y"]).where(F.col("a") != F.col("b")).select("image_id", "a", "b").distinct()
-    edges = kept(edges.union(edges.select("image_id", "b", "a")).distinct())
-    labels = kept(edges.groupBy("image_id", F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
-    while True:
-        seen = edges.join(labels.withColumnRenamed("node", "b"), ["image_id", "b"]).select("image_id", F.col("a").alias("node"), "root")
-        low = labels.unionByName(seen).groupBy("image_id", "node").agg(F.min("root").alias("root"))
-        up = labels.select("image_id", F.col("node").alias("root"), F.col("root").alias("up"))
-        new = kept(low.join(up, ["image_id", "root"], "left").select("image_id", "node", F.least("root", F.coalesce("up", "root")).alias("root")))
-        if not new.join(labels.withColumnRenamed("root", "was"), ["image_id", "node"]).where("root != was").limit(1).count():
-            break
-        labels = new
-    roots = local.join(new, ["image_id", "node"], "left").select("image_id", "x", "y", F.coalesce("root", "node").alias("root"))
+        x, y = t.column("x").to_numpy().astype(np.int64) - ox, t.column("y").to_numpy().astype(np.int64) - oy
+        m = np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
+        m[y, x] = t.column("m").to_numpy(zero_copy_only=False)
+        packed = label(m, eight).astype(np.int32).tobytes()
+        ints = {"tx": key[1].as_py(), "ty": key[2].as_py(), "w": m.shape[1], "h": m.shape[0]}
+        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), **{c: pa.array([v], pa.int32()) for c, v in ints.items()}, "roots": pa.array([packed], pa.binary())})
+
+    tiles = kept(d.groupBy("image_id", "tx", "ty").applyInArrow(run, _TILE))  # read twice
+    names = tiles.mapInArrow(_edges, _EDGES).groupBy("image_id").applyInArrow(_names(tile, eight), _NAMES)
+    roots = tiles.join(names, ["image_id", "tx", "ty"]).mapInArrow(_unpacked(tile), "image_id long, x int, y int, root long")
     return px.join(roots, ["image_id", "x", "y"])
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that the session names; without one, as in tests, through a temporary one."""
+    """Cut the lineage through the shared folder, so that a lost executor costs a re-read."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def isolate_background(px: DataFrame, key: tuple[int, int, int], tolerance: float = 0, edge_threshold: float = 100, use_lab: bool = True, protect_edges: bool = True, eight: bool = True, seeds: DataFrame | None = None) -> DataFrame:
+def of_component(d: DataFrame, value: Column, name: str, tile: int | None) -> DataFrame:
+    """``d`` with an aggregate over each component: by a window where images fit a task, else summed up first and joined."""
+    if tile is None:
+        return d.withColumn(name, value.over(Window.partitionBy("image_id", "root")))
+    return d.join(d.where("root is not null").groupBy("image_id", "root").agg(value.alias(name)), ["image_id", "root"], "left")
+
+
+def isolate_background(px: DataFrame, key: tuple[int, int, int], tolerance: float = 0, edge_threshold: float = 100, use_lab: bool = True, protect_edges: bool = True, eight: bool = True, seeds: DataFrame | None = None, tile: int | str | None = COUNTED) -> DataFrame:
     """Remove the background that is reached from the border, and from ``seeds`` (image_id, x, y).
 
     A pixel lets through if it is transparent, or no strong edge and of the key's
     colour.  What is reached are the components that hold a seed.
     """
-    d = sobel_edges(px, edge_threshold) if protect_edges else px.withColumn("edge", F.lit(False))
+    tile = chosen(px, tile)
+    d = sobel_edges(px, edge_threshold, together=tile is None) if protect_edges else px.withColumn("edge", F.lit(False))
     passes = (F.col("a") == 0) | (~F.col("edge") & matches_key(key, tolerance, use_lab))
-    d = labelled(d, passes, eight)
-    per_image = Window.partitionBy("image_id")
-    rim = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.max("x").over(per_image)) | (F.col("y") == F.max("y").over(per_image))
-    d = d.withColumn("__seed", rim)
+    d = labelled(d, passes, eight, tile)
+    if tile is None:
+        per_image = Window.partitionBy("image_id")
+        right, low = F.max("x").over(per_image), F.max("y").over(per_image)
+    else:
+        d = d.join(images_of(px).withColumnsRenamed({"width": "__w", "height": "__h"}), "image_id")
+        right, low = F.col("__w") - 1, F.col("__h") - 1
+    d = d.withColumn("__seed", (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == right) | (F.col("y") == low))
     if seeds is not None:
         d = d.join(seeds.select("image_id", "x", "y").distinct().withColumn("__more", F.lit(True)), ["image_id", "x", "y"], "left").withColumn("__seed", F.col("__seed") | F.coalesce("__more", F.lit(False)))
-    reached = F.max("__seed").over(Window.partitionBy("image_id", "root"))
-    d = d.withColumn("__reached", F.col("root").isNotNull() & reached)
+    d = of_component(d, F.max("__seed"), "__met", tile)
+    d = d.withColumn("__reached", F.col("root").isNotNull() & F.coalesce("__met", F.lit(False)))
     return cleared(d.select(*px.columns, "__reached"), F.col("__reached") & (F.col("a") != 0)).select(*px.columns)
 
 
-def denoise_islands(px: DataFrame, alpha: int = 1, least_area: int = 2, eight: bool = True) -> DataFrame:
+def denoise_islands(px: DataFrame, alpha: int = 1, least_area: int = 2, eight: bool = True, tile: int | str | None = COUNTED) -> DataFrame:
     """Remove components of fewer pixels than ``least_area``."""
-    d = labelled(px, F.col("a") >= alpha, eight)
-    d = d.withColumn("__n", F.count("*").over(Window.partitionBy("image_id", "root")))
+    tile = chosen(px, tile)
+    d = of_component(labelled(px, F.col("a") >= alpha, eight, tile), F.count("*"), "__n", tile)
     return cleared(d, F.col("root").isNotNull() & (F.col("__n") < least_area)).select(*px.columns)
 
 
-def remove_isolated(px: DataFrame, least_size: int = 4) -> DataFrame:
-    return denoise_islands(px, 1, least_size, eight=True)
+def remove_isolated(px: DataFrame, least_size: int = 4, tile: int | str | None = COUNTED) -> DataFrame:
+    return denoise_islands(px, 1, least_size, eight=True, tile=tile)
 
 
-def alpha_hysteresis(px: DataFrame, low: int, high: int) -> DataFrame:
+def alpha_hysteresis(px: DataFrame, low: int, high: int, tile: int | str | None = COUNTED) -> DataFrame:
     """Alpha at ``high`` or above stays; alpha above ``low`` stays if such pixels link it to one that does."""
     low, high = min(low, high), max(low, high)
-    d = labelled(px, (F.col("a") >= high) | (F.col("a") > low), False)
-    strong = F.max(F.col("a") >= high).over(Window.partitionBy("image_id", "root"))
-    return recolour(d.withColumn("__s", F.col("root").isNotNull() & strong), F.lit(True), a=F.when(F.col("__s"), 255).otherwise(0)).select(*px.columns)
+    tile = chosen(px, tile)
+    d = labelled(px, (F.col("a") >= high) | (F.col("a") > low), False, tile)
+    d = of_component(d, F.max(F.col("a") >= high), "__strong", tile)
+    return recolour(d.withColumn("__s", F.col("root").isNotNull() & F.coalesce("__strong", F.lit(False))), F.lit(True), a=F.when(F.col("__s"), 255).otherwise(0)).select(*px.columns)
 
 
-def slice_components(px: DataFrame, alpha: int = 1, least_area: int = 4, padding: int = 0, eight: bool = True) -> DataFrame:
+def slice_components(px: DataFrame, alpha: int = 1, least_area: int = 4, padding: int = 0, eight: bool = True, tile: int | str | None = COUNTED) -> DataFrame:
     """Cells around components, numbered by their first pixel after small ones are left out."""
-    d = labelled(px, F.col("a") >= alpha, eight).join(px.groupBy("image_id").agg((F.max("x") + 1).alias("__w"), (F.max("y") + 1).alias("__h")), "image_id")
+    d = labelled(px, F.col("a") >= alpha, eight, chosen(px, tile)).join(px.groupBy("image_id").agg((F.max("x") + 1).alias("__w"), (F.max("y") + 1).alias("__h")), "image_id")
     c = d.where(F.col("root").isNotNull()).groupBy("image_id", "root").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count("*").alias("n"), F.first("__w").alias("w"), F.first("__h").alias("h"))
     c = c.where(F.col("n") >= least_area).withColumn("ord", F.row_number().over(Window.partitionBy("image_id").orderBy("root")) - 1)
     return c.select(

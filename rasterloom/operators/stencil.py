@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.schema import cleared, packed, recolour
+from rasterloom.schema import cleared, images_of, packed, recolour
 
 #: Places of the neighbours in ``nb``, row by row.
 OFFSETS = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
@@ -32,8 +32,10 @@ def neighbours(px: DataFrame, value: Column | None = None, together: bool = True
     return d.withColumn(name, nb).drop("__v", "__h", "__u", "__d")
 
 
-def sized(px: DataFrame) -> DataFrame:
-    """``px`` with its image's width and height."""
+def sized(px: DataFrame, together: bool = True) -> DataFrame:
+    """``px`` with its image's width and height; a window over whole images, or for larger ones sizes that are joined on."""
+    if not together:
+        return px.join(images_of(px).withColumnsRenamed({"width": "__w", "height": "__h"}), "image_id")
     w = Window.partitionBy("image_id")
     return px.withColumns({"__w": F.max("x").over(w) + 1, "__h": F.max("y").over(w) + 1})
 
@@ -49,7 +51,7 @@ def there(cond):
 
 def defringe(px: DataFrame, opaque: int = 250, **how) -> DataFrame:
     """Half transparent pixels take the mean colour, cut to integers, of their opaque neighbours."""
-    d = sized(neighbours(px, **how))
+    d = sized(neighbours(px, **how), how.get("together", True))
     d = d.withColumn("__o", F.filter("nb", there(lambda n: n["a"] >= opaque)))
     fits = (F.col("a") > 0) & (F.col("a") < opaque) & (F.size("__o") > 0) & (F.col("__w") >= 2) & (F.col("__h") >= 2)
     mean = lambda c: F.call_function("div", F.aggregate("__o", F.lit(0), lambda s, n: s + n[c]), F.size("__o"))
@@ -68,7 +70,8 @@ def remove_outliers(px: DataFrame, tolerance: float = 20, **how) -> DataFrame:
 def median(px: DataFrame, **how) -> DataFrame:
     """3x3 median of each channel; beyond the edge its pixels repeat; images under 3x3 stay."""
     rows, cols = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    d = sized(px.repartition("image_id") if how.get("together", True) else px)
+    together = how.get("together", True)
+    d = sized(px.repartition("image_id") if together else px, together)
     d = d.withColumn("__c", F.struct("r", "g", "b", "a"))
     d = d.withColumn("__row", F.array(F.coalesce(F.lag("__c").over(rows), "__c"), "__c", F.coalesce(F.lead("__c").over(rows), "__c")))
     d = d.withColumn("__n", F.concat(F.coalesce(F.lag("__row").over(cols), "__row"), "__row", F.coalesce(F.lead("__row").over(cols), "__row")))

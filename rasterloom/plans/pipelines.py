@@ -31,6 +31,8 @@ class Options:
     outline: bool = False
     outline_colour: tuple[int, int, int, int] | None = None
     alpha: int | None = None
+    #: Side of the tiles of large images; by default as many pixels as are counted need.
+    tile: int | str | None = components.COUNTED
 
 
 #: Bundles of options (fixed values).
@@ -84,12 +86,15 @@ def run(px: DataFrame, o: Options | None = None) -> Run:
     key, tol = o.background or GREEN, max(0.0, o.tolerance)
     out = Run(px, px)
     steps: list[Column | str] = []
+    labels = (o.background_isolation and not o.background_snap) or (o.island_area or 0) > 0
+    tile = components.chosen(px, o.tile) if labels else None if o.tile == components.COUNTED else o.tile  # sizes stay, so counted once
+    whole = tile is None
     if o.background_isolation:
         if o.background_snap:
             out.px = pointwise.snap_background(out.px, key, tol)
             steps.append(f"background snap (tol {number(tol)})")
         else:
-            out.px = components.isolate_background(out.px, key, tol, edge_threshold(tol))
+            out.px = components.isolate_background(out.px, key, tol, edge_threshold(tol), tile=tile)
             out.counts = removed_counts(px, out.px)
             steps.append(F.concat(F.lit(f"background isolation (tol {number(tol)}, removed "), F.col("removed").cast("string"), F.lit(")")))
     if o.quantize:
@@ -97,13 +102,13 @@ def run(px: DataFrame, o: Options | None = None) -> Run:
         out.px = palette.map_to_palette(out.px, out.palette, by="image_id")
         steps.append(F.when(F.col("colours") > 0, F.concat(F.lit(f"quantize {o.quantizer} ("), F.col("colours").cast("string"), F.lit(")"))))
     if o.majority:
-        out.px = stencil.majority_denoise(out.px, max(1, o.majority_least))
+        out.px = stencil.majority_denoise(out.px, max(1, o.majority_least), together=whole)
         steps.append("majority denoise")
     if o.island_area is not None and o.island_area > 0:
-        out.px = components.denoise_islands(out.px, 1, o.island_area)
+        out.px = components.denoise_islands(out.px, 1, o.island_area, tile=tile)
         steps.append(f"island denoise (min {o.island_area})")
     if o.outline:
-        out.px = stencil.outline(out.px, o.outline_colour or BLACK)
+        out.px = stencil.outline(out.px, o.outline_colour or BLACK, together=whole)
         steps.append("outline 1px")
     if o.alpha is not None:
         out.px = pointwise.alpha_threshold(out.px, o.alpha)
@@ -133,6 +138,7 @@ class Cleanup:
     reduce_palette: bool = False
     colours: int = 16
     dither: bool = False
+    tile: int | str | None = components.COUNTED
 
 
 def clean(px: DataFrame, o: Cleanup | None = None) -> Run:
@@ -140,21 +146,23 @@ def clean(px: DataFrame, o: Cleanup | None = None) -> Run:
     o = o or Cleanup()
     out = Run(px, px)
     steps: list[Column | str] = []
+    tile = components.chosen(px, o.tile)
+    whole = tile is None
     if o.remove_background:
-        out.px = components.isolate_background(out.px, o.key, o.tolerance, edge_threshold(o.tolerance))
+        out.px = components.isolate_background(out.px, o.key, o.tolerance, edge_threshold(o.tolerance), tile=tile)
         out.counts = removed_counts(px, out.px)
         steps.append(F.concat(F.lit(f"sfondo (tol {number(o.tolerance)}, rimossi "), F.col("removed").cast("string"), F.lit(")")))
     if o.defringe:
-        out.px = stencil.defringe(out.px, o.opaque)
+        out.px = stencil.defringe(out.px, o.opaque, together=whole)
         steps.append(f"defringe (opaque ≥ {o.opaque})")
     if o.binarize:
         out.px = pointwise.alpha_threshold(out.px, o.alpha)
         steps.append(f"alpha→{o.alpha}")
     if o.spikes:
-        out.px = stencil.median(out.px)
+        out.px = stencil.median(out.px, together=whole)
         steps.append("median 3×3")
     if o.islands:
-        out.px = components.denoise_islands(out.px, 1, max(1, o.island_size))
+        out.px = components.denoise_islands(out.px, 1, max(1, o.island_size), tile=tile)
         steps.append(f"isole < {o.island_size}")
     if o.reduce_palette:
         k = min(256, max(2, o.colours))

@@ -248,7 +248,7 @@ vectors(lambda px: geometry.crop_pipeline(px, mode="trim_padded", alpha=200, pad
 events(lambda px: geometry.pad(px, 1, -3, 2, 4), with_px(f"select {OUT} from (select gr.image_id, gr.x, gr.y, {_none} from gr left join (select image_id, x + 1 x, y, r, g, b, a from px) l using (image_id, x, y))", IMG, _spread("width + 3", "height + 4")), "r080_pad")
 events(lambda px: geometry.pad_to_multiple(px, 10), with_px(f"select {OUT} from (select gr.image_id, gr.x, gr.y, {_none} from gr left join px using (image_id, x, y))", IMG, _spread("20", "20")), "r080b_pad_to_multiple")
 events(lambda px: geometry.mirror(px), with_px(f"select {OUT} from (select t.image_id, t.x, t.y, s.r, s.g, s.b, s.a from px t join px s on s.image_id = t.image_id and s.y = t.y and s.x = case when t.x >= 8 then 15 - t.x else t.x end)"), "r081_mirror_horizontal")
-events(lambda px: geometry.mirror(px.where("x < 15 and y < 13"), True, False), with_px(f"select {OUT} from (select t.image_id, t.x, t.y, s.r, s.g, s.b, s.a from px t join px s on s.image_id = t.image_id and s.x = t.x and s.y = case when t.y < 6 then 12 - t.y else t.y end where t.x < 15 and t.y < 13)"), "r081b_mirror_vertical")
+events(lambda px: geometry.mirror(geometry.pad(px, 0, 0, 1, 1), True, False), with_px(f"select {OUT} from (select t.image_id, t.x, t.y, coalesce(s.r, 0) r, coalesce(s.g, 0) g, coalesce(s.b, 0) b, coalesce(s.a, 0) a from gr t left join px s on s.image_id = t.image_id and s.x = t.x and s.y = case when t.y < 8 then 16 - t.y else t.y end)", IMG, _spread("17", "17")), "r081b_mirror_vertical")
 _bayer = "[0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5]"
 events(lambda px: geometry.seamless(px, 4), with_px(f"""select {OUT} from (select t.image_id, t.x, t.y, case when p then t.r else s.r end r, case when p then t.g else s.g end g, case when p then t.b else s.b end b, case when p then t.a else s.a end a
 from (select *, greatest(0.0::float, 1.0::float - (abs(x - 8) / 4.0::float)::float, 1.0::float - (abs(y - 8) / 4.0::float)::float) > ({_bayer}[(y & 3) * 4 + (x & 3) + 1] / 16.0::float)::float p from px) t join px s on s.image_id = t.image_id and s.x = (t.x + 8) % 16 and s.y = (t.y + 8) % 16)"""), "r082_seamless")
