@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import golay
-from rasterloom.llm.common import Scratch, broadcast_if_small, materialize, pieces, unused
+from rasterloom.llm.common import Scratch, broadcast_if_small, let_go, materialize, pieces, unused
 from rasterloom.llm.graph import components
 
 SEED = 42
@@ -52,6 +52,8 @@ SEED = 42
 PAIRED = 16
 #: Segments of a fingerprint of shingle sets, and its bytes; longs of parity bits.
 SEGMENTS, WIDE, PARITY = 8, 23, 8
+#: Longs of parity bits of pairs that the leaders left unmet.
+BROAD = 64
 #: Rounds of leaders end when one adds no more than this share of the links; a last step finds what they leave.
 SETTLED = 0.001
 #: One document of so many shows which shingles are frequent, and at most so many are sent; both only settle an order, never a result.
@@ -200,13 +202,13 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), size))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """``PARITY`` longs whose bits say whether an odd number of the hashes fall on them.
+def parity(hashes: np.ndarray, longs: int = PARITY) -> np.ndarray:
+    """``longs`` longs whose bits say whether an odd number of the hashes fall on them.
 
     A shingle that only one of two sets holds changes one bit, so the bits in which
     two sets differ are never more than the shingles in which they differ.
     """
-    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -335,14 +337,39 @@ class Verifier:
         both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return scratch.keep(both.join(named("a"), "a").join(named("b"), "b").where(near).select("a", "b").distinct(), "close")
 
+    def texts(self, pairs: DataFrame, n: int) -> DataFrame:
+        """(node, text) of the ends of ``n`` pairs."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).cast("string").alias("text"))
+        return texts.join(broadcast_if_small(ends, 2 * n, 16), "node", "left_semi")
+
+    def closer(self, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        """The pairs that parities on ``BROAD`` bits don't rule out either: half a kilobyte an end, where texts may take many."""
+        size, least = self.size, self.least
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, 256):
+                sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h, BROAD).tobytes() for h in sets], pa.binary())], ["node", "n", "odd"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, 2048):
+                odd = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y")]
+                apart = np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1)
+                n = b.column("n").to_numpy(zero_copy_only=False)
+                at = pa.array(np.flatnonzero(apart <= n * (1 - least) / (1 + least) + 1e-6), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+
+        sketches = scratch.keep(self.texts(pairs, pairs.count()).mapInArrow(sketch, "node long, n long, odd binary"), "sketches")
+        both = pairs.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("y")), "b").join(sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("x")), "a")
+        return scratch.keep(both.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(run, "a long, b long"), "closer")
+
     def links(self, pairs: DataFrame, into: Scratch) -> DataFrame:
         """The pairs that are alike, kept in ``into``."""
         with Scratch() as scratch:
             close = self.candidates(pairs, scratch)
             n = close.count()
-            ends = close.select("a").union(close.select("b")).distinct()
-            texts = self.docs.select(F.col(self.id_col).cast("long").alias("node"), F.col(self.text_col).cast("string").alias("text"))
-            texts = scratch.keep(texts.join(broadcast_if_small(ends.withColumnRenamed("a", "node"), 2 * n, 16), "node", "left_semi"), "texts")
+            texts = scratch.keep(self.texts(close, n), "texts")
             size, least = self.size, self.least
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,13 +424,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 # what is joined up already goes on as one link a node
                 known = links if found is None else found.where(F.col("node") != F.col("label")).select(F.col("label").alias("a"), F.col("node").alias("b"))
                 found = components(known.union(more), scratch)
+            let_go(docs.sparkSession)
             if n_more <= total * SETTLED:
                 break
             open_ = star.select("key", "node", "rank").join(found, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("comp"))
         rest = star.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
         unmet = verifier.unmet(rest, scratch)
         if unmet.limit(1).count():
-            more = verifier.links(unmet, scratch)
+            more = verifier.links(verifier.closer(unmet, scratch), scratch)
             found = components(found.where(F.col("node") != F.col("label")).select(F.col("label").alias("a"), F.col("node").alias("b")).union(more), scratch)
         groups = ids.join(found, "node", "left").select(*same, F.coalesce("label", "node").alias("group_id"))
         return materialize(sigs.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("group_id").alias("group_id")), "groups")
