@@ -97,6 +97,15 @@ def lab_of(rgb: tuple[int, int, int]) -> np.ndarray:
     return np.array([sum(w * x for w, x in zip(m, root, strict=True)) for m in M2], np.float32)
 
 
+def labs_of(rgb: np.ndarray) -> np.ndarray:
+    """The same of many, (n, 3)."""
+    level = np.array([v / 12.92 if (v := c / 255.0) <= 0.04045 else math.pow((v + 0.055) / 1.055, 2.4) for c in range(256)])
+    dot = lambda m, v: m[0] * v[0] + m[1] * v[1] + m[2] * v[2]
+    lin = level[np.asarray(rgb).T]
+    root = [np.fromiter(map(math.cbrt, dot(m, lin).tolist()), float, lin.shape[1]) for m in M1]  # numpy's own differs by processor
+    return np.stack([dot(m, root) for m in M2], axis=1).astype(np.float32)
+
+
 def calibrated(key: tuple[int, int, int], tolerance: float) -> float:
     """The largest squared Lab distance that ``tolerance`` RGB steps make around a key."""
     steps = round(max(0.0, tolerance))  # halves to even

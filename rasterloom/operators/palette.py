@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.schema import per_image
+from rasterloom.operators.dither import dithered
 
 #: Colours of the presets (fixed values).
 PRESETS = {
@@ -65,13 +65,8 @@ def map_to_palette(px: DataFrame, palette: DataFrame, by: str | None = None) ->
 
 
 def dither_to_palette(px: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
-    """Floyd-Steinberg in FLOAT Lab, row by row; transparent pixels become (0, 0, 0, 0), and errors into them are lost.
-
-    Sequential within an image, so images are the unit.
-    """
-    if not palette:
-        return px
-    return per_image(px, lambda g: dither_grid(g, palette))
+    """Floyd-Steinberg, see ``dither``."""
+    return dithered(px, palette)
 
 
 # ---- extraction ----------------------------------------------------------------
@@ -183,45 +178,7 @@ def reduce(px: DataFrame, k: int = 16, kind: str = "wu", dither: bool = False, p
     own = extract(px, k, kind)
     if not dither:
         return map_to_palette(px, own, by="image_id")
-    colours_of = own.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("pal"))
-    d = px.join(colours_of, "image_id", "left")
-    return _dither_own(d)
-
-
-def _dither_own(d: DataFrame) -> DataFrame:
-    from rasterloom.schema import PX, grid_of, rows_of
-
-    def run(key, t):
-        pal = t.column("pal")[0].as_py()
-        g = grid_of(t)
-        if pal:
-            g = dither_grid(g, [(c["r"], c["g"], c["b"]) for c in pal])
-        return rows_of(key[0].as_py(), g)
-
-    return d.groupBy("image_id").applyInArrow(run, PX)
-
-
-#: Places and sixteenths of the error that they take (fixed values).
-SHARES = ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1))
-
-
-def dither_grid(g: np.ndarray, palette: list[tuple[int, int, int]]) -> np.ndarray:
-    """Floyd-Steinberg of one image."""
-    lab = np.array([color.lab_of(c) for c in palette], np.float32)
-    rgb = np.array(palette, np.int32)
-    h, w = g.shape[:2]
-    kinds, back = np.unique(g[..., :3].reshape(-1, 3), axis=0, return_inverse=True)
-    rest = np.array([color.lab_of(tuple(map(int, c))) for c in kinds], np.float32)[back.ravel()].reshape(h, w, 3)
-    out = np.zeros_like(g)
-    for y, x in zip(*np.nonzero(g[..., 3]), strict=True):
-        d = lab - rest[y, x]
-        k = int(np.argmin(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]))
-        error = rest[y, x] - lab[k]
-        out[y, x] = (*rgb[k], g[y, x, 3])
-        for dx, dy, n in SHARES:
-            if 0 <= x + dx < w and y + dy < h:
-                rest[y + dy, x + dx] += error * np.float32(n / 16)
-    return out
+    return dithered(px, own)
 
 
 def ranked(palette: DataFrame) -> DataFrame:
