@@ -484,7 +484,29 @@ def r076_reduce_to_preset(spark, sf_dir):
     return palette.reduce(rasters.px_vectors(spark, sf_dir), preset="GameBoyDMG")
 
 
-@query()
+def _dither_sql() -> str:
+    """Pixel by pixel over 8x8 images; ``e`` holds the errors of the last nine pixels, the oldest first."""
+    none = "{'l': 0::float, 'a': 0::float, 'b': 0::float}"
+    colours = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(palette.preset_colours("Pico8")))
+    from_ = lambda n, c: f"e[{n}].{c}"
+    sum_of = lambda c: f"(o.l.{c} + (case when o.x > 0 then {from_(1, c)} else 0::float end) * 0.0625::float + {from_(2, c)} * 0.3125::float + (case when o.x < 7 then {from_(3, c)} else 0::float end) * 0.1875::float + (case when o.x > 0 then {from_(9, c)} else 0::float end) * 0.4375::float)::float"
+    less = lambda c: f"(v.{c} - p.l.{c})::float"
+    return f"""with recursive {PV},
+pal as (select list({{'i': i, 'r': r, 'g': g, 'b': b, 'l': l}} order by i) ps from (select *, {lab("r", "g", "b")} l from (values {colours}) t(i, r, g, b))),
+own as (select image_id, x, y, y * 8 + x k, a, {lab("r", "g", "b")} l from px),
+walk as (
+  select distinct image_id, -1 k, 0 x, 0 y, 0 r, 0 g, 0 b, 0 a, [{", ".join([none] * 9)}] e from px
+  union all
+  select image_id, k, x, y, case when a = 0 then 0 else p.r end, case when a = 0 then 0 else p.g end, case when a = 0 then 0 else p.b end, a,
+    list_append(e[2:9], case when a = 0 then {none} else {{'l': {less("l")}, 'a': {less("a")}, 'b': {less("b")}}} end)
+  from (select *, ps[list_min(list_transform(ps, lambda c: {{'d': {dist("c.l", "v")}, 'i': c.i}})).i + 1] p
+        from (select o.image_id, o.k, o.x, o.y, o.a, e, ps, {{'l': {sum_of("l")}, 'a': {sum_of("a")}, 'b': {sum_of("b")}}} v
+              from walk join own o on o.image_id = walk.image_id and o.k = walk.k + 1, pal))
+)
+select {OUT} from walk where k >= 0"""
+
+
+@query(_dither_sql())
 def r072_dither(spark, sf_dir):
     return palette.dither_to_palette(rasters.px_vectors(spark, sf_dir), palette.preset_colours("Pico8"))
 
