@@ -6,7 +6,10 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,34 +63,6 @@ class Motion:
     max_speed: float = 280.0
 
 
-BODY = "struct<px:double,py:double,vx:double,vy:double>"
-
-
-def step(s: Column, dt: Column, ix: Column, iy: Column, m: Motion) -> Column:
-    """A body's state after one tick: speed from input or friction, capped, then the place from the new speed."""
-    size = F.sqrt(ix * ix + iy * iy)
-    pushed = (ix != 0) | (iy != 0)
-    keep = 1.0 - min(0.999999, max(0.0, m.friction))
-    speed = lambda v, i: F.when(pushed, s[v] + i / size * m.acceleration * dt).otherwise(s[v] * keep)
-    vx, vy = speed("vx", ix), speed("vy", iy)
-    fast = F.sqrt(vx * vx + vy * vy)
-    cap = F.when((fast > m.max_speed) & (fast > 0), F.lit(m.max_speed) / fast).otherwise(F.lit(1.0))
-    new = F.struct((s["px"] + vx * cap * dt).alias("px"), (s["py"] + vy * cap * dt).alias("py"), (vx * cap).alias("vx"), (vy * cap).alias("vy"))
-    return F.when(dt <= 0, s).otherwise(new).cast(BODY)
-
-
-def integrate(ticks: DataFrame, m: Motion | None = None, key: str = "body_id") -> DataFrame:
-    """(key, px, py, vx, vy): the last state of each body over its ticks (ord, dt, input_x, input_y), from rest.
-
-    A fold over a body's own ticks; bodies are the unit.
-    """
-    m = m or Motion()
-    log = F.sort_array(F.collect_list(F.struct("ord", "dt", "input_x", "input_y")))
-    start = F.struct(*[F.lit(0.0).alias(c) for c in ("px", "py", "vx", "vy")]).cast(BODY)
-    d = ticks.groupBy(key).agg(log.alias("log"))
-    return d.select(key, F.aggregate("log", start, lambda s, t: step(s, t["dt"], t["input_x"], t["input_y"], m)).alias("s")).select(key, "s.*")
-
-
 @dataclass(frozen=True)
 class World:
     """Ground and obstacles (half-open boxes); the player is 32 by 48, standing on its place."""
@@ -133,18 +108,66 @@ def tick(state: tuple[float, float, float, float], ix: float, iy: float, dt: flo
     return px, py, vx, vy
 
 
-def world_ticks(ticks: DataFrame, world: World, m: Motion | None = None, key: str = "body_id") -> DataFrame:
-    """(key, px, py, vx, vy) after all ticks of 1/60 s in a world."""
-    m = m or Motion()
-    schema = f"{key} long, px double, py double, vx double, vy double"
+def _folded(ticks: DataFrame, m: Motion, world: World | None, key: str) -> DataFrame:
+    """A body's ticks in order of (ord, dt, input_x, input_y), nulls first, folded from rest.
+
+    What a tick does depends on the capped speed before it, so the fold can't be
+    split; but nothing of it is held beyond the batch at hand.  Spark sorts (and
+    spills), ticks stream through, and four numbers pass from batch to batch, so a
+    body may have any number of them.
+    """
 
-    def run(k, pdf):
-        s = (0.0, 0.0, 0.0, 0.0)
-        for ix, iy in pdf.sort_values("ord")[["input_x", "input_y"]].itertuples(index=False):
-            s = tick(s, float(ix), float(iy), TICK, m, world)
-        return pd.DataFrame([(k[0], *s)], columns=[c.split()[0] for c in schema.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        body, s = None, None  # the body at hand, as a list of one; its state
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0)
+            start = [0, *(np.flatnonzero(_changes(keys)) + 1).tolist(), b.num_rows]
+            dt, ix, iy = (pc.fill_null(b.column(i), 0.0).to_numpy(zero_copy_only=False).tolist() for i in (1, 2, 3))
+            done: list[tuple] = []
+            for lo, hi in zip(start, start[1:], strict=False):
+                name = keys.slice(lo, 1)
+                if body is None or not body.equals(name):
+                    if body is not None:
+                        done.append((body, s))
+                    body, s = name, (0.0, 0.0, 0.0, 0.0)
+                for i in range(lo, hi):
+                    s = tick(s, ix[i], iy[i], dt[i], m, world)
+            yield from _states(done, names)
+        if body is not None:
+            yield from _states([(body, s)], names)
+
+    kind = ticks.schema[key].dataType.simpleString()
+    names = [key, "px", "py", "vx", "vy"]
+    columns = [F.col(key).alias(key), *[F.col(c).cast("double").alias(f"__{c}") for c in ("dt", "input_x", "input_y")]]
+    d = ticks.select(*columns, F.col("ord").alias("__ord")).repartition(key).sortWithinPartitions(key, "__ord", "__dt", "__input_x", "__input_y")
+    return d.select(key, "__dt", "__input_x", "__input_y").mapInArrow(run, f"`{key}` {kind}, px double, py double, vx double, vy double")
+
+
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before, nulls being alike."""
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    return pc.fill_null(pc.not_equal(a, b), pc.not_equal(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
+def _states(done: list[tuple], names: list[str]) -> list[pa.RecordBatch]:
+    if not done:
+        return []
+    return [pa.record_batch([pa.concat_arrays([k for k, _ in done]), *[pa.array([s[i] for _, s in done], pa.float64()) for i in range(4)]], names=names)]
 
-    return ticks.select(key, "ord", "input_x", "input_y").groupBy(key).applyInPandas(run, schema)
+
+def integrate(ticks: DataFrame, m: Motion | None = None, key: str = "body_id") -> DataFrame:
+    """(key, px, py, vx, vy): the last state of each body over its ticks (ord, dt, input_x, input_y), from rest.
+
+    A null dt is no time, a null input none; a null key is a body.
+    """
+    return _folded(ticks, m or Motion(), None, key)
+
+
+def world_ticks(ticks: DataFrame, world: World, m: Motion | None = None, key: str = "body_id") -> DataFrame:
+    """The same after all ticks, of 1/60 s each whatever their dt, in a world."""
+    return _folded(ticks.withColumn("dt", F.lit(TICK)), m or Motion(), world, key)
 
 
 def stream_motion(ticks: DataFrame, m: Motion | None = None, world: World | None = None, key: str = "body_id") -> DataFrame:
