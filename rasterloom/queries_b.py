@@ -607,9 +607,27 @@ def r117_motion(spark, sf_dir):
     return d.select("body_id", *[F.floor(F.col(c) * 100 + 0.5).cast("long").alias(c) for c in ("px", "py", "vx", "vy")])
 
 
-@query()
+_WORLD = ((20, 360, 80, 400), (-90, 300, -40, 400))
+
+
+def _world_sql() -> str:
+    """The ticks of ``_MOTION``, of 1/60 s each, in a world: moved, boxed, lifted off the ground, pushed by each obstacle in turn."""
+    ticks = _MOTION[: _MOTION.index(", s as (")]
+    dt = "(1.0::double / 60.0::double)"
+    d = f"select body_id, k, px + wx * cap * {dt} px, py + wy * cap * {dt} py, wx * cap vx, wy * cap vy from (select *, case when sqrt(wx * wx + wy * wy) > 280.0::double then 280.0::double / sqrt(wx * wx + wy * wy) else 1.0::double end cap from (select s.body_id, t.k, px, py, " + ", ".join(f"case when ix <> 0 or iy <> 0 then v{c} + i{c} / sqrt(ix * ix + iy * iy) * 1200.0::double * {dt} else v{c} * (1.0::double - 0.12::double) end w{c}" for c in "xy") + " from s join t on t.body_id = s.body_id and t.k = s.k + 1))"
+    d = f"select *, floor(px - 16.0::double) x0, floor(py - 48.0::double) y0, floor(px - 16.0::double + 32.0::double) x1, floor(py) y1 from ({d})"
+    d = f"select * replace (case when y1 > 400 then py - (y1 - 400) else py end as py) from ({d})"
+    for a, b, c, e in _WORLD:
+        d = f"select *, least(x1, {c}) - greatest(x0, {a}) wide, least(y1, {e}) - greatest(y0, {b}) tall from ({d})"
+        px = f"case when wide > 0 and tall > 0 and wide < tall then (case when px < {(a + c) / 2}::double then px - wide else px + wide end) else px end as px"
+        py = f"case when wide > 0 and tall > 0 and wide >= tall then (case when py < {(b + e) / 2}::double then py - tall else py + tall end) else py end as py"
+        d = f"select * exclude (wide, tall) replace ({px}, {py}) from ({d})"
+    return f"{ticks}, s as (select distinct body_id, cast(0 as bigint) k, 0.0::double px, 0.0::double py, 0.0::double vx, 0.0::double vy from t union all select body_id, k, px, py, vx, vy from ({d}))\nselect body_id, px, py, vx, vy from s where k = (select max(k) from t where t.body_id = s.body_id)"
+
+
+@query(_world_sql())
 def r118_world_ticks(spark, sf_dir):
-    return temporal.world_ticks(rasters.ticks(spark, sf_dir), temporal.World(400, ((20, 360, 80, 400), (-90, 300, -40, 400))))
+    return temporal.world_ticks(rasters.ticks(spark, sf_dir), temporal.World(400, _WORLD))
 
 
 __all__ = ["QUERIES", "SQL", "aggregate", "components", "pointwise", "stencil"]
