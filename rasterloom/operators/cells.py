@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalar
 from rasterloom.operators.aggregate import select_size, size_statistics
 from rasterloom.operators.compose import on_canvas
+from rasterloom.operators.prefix import before
 from rasterloom.schema import images_of
 
 BOX = ("min_x", "min_y", "max_x", "max_y")
@@ -160,30 +161,30 @@ def drag_snap(x: Column, y: Column, centre_x: Column, centre_y: Column, base_y:
 # ---- packing -----------------------------------------------------------------
 
 
-def pack_row(boxes: DataFrame, sheet: str = "sheet") -> DataFrame:
-    """(sheet, ord, x, y, w, h, atlas_w, atlas_h): side by side in order, centred upright."""
-    order, whole = Window.partitionBy(sheet).orderBy("ord"), Window.partitionBy(sheet)
-    x = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return boxes.select(sheet, "ord", x.cast("long").alias("x"), scalar.idiv(F.max("h").over(whole) - F.col("h"), 2).alias("y"), "w", "h", F.sum("w").over(whole).cast("long").alias("atlas_w"), F.max("h").over(whole).cast("int").alias("atlas_h"))
+def pack_row(boxes: DataFrame, sheet: str = "sheet", run: int | None = None) -> DataFrame:
+    """(sheet, ord, x, y, w, h, atlas_w, atlas_h): side by side in order, centred upright; equal orders go by size.
+
+    A sheet of more boxes than ``run`` is packed by ranges of its order, see ``prefix``.
+    """
+    d = before(boxes, sheet, ["ord", "w", "h"], ["w"], ["h"], run)
+    return d.select(sheet, "ord", F.col("__before_w").alias("x"), scalar.idiv(F.col("__max_h") - F.col("h"), 2).alias("y"), "w", "h", F.col("__all_w").alias("atlas_w"), F.col("__max_h").cast("int").alias("atlas_h"))
 
 
-def pack_uniform(boxes: DataFrame, cell_w: Column | int | None = None, cell_h: Column | int | None = None, sheet: str = "sheet") -> DataFrame:
+def pack_uniform(boxes: DataFrame, cell_w: Column | int | None = None, cell_h: Column | int | None = None, sheet: str = "sheet", run: int | None = None) -> DataFrame:
     """(sheet, ord, x, y, w, h of the slot, dx, dy of the content): equal slots, by default of the largest size."""
-    order, whole = Window.partitionBy(sheet).orderBy("ord"), Window.partitionBy(sheet)
-    lit = lambda v, c: F.max(c).over(whole) if v is None else v if isinstance(v, Column) else F.lit(v)
-    cw, ch = lit(cell_w, "w"), lit(cell_h, "h")
-    d = boxes.withColumns({"__cw": cw, "__ch": ch, "__i": F.row_number().over(order) - 1})
-    return d.select(sheet, "ord", (F.col("__i") * F.col("__cw")).cast("long").alias("x"), F.lit(0).alias("y"), F.col("__cw").cast("int").alias("w"), F.col("__ch").cast("int").alias("h"), scalar.idiv(F.col("__cw") - F.col("w"), 2).alias("dx"), scalar.idiv(F.col("__ch") - F.col("h"), 2).alias("dy"))
+    lit = lambda v, c: F.col(f"__max_{c}") if v is None else v if isinstance(v, Column) else F.lit(v)
+    d = before(boxes, sheet, ["ord", "w", "h"], [], ["w", "h"], run).withColumns({"__cw": lit(cell_w, "w"), "__ch": lit(cell_h, "h")})
+    return d.select(sheet, "ord", (F.col("__before_n") * F.col("__cw")).cast("long").alias("x"), F.lit(0).alias("y"), F.col("__cw").cast("int").alias("w"), F.col("__ch").cast("int").alias("h"), scalar.idiv(F.col("__cw") - F.col("w"), 2).alias("dx"), scalar.idiv(F.col("__ch") - F.col("h"), 2).alias("dy"))
 
 
-def export_layout(boxes: DataFrame, uniform: bool = False, custom: tuple[int, int] | None = None, sheet: str = "sheet") -> DataFrame:
+def export_layout(boxes: DataFrame, uniform: bool = False, custom: tuple[int, int] | None = None, sheet: str = "sheet", run: int | None = None) -> DataFrame:
     """Compact rows, equal cells, or cells of a custom size, which must hold the largest frame."""
     if custom is None:
-        return pack_uniform(boxes, sheet=sheet) if uniform else pack_row(boxes, sheet)
+        return pack_uniform(boxes, sheet=sheet, run=run) if uniform else pack_row(boxes, sheet, run)
     ok = (F.col("w") <= custom[0]) & (F.col("h") <= custom[1])
     text = F.concat(F.lit(f"custom cell {custom[0]}x{custom[1]} is smaller than frame "), F.col("w"), F.lit("x"), F.col("h"))
     checked = boxes.withColumn("w", F.when(ok, F.col("w")).otherwise(F.raise_error(text).cast("int")))
-    return pack_uniform(checked, *custom, sheet=sheet)
+    return pack_uniform(checked, *custom, sheet=sheet, run=run)
 
 
 def full_cells(images: DataFrame, cells: DataFrame) -> DataFrame:
