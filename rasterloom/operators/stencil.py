@@ -1,10 +1,11 @@
 """Operators on 3x3 neighbourhoods.
 
 The neighbours of every pixel come from two window passes: along rows, then
-along columns of what the rows gathered.  With ``together`` images are dealt to
-tasks whole, and both passes use that one shuffle; without it a row or a column
-is the unit, for images too large for a task.  Neighbours outside the image are
-null.  All operators read the pixels as they were.
+along columns of what the rows gathered.  Both use one shuffle.  Images go to
+tasks whole (``together``), or by square tiles: a tile carries a rim of its
+neighbours' pixels, which are dropped again, so that an image of any size is
+spread over tasks and only pixels at the tiles' edges are multiplied.  Neighbours
+outside the image are null.  All operators read the pixels as they were.
 """
 
 from __future__ import annotations
@@ -13,31 +14,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.schema import cleared, images_of, packed, recolour
+from rasterloom.schema import cleared, packed, recolour
 
 #: Places of the neighbours in ``nb``, row by row.
 OFFSETS = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 FOUR = (1, 3, 4, 6)
 
 
-def neighbours(px: DataFrame, value: Column | None = None, together: bool = True, name: str = "nb") -> DataFrame:
+#: Side of a tile.
+TILE = 1024
+
+
+def dealt(px: DataFrame, together: bool = True, tile: int = TILE, rim: int = 1) -> tuple[DataFrame, Window, Window, Column]:
+    """``px`` dealt to tasks, the windows along its rows and its columns, and what tells a tile's own pixels from its rim."""
+    if together:
+        unit, d, own = ["image_id"], px.repartition("image_id"), F.lit(True)
+    else:
+        at = lambda c: F.call_function("div", c, F.lit(tile)).cast("int")
+        reached = lambda c: F.explode(F.sequence(at(F.greatest(F.col(c) - rim, F.lit(0))), at(F.col(c) + rim)))
+        unit = ["image_id", "__tx", "__ty"]
+        d = px.withColumn("__tx", reached("x")).withColumn("__ty", reached("y")).repartition(*unit)
+        own = (F.col("__tx") == at(F.col("x"))) & (F.col("__ty") == at(F.col("y")))
+    return d, Window.partitionBy(*unit, "y").orderBy("x"), Window.partitionBy(*unit, "x").orderBy("y"), own
+
+
+def neighbours(px: DataFrame, value: Column | None = None, together: bool = True, name: str = "nb", tile: int = TILE) -> DataFrame:
     """``px`` with an array of the eight neighbours' values (their r, g, b, a by default)."""
     v = value if value is not None else F.struct("r", "g", "b", "a")
-    rows, cols = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    d = px.repartition("image_id") if together else px
+    d, rows, cols, own = dealt(px, together, tile)
     d = d.withColumn("__v", v)
     d = d.withColumn("__h", F.struct(F.lag("__v").over(rows).alias("l"), F.col("__v").alias("c"), F.lead("__v").over(rows).alias("r")))
-    d = d.withColumn("__u", F.lag("__h").over(cols)).withColumn("__d", F.lead("__h").over(cols))
+    d = d.withColumn("__u", F.lag("__h").over(cols)).withColumn("__d", F.lead("__h").over(cols)).where(own)
     nb = F.array("__u.l", "__u.c", "__u.r", "__h.l", "__h.r", "__d.l", "__d.c", "__d.r")
-    return d.withColumn(name, nb).drop("__v", "__h", "__u", "__d")
-
-
-def sized(px: DataFrame, together: bool = True) -> DataFrame:
-    """``px`` with its image's width and height; a window over whole images, or for larger ones sizes that are joined on."""
-    if not together:
-        return px.join(images_of(px).withColumnsRenamed({"width": "__w", "height": "__h"}), "image_id")
-    w = Window.partitionBy("image_id")
-    return px.withColumns({"__w": F.max("x").over(w) + 1, "__h": F.max("y").over(w) + 1})
+    return d.withColumn(name, nb).drop("__v", "__h", "__u", "__d", "__tx", "__ty")
 
 
 def _done(df: DataFrame, px: DataFrame) -> DataFrame:
@@ -51,9 +60,11 @@ def there(cond):
 
 def defringe(px: DataFrame, opaque: int = 250, **how) -> DataFrame:
     """Half transparent pixels take the mean colour, cut to integers, of their opaque neighbours."""
-    d = sized(neighbours(px, **how), how.get("together", True))
+    d = neighbours(px, **how)
     d = d.withColumn("__o", F.filter("nb", there(lambda n: n["a"] >= opaque)))
-    fits = (F.col("a") > 0) & (F.col("a") < opaque) & (F.size("__o") > 0) & (F.col("__w") >= 2) & (F.col("__h") >= 2)
+    fits = (F.col("a") > 0) & (F.col("a") < opaque) & (F.size("__o") > 0)
+    for one, other in ((1, 6), (3, 4)):  # images of one row or one column stay
+        fits = fits & (F.col("nb")[one].isNotNull() | F.col("nb")[other].isNotNull())
     mean = lambda c: F.call_function("div", F.aggregate("__o", F.lit(0), lambda s, n: s + n[c]), F.size("__o"))
     return _done(recolour(d, fits, **{c: mean(c) for c in "rgb"}), px)
 
@@ -67,16 +78,16 @@ def remove_outliers(px: DataFrame, tolerance: float = 20, **how) -> DataFrame:
     return _done(cleared(d, (F.col("a") != 0) & ~alike), px)
 
 
-def median(px: DataFrame, **how) -> DataFrame:
+def median(px: DataFrame, together: bool = True, tile: int = TILE) -> DataFrame:
     """3x3 median of each channel; beyond the edge its pixels repeat; images under 3x3 stay."""
-    rows, cols = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    together = how.get("together", True)
-    d = sized(px.repartition("image_id") if together else px, together)
+    d, rows, cols, own = dealt(px, together, tile, rim=2)
     d = d.withColumn("__c", F.struct("r", "g", "b", "a"))
-    d = d.withColumn("__row", F.array(F.coalesce(F.lag("__c").over(rows), "__c"), "__c", F.coalesce(F.lead("__c").over(rows), "__c")))
-    d = d.withColumn("__n", F.concat(F.coalesce(F.lag("__row").over(cols), "__row"), "__row", F.coalesce(F.lead("__row").over(cols), "__row")))
+    # of three in a line one has a neighbour on each side, and the others have two on one side
+    three = lambda c, w: (F.lag(c).over(w).isNotNull() & F.lead(c).over(w).isNotNull()) | F.lag(c, 2).over(w).isNotNull() | F.lead(c, 2).over(w).isNotNull()
+    d = d.withColumns({"__row": F.array(F.coalesce(F.lag("__c").over(rows), "__c"), "__c", F.coalesce(F.lead("__c").over(rows), "__c")), "__wide": three("__c", rows)})
+    d = d.withColumns({"__n": F.concat(F.coalesce(F.lag("__row").over(cols), "__row"), "__row", F.coalesce(F.lead("__row").over(cols), "__row")), "__tall": three("__c", cols)}).where(own)
     mid = lambda c: F.array_sort(F.transform("__n", lambda p: p[c]))[4]
-    return _done(recolour(d, (F.col("__w") >= 3) & (F.col("__h") >= 3), **{c: mid(c) for c in "rgba"}), px)
+    return _done(recolour(d, F.col("__wide") & F.col("__tall"), **{c: mid(c) for c in "rgba"}), px)
 
 
 def most_frequent(values: Column) -> Column:

@@ -65,8 +65,33 @@ def test_counted_pixels_choose(images, monkeypatch):
     assert rows(plan) == rows(components.denoise_islands(images, 1, 3, tile=None))
 
 
-def test_stencils_of_large_images_take_no_window_by_image(images):
-    for f in (stencil.defringe, stencil.median):
-        plan = f(images, together=False)._jdf.queryExecution().optimizedPlan().toString()
-        assert all("#" in part and "," in part.split("]")[0] for part in plan.split("windowspecdefinition(")[1:])
-        assert rows(f(images, together=False)) == rows(f(images))
+STENCILS = {
+    "defringe": stencil.defringe,
+    "outliers": lambda px, **how: stencil.remove_outliers(px, 40, **how),
+    "median": stencil.median,
+    "majority": stencil.majority_denoise,
+    "erode": lambda px, **how: stencil.erode(px, 2, **how),
+    "dilate": lambda px, **how: stencil.dilate(px, 2, **how),
+    "opened": stencil.opened,
+    "closed": stencil.closed,
+    "outline": lambda px, **how: stencil.outline(px, (1, 2, 3, 4), True, **how),
+    "sobel": lambda px, **how: stencil.sobel_edges(px, 90, **how),
+}
+
+
+@pytest.mark.parametrize("name", STENCILS)
+def test_stencils_by_tiles(images, px_of, name):
+    f = STENCILS[name]
+    small = px_of(*[np.full((h, w, 4), 40 * h + w) + 60 * np.arange(w)[None, :, None] for h, w in ((1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (4, 3))])
+    for d in (images, small.withColumn("a", F.col("a") % 256)):
+        whole = rows(f(d))
+        assert rows(f(d, together=False, tile=3)) == whole == rows(f(d, together=False))
+    if name in ("median", "outline"):
+        assert rows(f(images, together=False, tile=1)) == rows(f(images))
+
+
+def test_stencils_of_large_images_take_one_shuffle_and_no_window_by_image(images):
+    for f in (stencil.defringe, stencil.median, stencil.majority_denoise):
+        q = f(images, together=False)._jdf.queryExecution()
+        assert all("__tx" in part.split("]")[0] for part in q.optimizedPlan().toString().split("windowspecdefinition(")[1:])
+        assert q.executedPlan().toString().count("Exchange hashpartitioning") == 1
