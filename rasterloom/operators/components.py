@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions import color
 from rasterloom.operators.pointwise import matches_key
 from rasterloom.operators.stencil import sobel_edges
 from rasterloom.schema import cleared, images_of, recolour
@@ -227,16 +228,33 @@ def of_component(d: DataFrame, value: Column, name: str, tile: int | None) -> Da
     return d.join(d.where("root is not null").groupBy("image_id", "root").agg(value.alias(name)), ["image_id", "root"], "left")
 
 
-def isolate_background(px: DataFrame, key: tuple[int, int, int], tolerance: float = 0, edge_threshold: float = 100, use_lab: bool = True, protect_edges: bool = True, eight: bool = True, seeds: DataFrame | None = None, tile: int | str | None = COUNTED) -> DataFrame:
-    """Remove the background that is reached from the border, and from ``seeds`` (image_id, x, y).
+def of_image(d: DataFrame, value: Column, name: str, tile: int | None) -> DataFrame:
+    """``d`` with an aggregate over each image, in the same two ways."""
+    if tile is None:
+        return d.withColumn(name, value.over(Window.partitionBy("image_id")))
+    return d.join(d.groupBy("image_id").agg(value.alias(name)), "image_id", "left")
+
+
+def background(px: DataFrame, key: tuple[int, int, int] | DataFrame, tolerance: float = 0, edge_threshold: float = 100, use_lab: bool = True, protect_edges: bool = True, eight: bool = True, seeds: DataFrame | None = None, tile: int | None = None) -> DataFrame:
+    """``px`` with ``__reached``: is the pixel reached from the border, or from ``seeds`` (image_id, x, y)?
 
     A pixel lets through if it is transparent, or no strong edge and of the key's
-    colour.  What is reached are the components that hold a seed.
+    colour.  What is reached are the components that hold a seed.  ``key`` is one
+    colour, or a DataFrame (image_id, r, g, b) of one an image; its tolerance is
+    worked out once an image.
     """
-    tile = chosen(px, tile)
     d = sobel_edges(px, edge_threshold, together=tile is None) if protect_edges else px.withColumn("edge", F.lit(False))
-    passes = (F.col("a") == 0) | (~F.col("edge") & matches_key(key, tolerance, use_lab))
-    d = labelled(d, passes, eight, tile)
+    if isinstance(key, DataFrame):
+        rgb = [F.col(c) for c in "rgb"]
+        reach = color.calibrated_column(*rgb, tolerance).cast("double") if use_lab else F.lit(float(tolerance) ** 2)
+        keys = key.select("image_id", F.struct(color.oklab(*rgb).alias("lab"), *rgb, reach.alias("reach")).alias("__key"))
+        d = d.join(keys, "image_id")
+        own = [F.col(c) for c in "rgb"]
+        apart = color.lab_distance_sq(color.oklab(*own), F.col("__key.lab")).cast("double") if use_lab else color.rgb_distance_sq(tuple(own), tuple(F.col(f"__key.{c}") for c in "rgb"))
+        alike = apart <= F.col("__key.reach")
+    else:
+        alike = matches_key(key, tolerance, use_lab)
+    d = labelled(d, (F.col("a") == 0) | (~F.col("edge") & alike), eight, tile)
     if tile is None:
         per_image = Window.partitionBy("image_id")
         right, low = F.max("x").over(per_image), F.max("y").over(per_image)
@@ -247,8 +265,13 @@ def isolate_background(px: DataFrame, key: tuple[int, int, int], tolerance: floa
     if seeds is not None:
         d = d.join(seeds.select("image_id", "x", "y").distinct().withColumn("__more", F.lit(True)), ["image_id", "x", "y"], "left").withColumn("__seed", F.col("__seed") | F.coalesce("__more", F.lit(False)))
     d = of_component(d, F.max("__seed"), "__met", tile)
-    d = d.withColumn("__reached", F.col("root").isNotNull() & F.coalesce("__met", F.lit(False)))
-    return cleared(d.select(*px.columns, "__reached"), F.col("__reached") & (F.col("a") != 0)).select(*px.columns)
+    return d.select(*px.columns, (F.col("root").isNotNull() & F.coalesce("__met", F.lit(False))).alias("__reached"))
+
+
+def isolate_background(px: DataFrame, key: tuple[int, int, int] | DataFrame, tolerance: float = 0, edge_threshold: float = 100, use_lab: bool = True, protect_edges: bool = True, eight: bool = True, seeds: DataFrame | None = None, tile: int | str | None = COUNTED) -> DataFrame:
+    """Remove the ``background``."""
+    d = background(px, key, tolerance, edge_threshold, use_lab, protect_edges, eight, seeds, chosen(px, tile))
+    return cleared(d, F.col("__reached") & (F.col("a") != 0)).select(*px.columns)
 
 
 def denoise_islands(px: DataFrame, alpha: int = 1, least_area: int = 2, eight: bool = True, tile: int | str | None = COUNTED) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.color import normalise_hex, parse_hex
 from rasterloom.operators import aggregate, components, palette, pointwise, stencil
+from rasterloom.schema import cleared, recolour
 
 RGB = tuple[int, int, int]
 GREEN, BLACK = (0, 255, 0), (0, 0, 0, 255)
@@ -174,21 +175,20 @@ def clean(px: DataFrame, o: Cleanup | None = None) -> Run:
     return out
 
 
-def remove_background(px: DataFrame, key: RGB, tolerance: float, edge: float, alpha: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """The interactive tool on images that share a key: the key goes to the border colour it is near, then isolation, then alpha for images that lost pixels."""
-    keys = aggregate.snap_key(px, key)
-    out = None
-    for r in keys.select("r", "g", "b").distinct().collect():  # as many as there are border colours within reach of one key
-        part = px.join(keys.where((F.col("r") == r["r"]) & (F.col("g") == r["g"]) & (F.col("b") == r["b"])).select("image_id"), "image_id", "left_semi")
-        done = components.isolate_background(part, (r["r"], r["g"], r["b"]), tolerance, edge, seeds=seeds)
-        out = done if out is None else out.unionByName(done)
-    if out is None:
-        return px
-    if alpha is not None:
-        lost = removed_counts(px, out).where("removed > 0").select("image_id", F.lit(True).alias("__lost"))
-        flagged = out.join(lost, "image_id", "left")
-        out = flagged.select(*[F.when(F.col("__lost"), F.when(F.col("a") > alpha, 255).otherwise(0)).otherwise(F.col("a")).cast("int").alias("a") if c == "a" else F.col(c) for c in out.columns])
-    return out
+def remove_background(px: DataFrame, key: RGB, tolerance: float, edge: float, alpha: int | None = None, seeds: DataFrame | None = None, tile: int | str | None = components.COUNTED) -> DataFrame:
+    """The interactive tool: each image's key goes to the border colour it is near, then isolation, then alpha for images that lost pixels.
+
+    All images go through one plan, with their keys as a column.  ``alpha`` is kept within 1 to 254.
+    """
+    tile = components.chosen(px, tile)
+    d = components.background(px, aggregate.snap_key(px, key), tolerance, edge, seeds=seeds, tile=tile)
+    gone = F.col("__reached") & (F.col("a") != 0)
+    if alpha is None:
+        return cleared(d, gone).select(*px.columns)
+    d = components.of_image(d.withColumn("__gone", gone), F.max("__gone"), "__lost", tile)
+    cut = F.when(F.col("a") > min(254, max(1, alpha)), 255).otherwise(0)
+    d = recolour(d, F.col("__lost") & ~F.col("__gone"), a=cut)
+    return cleared(d, F.col("__gone")).select(*px.columns)
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Image processors by name, and a bounded history of plans."""
+"""Image processors by name, and bounded histories: of plans, and of changed pixels."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from rasterloom.schema import PX_COLS, grid_of, rows_of
+from rasterloom.schema import PX, PX_COLS, grid_of, packed, rows_of
+from rasterloom.shared import fresh_dir
 
 
 @dataclass(frozen=True)
@@ -68,3 +70,61 @@ class History:
         if self.past:
             self.current = self.past.pop()
         return self.current
+
+
+#: Of a logged pixel: its version above, then whether it is gone, then rgba.
+_VERSION, _GONE = 1 << 33, 1 << 32
+_LOG = "image_id long, x int, y int, code long"
+
+
+class Versions:
+    """Undo over a log of changed pixels in the shared folder.
+
+    A push writes what differs from the version before, pixels that are gone
+    included; a version is the last entry of each place up to it, from one scan
+    of one table, so its plan is as long after twenty pushes as after one.  After
+    ``2 * depth`` versions the oldest are folded into one.  Frames that were
+    handed out stay readable: folders are never written twice.  Channels are
+    bytes; a null image_id is an image.
+    """
+
+    def __init__(self, px: DataFrame, depth: int = 20):
+        if depth < 1:
+            raise ValueError("the depth is at least 1")
+        self.spark, self.depth, self.version, self.undoable = px.sparkSession, depth, 0, 0
+        self.folders = [self._written(px.select(*PX_COLS[:3], packed(a="a").alias("code")))]
+
+    def _written(self, log: DataFrame) -> str:
+        path = fresh_dir(self.spark, "versions")
+        log.write.parquet(path)
+        return path
+
+    def _last(self, folders: list[str]) -> DataFrame:
+        d = self.spark.read.schema(_LOG).parquet(*folders)
+        return d if len(folders) == 1 else d.groupBy("image_id", "x", "y").agg(F.max("code").alias("code"))
+
+    @property
+    def current(self) -> DataFrame:
+        d = self._last(self.folders).where(F.col("code").bitwiseAND(F.lit(_GONE)) == 0)
+        channel = lambda k: F.shiftright("code", k).bitwiseAND(F.lit(255)).cast("int")
+        return d.select(*PX_COLS[:3], *[channel(k).alias(c) for c, k in zip("rgba", (24, 16, 8, 0), strict=True)]).to(self.spark.createDataFrame([], PX).schema)
+
+    def push(self, new: DataFrame) -> DataFrame:
+        """Log the differences of ``new``; what had been undone can't be redone."""
+        of = lambda d, side: d.select(*PX_COLS[:3], F.lit(side).alias("side"), packed(a="a").alias("c"))
+        value: Column = F.max(F.when(F.col("side") == 0, F.col("c")))
+        d = of(self.current, 0).unionByName(of(new, 1)).groupBy("image_id", "x", "y").agg(value.alias("old"), F.max(F.when(F.col("side") == 1, F.col("c"))).alias("new"))
+        code = F.lit((self.version + 1) * _VERSION) + F.coalesce(F.col("new"), F.lit(_GONE))
+        self.folders.append(self._written(d.where(~F.col("old").eqNullSafe(F.col("new"))).select(*PX_COLS[:3], code.alias("code"))))
+        self.version, self.undoable = self.version + 1, min(self.depth, self.undoable + 1)
+        if len(self.folders) > 2 * self.depth:
+            keep = self.depth  # versions that can be gone back from
+            self.folders = [self._written(self._last(self.folders[:-keep])), *self.folders[-keep:]]
+        return self.current
+
+    def undo(self) -> DataFrame:
+        """The version before, or the same where ``depth`` doesn't reach."""
+        if self.undoable:
+            self.folders.pop()
+            self.version, self.undoable = self.version - 1, self.undoable - 1
+        return self.current

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalar
 from rasterloom.operators import aggregate, cells, components, compose, generate, geometry, palette, pointwise, stencil, validate
 from rasterloom.plans import pipelines
+from rasterloom.queries_a import _edge, _flood, _scan, _sobel
 from rasterloom.schema import images_of, recolour, to_raster
 from rasterloom.shared import fresh_dir
 from rasterloom.sources import exports, images, rasters, video
@@ -561,7 +562,28 @@ def r106_cleanup(spark, sf_dir):
     return pipelines.clean(rasters.px_events(spark, sf_dir), pipelines.Cleanup(key=(64, 80, 100))).px
 
 
-@query()
+def _interactive_sql() -> str:
+    """Keys by image, their tolerances, what lets through, what is reached, and alpha where an image lost pixels."""
+    moved = lambda c, m: f"greatest(0, least(255, {c} + {m}))"
+    key = f"""key as (
+  select image_id, case when d <= 3072 then c.r else 70 end kr, case when d <= 3072 then c.g else 90 end kg, case when d <= 3072 then c.b else 90 end kb
+  from (select image_id, min(d) d, arg_min({{'r': r, 'g': g, 'b': b}}, d::bigint * 10000000 + s) c from (select *, (r - 70) * (r - 70) + (g - 90) * (g - 90) + (b - 90) * (b - 90) d, {_scan} s from px where a <> 0 and least(x, y, 15 - x, 15 - y) < 3) group by image_id)
+  union all
+  select image_id, 70, 90, 90 from px group by image_id having count(*) filter (where a <> 0 and least(x, y, 15 - x, 15 - y) < 3) = 0
+)"""
+    near = f"""near as (
+  select kr, kg, kb, any_value(k) k, max({dist('k', 'm')}) reach
+  from (select kr, kg, kb, {lab("kr", "kg", "kb")} k, {lab(moved("kr", "mr"), moved("kg", "mg"), moved("kb", "mb"))} m
+        from (select distinct kr, kg, kb from key), (select unnest([30, -30, 0, 0, 0, 0, 30, -30]) mr, unnest([0, 0, 30, -30, 0, 0, 30, -30]) mg, unnest([0, 0, 0, 0, 30, -30, 30, -30]) mb))
+  group by kr, kg, kb
+)"""
+    lets = f"pass as (select image_id, x, y, r, g, b, a, (a = 0 or (not edge and {dist('c', 'k')}::double <= reach::double)) p from (select px.*, {lab('r', 'g', 'b')} c, k, reach, {_edge.format(t='57600.0')} edge from px join key using (image_id) join near using (kr, kg, kb) left join sob using (image_id, x, y)))"
+    gone = "gone as (select px.image_id, px.x, px.y from px join flood f on f.image_id = px.image_id and f.x = px.x and f.y = px.y where a <> 0)"
+    out = ", ".join(f"case when q.x is not null then 0 else {c} end {c}" for c in "rgb") + ", case when q.x is not null then 0 when px.image_id in (select image_id from gone) then (case when a > 128 then 255 else 0 end) else a end a"
+    return with_px(f"select {OUT} from (select px.image_id, px.x, px.y, {out} from px left join gone q on q.image_id = px.image_id and q.x = px.x and q.y = px.y)", NB, _sobel, key, near, lets, _flood, gone)
+
+
+@query(_interactive_sql())
 def r110_interactive_background(spark, sf_dir):
     return pipelines.remove_background(rasters.px_events(spark, sf_dir), (70, 90, 90), 30, 240, 128)
 

@@ -95,3 +95,25 @@ def test_stencils_of_large_images_take_one_shuffle_and_no_window_by_image(images
         q = f(images, together=False)._jdf.queryExecution()
         assert all("__tx" in part.split("]")[0] for part in q.optimizedPlan().toString().split("windowspecdefinition(")[1:])
         assert q.executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def interactive(g, key, tolerance, edge, alpha, seeds):
+    """One image by the plain steps; what lies at the border is looked through by the operator itself."""
+    out = components.isolate_background(g, key, tolerance, edge, seeds=seeds, tile=None)
+    lost = pipelines.removed_counts(g, out).first()["removed"]
+    return stencil.recolour(out, F.lit(True), a=F.when(F.col("a") > alpha, 255).otherwise(0)) if lost else out
+
+
+@pytest.mark.parametrize("tile", [None, 4])
+def test_interactive_removal_gives_each_image_its_own_key(images, spark, tile):
+    from rasterloom.operators import aggregate
+
+    seeds = spark.createDataFrame([(2, 4, 5), (6, 7, 7), (99, 0, 0)], "image_id long, x int, y int")
+    images = images.where("image_id in (0, 2, 6)")
+    got = pipelines.remove_background(images, (70, 70, 70), 25, 300, 400, seeds=seeds, tile=tile)  # 400 is taken as 254
+    keys = {r["image_id"]: tuple(r)[1:] for r in aggregate.snap_key(images, (70, 70, 70)).collect()}
+    assert len(set(keys.values())) > 1
+    want = []
+    for k, key in keys.items():
+        want += rows(interactive(images.where(F.col("image_id") == k), key, 25, 300, 254, seeds))
+    assert rows(got) == sorted(want)
