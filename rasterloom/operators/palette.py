@@ -123,7 +123,9 @@ def octree(hist: np.ndarray, k: int) -> np.ndarray:
 def extract(px: DataFrame, k: int, kind: str = "wu", by: str | None = "image_id") -> DataFrame:
     """(image_id, idx, r, g, b): up to ``k`` (2 to 256) colours of what isn't transparent, the lightest first.
 
-    ``by`` None takes all images as one.
+    Of equally light ones that which appears first, row by row; a mean colour
+    appears where the first pixel nearest to it does.  ``by`` None takes all images
+    as one, and equally light ones by value.
     """
     k = min(256, max(2, k))
     if kind.lower() not in ("wu", "octree"):
@@ -131,18 +133,24 @@ def extract(px: DataFrame, k: int, kind: str = "wu", by: str | None = "image_id"
     cut = octree if kind.lower() == "octree" else wu
     image = F.col(by) if by else F.lit(0)
     bins = [F.shiftright(c, 3) for c in "rgb"]
-    exact = px.where("a != 0").groupBy(image.cast("long").alias("image_id"), "r", "g", "b").agg(F.count("*").alias("n"))
-    per_bin = exact.groupBy("image_id", *[b.alias(f"q{i}") for i, b in enumerate(bins)]).agg(F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"])
+    # y, x as one number, so that the least is found without sorting
+    place = F.shiftleft(F.col("y").cast("long"), 32) + F.col("x") if by else F.lit(0).cast("long")
+    exact = px.where("a != 0").groupBy(image.cast("long").alias("image_id"), "r", "g", "b").agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    per_bin = exact.groupBy("image_id", *[b.alias(f"q{i}") for i, b in enumerate(bins)]).agg(F.sum("n").alias("n"), F.min("at").alias("at"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"])
     few = exact.groupBy("image_id").agg(F.count("*").alias("kinds"))
     # images of few colours keep them as they are; others are cut over histogram bins
-    hist = exact.join(few, "image_id").where(F.col("kinds") <= k).select("image_id", *[F.col(c).cast("double").alias(c) for c in "rgb"], "n")
-    hist = hist.unionByName(per_bin.join(few, "image_id").where(F.col("kinds") > k).select("image_id", *"rgb", "n"))
+    hist = exact.join(few, "image_id").where(F.col("kinds") <= k).select("image_id", *[F.col(c).cast("double").alias(c) for c in "rgb"], "n", "at")
+    hist = hist.unionByName(per_bin.join(few, "image_id").where(F.col("kinds") > k).select("image_id", *"rgb", "n", "at"))
 
     def run(key, t):
         rows = np.stack([t.column(c).to_numpy().astype(float) for c in ("r", "g", "b", "n")], axis=1)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        rows, at = rows[order], t.column("at").to_numpy()[order]
         c = np.unique(cut(rows, k), axis=0)
-        c = c[np.argsort(-(c @ np.array(color.LUMA)), kind="stable")]
+        first = np.full(len(c), np.iinfo(np.int64).max)
+        near = np.concatenate([np.argmin(((part[:, None, :3] - c[None]) ** 2).sum(axis=2), axis=1) for part in np.array_split(rows, 1 + len(rows) * len(c) // (1 << 18))])
+        np.minimum.at(first, near, at)
+        c = c[np.lexsort((first, -np.rint(c @ np.array(color.LUMA) * 1000)))]  # the weights are thousandths
         return pa.table({"image_id": [key[0].as_py()] * len(c), "idx": pa.array(range(len(c)), pa.int32()), **{n: pa.array(c[:, i], pa.int32()) for i, n in enumerate("rgb")}})
 
     return hist.groupBy("image_id").applyInArrow(run, "image_id long, idx int, r int, g int, b int")

@@ -175,6 +175,17 @@ def test_palettes(spark, px_of, grids_of):
     assert len(np.unique(out.reshape(-1, 4), axis=0)) <= 4
 
 
+def test_equally_light_colours_of_a_palette_go_by_first_appearance(px_of):
+    a, b = (23, 8, 15), (8, 17, 8)
+    assert np.dot(a, (299, 587, 114)) == np.dot(b, (299, 587, 114))
+    up, down = (np.array([[[*c, 255] for c in (p, q, (255, 255, 255), p)]]) for p, q in ((a, b), (b, a)))
+    for kind in ("wu", "octree"):
+        got = palette.extract(px_of(up, down, up[:, ::-1], down.transpose(1, 0, 2)), 8, kind)
+        own = {k: [tuple(r)[2:] for r in got.where(f"image_id = {k}").orderBy("idx").collect()] for k in range(4)}
+        white = [(255, 255, 255)]
+        assert own == {0: white + [a, b], 1: white + [b, a], 2: white + [a, b], 3: white + [b, a]}
+
+
 def test_dither_uses_the_palette_only_and_clears_what_is_transparent(px_of, grids_of):
     g = np.random.default_rng(1).integers(0, 256, (9, 9, 4))
     g[0, 0, 3] = 0
