@@ -72,14 +72,18 @@ def dither_to_palette(px: DataFrame, palette: list[tuple[int, int, int]]) -> Dat
 # ---- extraction ----------------------------------------------------------------
 
 
+def _spread(box: np.ndarray) -> float:
+    """The sum of squared deviations from the mean."""
+    return float((((box[:, :3] - np.average(box[:, :3], axis=0, weights=box[:, 3])) ** 2).sum(axis=1) * box[:, 3]).sum()) if len(box) > 1 else 0.0
+
+
 def wu(hist: np.ndarray, k: int) -> np.ndarray:
     """Rows (r, g, b, n) of distinct colours to at most ``k`` mean colours.
 
     The box with the largest sum of squared deviations is cut where that falls most.
     """
-    boxes = [hist]
+    boxes, spread = [hist], [_spread(hist)]
     while len(boxes) < k:
-        spread = [(((b[:, :3] - np.average(b[:, :3], axis=0, weights=b[:, 3])) ** 2).sum(axis=1) * b[:, 3]).sum() if len(b) > 1 else 0.0 for b in boxes]
         i = int(np.argmax(spread))
         if spread[i] <= 0:
             break
@@ -95,7 +99,8 @@ def wu(hist: np.ndarray, k: int) -> np.ndarray:
         if best[0] < 0:
             break
         s = b[np.argsort(b[:, best[1]], kind="stable")]
-        boxes[i : i + 1] = [s[: best[2] + 1], s[best[2] + 1 :]]
+        boxes[i : i + 1] = halves = [s[: best[2] + 1], s[best[2] + 1 :]]
+        spread[i : i + 1] = map(_spread, halves)  # the other boxes keep theirs
     return np.array([np.rint(np.average(b[:, :3], axis=0, weights=b[:, 3])) for b in boxes], np.int64)
 
 
