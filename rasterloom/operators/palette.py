@@ -129,7 +129,7 @@ def extract(px: DataFrame, k: int, kind: str = "wu", by: str | None = "image_id"
     """(image_id, idx, r, g, b): up to ``k`` (2 to 256) colours of what isn't transparent, the lightest first.
 
     Of equally light ones that which appears first, row by row; a mean colour
-    appears where the first pixel nearest to it does.  ``by`` None takes all images
+    appears where the first pixel of its nearest bins does.  ``by`` None takes all images
     as one, and equally light ones by value.
     """
     k = min(256, max(2, k))
