@@ -58,8 +58,50 @@ def test_the_index_stops_early_only_with_proof():
     c = np.floor(r.normal(0, 10, (500, 32)))
     c[:5] += 200
     q = c[:4].copy()
-    got = {i: (v.tolist(), s.tolist()) for i, v, s in topk.search_block(np.arange(4), q, np.arange(500), c, 10)}
+    got = {i: (v.tolist(), s.tolist()) for i, v, s in topk.search_block(np.arange(4), q, np.arange(500), topk.ImpactIndex.build(c), 10)}
     for i in range(4):
         s = (c @ q[i]).astype(int)
         want = sorted((-s[j], j) for j in range(500) if j != i)[:10]
         assert got[i] == ([j for _, j in want], [-x for x, _ in want])
+
+
+def _skewed(r, n, dims):
+    """Components that fall by a quarter from one dimension to the next."""
+    return np.floor(r.normal(0, 4000, (n, dims)) * 0.75 ** np.arange(dims))
+
+
+def test_skewed_vectors_take_few_postings():
+    r = np.random.default_rng(6)
+    c = _skewed(r, 3000, 32)
+    q = _skewed(r, 8, 32)
+    counts = {}
+    got = {i: (v.tolist(), s.tolist()) for i, v, s in topk.search_block(-1 - np.arange(8), q, np.arange(3000), topk.ImpactIndex.build(c), 10, counts=counts)}
+    for i in range(8):
+        s = (c @ q[i]).astype(int)
+        want = sorted((-s[j], j) for j in range(3000))[:10]
+        assert got[-1 - i] == ([j for _, j in want], [-x for x, _ in want])
+    assert 0 < counts["postings"] < 0.5 * 8 * np.count_nonzero(c)
+
+
+def test_a_floor_leaves_out_only_what_lies_below_it():
+    r = np.random.default_rng(7)
+    c, q = np.floor(r.normal(0, 10, (400, 16))), np.floor(r.normal(0, 10, (6, 16)))
+    index = topk.ImpactIndex.build(c)
+    free, bound = {}, {}
+    all_ = {i: list(zip(v.tolist(), s.tolist())) for i, v, s in topk.search_block(-1 - np.arange(6), q, np.arange(400), index, 10, counts=free)}
+    floor = np.array([all_[-1 - i][4][1] for i in range(6)], float)
+    some = {i: list(zip(v.tolist(), s.tolist())) for i, v, s in topk.search_block(-1 - np.arange(6), q, np.arange(400), index, 10, floor, bound)}
+    for i in range(6):
+        assert [x for x in some[-1 - i] if x[1] >= floor[i]] == [x for x in all_[-1 - i] if x[1] >= floor[i]]
+    assert bound["postings"] <= free["postings"]
+
+
+def test_postings_are_those_of_the_block():
+    c = np.array([[8.0, 0.0, -3.0], [0.0, 0.0, 0.0], [1.0, -7.0, 2.0]])
+    index = topk.ImpactIndex.build(c)
+    assert sorted(index.places.tolist()) == np.flatnonzero(c.ravel()).tolist()
+    scores = np.zeros((3, 2))
+    w = np.array([[1.0, 2.0], [3.0, 0.0], [-1.0, 5.0]])
+    assert sum(index.add(s, w, scores) for s in range(topk.SEGMENTS)) == 5
+    assert (scores == c @ w).all()
+    assert (index.left[-1] == 0).all() and (np.diff(index.left, axis=0) <= 0).all()
