@@ -107,15 +107,25 @@ def template(spark: SparkSession, o: Template | None = None, image_id: int = 0)
     Parts that overlap blend again: the corners of the border, the middle of the pivot.
     """
     o = o or Template()
+    sheet = spark.createDataFrame([(image_id, o.rows, o.cols)], "image_id long, rows int, cols int")
+    return templates(sheet, o)
+
+
+def templates(sheets: DataFrame, o: Template) -> DataFrame:
+    """``template`` for each row (image_id, rows, cols); the other options are those of ``o``.
+
+    Rows without rows or columns, or with nulls there, give no sheet.
+    """
     if o.rows < 1 or o.cols < 1 or o.cell_w < 4 or o.cell_h < 4:
         raise ValueError("at least one row and column, and cells of 4 by 4")
-    cells = spark.range(o.rows * o.cols).select(F.lit(image_id).cast("long").alias("image_id"), F.col("id").cast("int").alias("n"))
-    cells = cells.withColumns({"ox": (F.col("n") % o.cols) * o.cell_w, "oy": idiv(F.col("n"), o.cols) * o.cell_h})
+    sheets = sheets.where("rows > 0 and cols > 0").select(F.col("image_id").cast("long").alias("image_id"), F.col("rows").cast("int").alias("rows"), F.col("cols").cast("int").alias("cols"))
+    cells = sheets.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
+    cells = cells.withColumns({"i": F.col("n") % F.col("cols"), "j": idiv(F.col("n"), F.col("cols"))}).withColumns({"ox": F.col("i") * o.cell_w, "oy": F.col("j") * o.cell_h})
     part = "struct<z:int,x:int,y:int,w:int,h:int,r:int,g:int,b:int,a:int>"
     lit = lambda z, x, y, w, h, c: F.struct(*[v if isinstance(v, Column) else F.lit(v) for v in (z, x, y, w, h, *c)]).cast(part)
     rects = [lit(*r) for r in template_rects(o)]
     if o.show_tint:
-        even = (F.col("n") % o.cols + idiv(F.col("n"), o.cols)) % 2 == 0
+        even = (F.col("i") + F.col("j")) % 2 == 0
         rects.append(lit(0, 0, 0, o.cell_w, o.cell_h, [F.when(even, e).otherwise(d) for e, d in zip(o.tint_even, o.tint_odd, strict=True)]))
     parts = [cells.select("image_id", "ox", "oy", F.explode(F.array(*rects)).alias("p"))] if rects else []
     if o.show_index:
@@ -133,5 +143,4 @@ def template(spark: SparkSession, o: Template | None = None, image_id: int = 0)
     clip = clip.where("x0 < x1 and y0 < y1")
     dots = clip.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
     layers = dots.select("image_id", (F.col("ox") + F.col("x")).cast("int").alias("x"), (F.col("oy") + F.col("y")).cast("int").alias("y"), "z", *"rgba")
-    sizes = spark.createDataFrame([(image_id, o.cols * o.cell_w, o.rows * o.cell_h)], "image_id long, width int, height int")
-    return on_canvas(layers, sizes)
+    return on_canvas(layers, sheets.select("image_id", (F.col("cols") * o.cell_w).alias("width"), (F.col("rows") * o.cell_h).alias("height")))

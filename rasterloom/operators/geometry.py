@@ -31,9 +31,24 @@ def blank(spark, image_id: int, w: int, h: int, rgba: tuple[int, int, int, int])
     return at.select(F.lit(image_id).cast("long").alias("image_id"), (F.col("id") % w).cast("int").alias("x"), F.call_function("div", F.col("id"), F.lit(w)).cast("int").alias("y"), *[F.lit(v).cast("int").alias(c) for v, c in zip(rgba, "rgba", strict=True)])
 
 
+def blanks(sizes: DataFrame) -> DataFrame:
+    """A canvas for each row (image_id, width, height, r, g, b, a); rows with a side beyond 1 to 8192, or null, give none."""
+    fits = F.col("width").between(1, 8192) & F.col("height").between(1, 8192)
+    return grid(sizes.where(fits)).select(F.col("image_id").cast("long").alias("image_id"), "x", "y", *[F.col(c).cast("int").alias(c) for c in "rgba"])
+
+
 def disc(spark, image_id: int = 0) -> DataFrame:
     """A 64x64 atlas with a disc of radius 20 around its centre."""
-    px = blank(spark, image_id, 64, 64, (26, 26, 34, 255))
+    return _with_disc(blank(spark, image_id, 64, 64, (26, 26, 34, 255)))
+
+
+def discs(images: DataFrame) -> DataFrame:
+    """``disc`` for each row (image_id)."""
+    side = F.lit(64)
+    return _with_disc(blanks(images.select("image_id", side.alias("width"), side.alias("height"), *[F.lit(v).alias(c) for v, c in zip((26, 26, 34, 255), "rgba", strict=True)])))
+
+
+def _with_disc(px: DataFrame) -> DataFrame:
     inside = F.col("x").between(8, 55) & F.col("y").between(8, 55) & ((F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 32) * (F.col("y") - 32) < 400)
     return recolour(px, inside, r=200, g=80, b=255)
 

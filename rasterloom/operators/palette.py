@@ -37,6 +37,14 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, i, *c, 255) for n in PRESETS for i, c in enumerate(preset_colours(n))], PALETTE)
 
 
+def named(rows: DataFrame, name: str, *keep: str) -> DataFrame:
+    """(keep, palette_id, idx, r, g, b, a): the colours of the preset that each row names; none for names of no preset.
+
+    The presets are of fixed size, so they are broadcast.
+    """
+    return rows.select(*keep, F.col(name).alias("palette_id")).join(F.broadcast(presets(rows.sparkSession)), "palette_id").select(*keep, "palette_id", "idx", *"rgba")
+
+
 def nearest(palette: list[tuple[int, int, int]], r: Column, g: Column, b: Column) -> Column:
     """Index of the nearest colour of a palette of at most 256, in Lab; the first of equals."""
     own = color.oklab(r, g, b)

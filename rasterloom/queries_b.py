@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalar
 from rasterloom.operators import aggregate, cells, components, compose, generate, geometry, palette, pointwise, stencil, validate
 from rasterloom.plans import pipelines
-from rasterloom.queries_a import _edge, _flood, _scan, _sobel
+from rasterloom.queries_a import _edge, _flood, _gone, _majority, _scan, _sobel
 from rasterloom.schema import images_of, recolour, to_raster
 from rasterloom.shared import fresh_dir
 from rasterloom.sources import exports, images, rasters, video
-from rasterloom.sqltext import CELLS, IMG, NB, OUT, PV, PX, dist, fold, lab, reach
+from rasterloom.sqltext import CELLS, IMG, NB, OUT, PV, PX, calibrated, dist, fold, lab, reach
 from rasterloom.streaming import temporal
 
 QUERIES, SQL = {}, {}
@@ -107,15 +110,18 @@ def r007b_grid_cells(spark, sf_dir):
     return compose.frames_to_grid(_grid_frames(spark, sf_dir))[1]
 
 
-@query("select cast(0 as bigint) image_id, cast(x as int) x, cast(y as int) y, 1 r, 2 g, 3 b, 255 a from (select unnest(range(0, 40)) x), (select unnest(range(0, 30)) y)")
+@query("""select cast(c_custkey as bigint) image_id, cast(x as int) x, cast(y as int) y, cast(c_custkey % 256 as int) r, cast(c_nationkey * 10 as int) g, 3 b, 255 a
+from (select *, unnest(range(0, c_custkey % 13)) x from customer), (select unnest(range(0, 25)) y) where y <= c_nationkey""")
 def r009_blank_canvas(spark, sf_dir):
-    return geometry.blank(spark, 0, 40, 30, (1, 2, 3, 255))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    sizes = rasters.table(spark, sf_dir, "customer").select(k.alias("image_id"), (k % 13).cast("int").alias("width"), (n + 1).cast("int").alias("height"), (k % 256).alias("r"), (n * 10).alias("g"), F.lit(3).alias("b"), F.lit(255).alias("a"))
+    return geometry.blanks(sizes)
 
 
-@query("""select cast(0 as bigint) image_id, cast(x as int) x, cast(y as int) y, cast(case when i then 200 else 26 end as int) r, cast(case when i then 80 else 26 end as int) g, cast(case when i then 255 else 34 end as int) b, 255 a
-from (select x, y, x between 8 and 55 and y between 8 and 55 and (x - 32) * (x - 32) + (y - 32) * (y - 32) < 400 i from (select unnest(range(0, 64)) x), (select unnest(range(0, 64)) y))""")
+@query("""select cast(s_suppkey as bigint) image_id, cast(x as int) x, cast(y as int) y, cast(case when i then 200 else 26 end as int) r, cast(case when i then 80 else 26 end as int) g, cast(case when i then 255 else 34 end as int) b, 255 a
+from supplier, (select x, y, x between 8 and 55 and y between 8 and 55 and (x - 32) * (x - 32) + (y - 32) * (y - 32) < 400 i from (select unnest(range(0, 64)) x), (select unnest(range(0, 64)) y))""")
 def r010_disc(spark, sf_dir):
-    return geometry.disc(spark)
+    return geometry.discs(rasters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")))
 
 
 @query("select cast(s.n_nationkey % 3 as bigint) sheet_id, cast(o as int) ord, 'r' || o // 3 || 'c' || o % 3 id, f.n_name as name from (select distinct n_nationkey % 3 n_nationkey from nation) s, (select unnest(range(0, 12)) o) left join (select n_nationkey % 3 k, n_name, row_number() over (partition by n_nationkey % 3 order by n_name) - 1 i from nation) f on f.k = s.n_nationkey and f.i = o")
@@ -286,28 +292,29 @@ def r088_slice_aligned(spark, sf_dir):
 
 _TEMPLATE = generate.Template(rows=2, cols=6, cell_w=20, cell_h=16, pivot="BottomCenter", arm=4, show_tint=True)
 _glyph = "['111101101101111', '010110010010111', '111001111100111', '111001011001111', '101101111001001', '111100111001111', '111100111101111', '111001001001001', '111101111101111', '111101111001111']"
-_layers = f"""n as (select unnest(range(0, 12)) n), xy as (select n, x, y from n, (select unnest(range(0, 20)) x), (select unnest(range(0, 16)) y)),
+_layers = f"""sh as (select cast(s_suppkey as bigint) image_id, 1 + s_suppkey % 3 m, 1 + s_nationkey % 6 cols from supplier), n as (select image_id, cols, unnest(range(0, m * cols)) n from sh), xy as (select image_id, cols, n, x, y from n, (select unnest(range(0, 20)) x), (select unnest(range(0, 16)) y)),
 parts as (
-  select n, x, y, 0 z, case when (n % 6 + n // 6) % 2 = 0 then {{'r': 255, 'g': 255, 'b': 255, 'a': 10}} else {{'r': 100, 'g': 80, 'b': 255, 'a': 10}} end c from xy
-  union all select n, x, y, z, {{'r': 60, 'g': 220, 'b': 255, 'a': 200}} from xy, (select unnest([1, 2, 3, 4]) z) where (z = 1 and y = 0) or (z = 2 and y = 15) or (z = 3 and x = 0) or (z = 4 and x = 19)
-  union all select n, x, y, 5, {{'r': 255, 'g': 210, 'b': 0, 'a': 80}} from xy where y = 15
-  union all select n, x, y, z, {{'r': 255, 'g': 210, 'b': 0, 'a': 230}} from xy, (select unnest([6, 7, 8]) z) where (z = 6 and y = 15 and abs(x - 10) <= 4) or (z = 7 and x = 10 and abs(y - 15) <= 4) or (z = 8 and (x - 10) * (x - 10) + (y - 15) * (y - 15) <= 4)
-  union all select n, 2 + (k - 1) * 4 + (i - 1) % 3, 2 + (i - 1) // 3, 9, {{'r': 255, 'g': 210, 'b': 0, 'a': 200}} from n, (select unnest(range(1, 3)) k), (select unnest(range(1, 16)) i) where k <= length(n::varchar) and {_glyph}[(n::varchar)[k]::int + 1][i] = '1'
+  select image_id, cols, n, x, y, 0 z, case when (n % cols + n // cols) % 2 = 0 then {{'r': 255, 'g': 255, 'b': 255, 'a': 10}} else {{'r': 100, 'g': 80, 'b': 255, 'a': 10}} end c from xy
+  union all select image_id, cols, n, x, y, z, {{'r': 60, 'g': 220, 'b': 255, 'a': 200}} from xy, (select unnest([1, 2, 3, 4]) z) where (z = 1 and y = 0) or (z = 2 and y = 15) or (z = 3 and x = 0) or (z = 4 and x = 19)
+  union all select image_id, cols, n, x, y, 5, {{'r': 255, 'g': 210, 'b': 0, 'a': 80}} from xy where y = 15
+  union all select image_id, cols, n, x, y, z, {{'r': 255, 'g': 210, 'b': 0, 'a': 230}} from xy, (select unnest([6, 7, 8]) z) where (z = 6 and y = 15 and abs(x - 10) <= 4) or (z = 7 and x = 10 and abs(y - 15) <= 4) or (z = 8 and (x - 10) * (x - 10) + (y - 15) * (y - 15) <= 4)
+  union all select image_id, cols, n, 2 + (k - 1) * 4 + (i - 1) % 3, 2 + (i - 1) // 3, 9, {{'r': 255, 'g': 210, 'b': 0, 'a': 200}} from n, (select unnest(range(1, 3)) k), (select unnest(range(1, 16)) i) where k <= length(n::varchar) and {_glyph}[(n::varchar)[k]::int + 1][i] = '1'
 ),
-layers as (select 0 image_id, x + n % 6 * 20 x, y + n // 6 * 16 y, z, c.r r, c.g g, c.b b, c.a a from parts), img as (select 0 image_id, 120 width, 32 height)"""
+layers as (select image_id, x + n % cols * 20 x, y + n // cols * 16 y, z, c.r r, c.g g, c.b b, c.a a from parts), img as (select image_id, cols * 20 width, m * 16 height from sh)"""
 
 
 @query(f"with {_layers},\n{fold()}\nselect {OUT} from done")
 def r089_grid_template(spark, sf_dir):
-    return generate.template(spark, _TEMPLATE)
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    return generate.templates(rasters.table(spark, sf_dir, "supplier").select(k.alias("image_id"), (1 + k % 3).alias("rows"), (1 + n % 6).alias("cols")), _TEMPLATE)
 
 
-@query(f"with n as (select unnest(range(0, 120)) n)\nselect cast(n as int) n, cast(sum(len(list_filter(string_split({_glyph}[(n::varchar)[k]::int + 1], ''), lambda v: v = '1'))) as int) dots from n, (select unnest(range(1, 4)) k) where k <= length(n::varchar) group by n")
+@query(f"with n as (select s_suppkey, unnest(range(0, 3 * (1 + s_suppkey % 37))) n from supplier)\nselect cast(s_suppkey as bigint) image_id, cast(n as int) n, cast(sum(len(list_filter(string_split({_glyph}[(n::varchar)[k]::int + 1], ''), lambda v: v = '1'))) as int) dots from n, (select unnest(range(1, 4)) k) where k <= length(n::varchar) group by s_suppkey, n")
 def r090_digits(spark, sf_dir):
-    o = generate.Template(rows=12, cols=10, cell_w=20, cell_h=12, show_border=False, show_pivot=False, show_baseline=False)
-    px = generate.template(spark, o).where("a > 0")
-    n = F.call_function("div", F.col("y"), F.lit(12)) * 10 + F.call_function("div", F.col("x"), F.lit(20))
-    return px.groupBy(n.cast("int").alias("n")).agg(F.count("*").cast("int").alias("dots"))
+    o = generate.Template(cell_w=14, cell_h=8, show_border=False, show_pivot=False, show_baseline=False)
+    sheets = rasters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (1 + F.col("s_suppkey") % 37).alias("rows"), F.lit(3).alias("cols"))
+    n = F.call_function("div", F.col("y"), F.lit(8)) * 3 + F.call_function("div", F.col("x"), F.lit(14))
+    return generate.templates(sheets, o).where("a > 0").groupBy("image_id", n.cast("int").alias("n")).agg(F.count("*").cast("int").alias("dots"))
 
 
 # ---- cells ---------------------------------------------------------------------------------
@@ -459,9 +466,13 @@ on_cells(lambda px, c: cells.hit_test(_points(px).withColumn("wx", F.col("wx") -
 # ---- palettes ------------------------------------------------------------------------------
 
 
-@query("select palette_id, cast(idx as int) idx, cast(('0x' || c[1:2])::int as int) r, cast(('0x' || c[3:4])::int as int) g, cast(('0x' || c[5:6])::int as int) b, 255 a from (values " + ", ".join(f"('{n}', {i}, '{c}')" for n, cs in palette.PRESETS.items() for i, c in enumerate(cs)) + ") t(palette_id, idx, c)")
+_NAMES = [*palette.PRESETS, "pico8"]
+
+
+@query(f"select cast(p_partkey as bigint) p_partkey, palette_id, cast(idx as int) idx, cast(('0x' || c[1:2])::int as int) r, cast(('0x' || c[3:4])::int as int) g, cast(('0x' || c[5:6])::int as int) b, 255 a from (select p_partkey, {_NAMES}[p_partkey % {len(_NAMES)} + 1] palette_id from part) join (values " + ", ".join(f"('{n}', {i}, '{c}')" for n, cs in palette.PRESETS.items() for i, c in enumerate(cs)) + ") t(palette_id, idx, c) using (palette_id)")
 def r073_palette_presets(spark, sf_dir):
-    return palette.presets(spark)
+    names = F.array(*map(F.lit, _NAMES))
+    return palette.named(rasters.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.get(names, (F.col("p_partkey") % len(_NAMES)).cast("int")).alias("preset")), "preset", "p_partkey")
 
 
 _pal = "pal as (select i, r pr, g pg, b pb, {0} l from (values (0, 15, 56, 15), (1, 48, 98, 48), (2, 139, 172, 15), (3, 155, 188, 15)) t(i, r, g, b))".format(lab("r", "g", "b"))
@@ -557,11 +568,98 @@ def r105b_pipeline_default(spark, sf_dir):
     return pipelines.run(rasters.px_events(spark, sf_dir)).report()
 
 
-@query()
+class _Stages:
+    """SQL of a pipeline over px, a stage after the other, each under names of its own."""
+
+    def __init__(self, name: str):
+        self.name, self.ctes, self.last = name, [], "px"
+
+    def then(self, body: str) -> None:
+        self.last = f"{self.name}_{len(self.ctes)}"
+        self.ctes.append(f"{self.last} as ({body})")
+
+    def _near(self) -> str:
+        src = self.last
+        self.ctes.append(NB.replace("nb as", f"{src}_nb as", 1).replace("from px p", f"from {src} p").replace("px n", f"{src} n"))
+        return f"{src}_nb"
+
+    def isolate(self, steps: int, edge: str) -> None:
+        src, nb = self.last, self._near()
+        self.ctes.append(_sobel.replace("sob as", f"{src}_sob as", 1).replace("from nb)", f"from {nb})"))
+        apart = f"{dist('c', 'k')}::double <= {calibrated('64', '80', '100', steps)}"
+        self.ctes.append(f"{src}_pass as (select image_id, x, y, a, (a = 0 or (not edge and {apart})) p from (select {src}.*, {lab('r', 'g', 'b')} c, {lab('64', '80', '100')} k, {_edge.format(t=edge)} edge from {src} left join {src}_sob using (image_id, x, y)))")
+        self.ctes.append(_flood.replace("flood", f"{src}_flood").replace("pass", f"{src}_pass"))
+        self.then(f"select s.image_id, s.x, s.y, {_gone('f.x is not null and a <> 0')} from {src} s left join {src}_flood f on f.image_id = s.image_id and f.x = s.x and f.y = s.y")
+
+    def snap(self, reach_: int) -> None:
+        near = f"a <> 0 and (r - 64) * (r - 64) + (g - 80) * (g - 80) + (b - 100) * (b - 100) <= {reach_}"
+        self.then("select image_id, x, y, " + ", ".join(f"case when {near} then {k} else {c} end {c}" for c, k in zip("rgb", (64, 80, 100), strict=True)) + f", a from {self.last}")
+
+    def majority(self) -> None:
+        src, nb = self.last, self._near()
+        self.ctes.append(_majority.replace("maj as", f"{src}_maj as", 1).replace("from nb group", f"from {nb} group").replace("nb.nb nb", "nb"))
+        self.then(f"select {src}.image_id, x, y, " + ", ".join(f"case when n8 = 8 and same < 2 then m.{c} else {c} end {c}" for c in "rgba") + f" from {src} left join {src}_maj using (image_id, x, y)")
+
+    def defringe(self) -> None:
+        src, nb = self.last, self._near()
+        sums = f"select image_id, x, y, count(*) n, sum(nr) sr, sum(ng) sg, sum(nb) sb from {nb} where na >= 250 group by image_id, x, y"
+        self.then(f"select {src}.image_id, x, y, " + ", ".join(f"case when n is not null and a > 0 and a < 250 then s{c} // n else {c} end {c}" for c in "rgb") + f", a from {src} left join ({sums}) using (image_id, x, y)")
+
+    def alpha(self, least: int) -> None:
+        self.then(f"select image_id, x, y, r, g, b, case when a > {least} then 255 else 0 end a from {self.last}")
+
+    def median(self) -> None:
+        places = "(select unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) dx, unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) dy) o"
+        mid = ", ".join(f"list_sort(list(n.{c}))[5] {c}" for c in "rgba")
+        self.then(f"select p.image_id, p.x, p.y, {mid} from {self.last} p, {places}, {self.last} n where n.image_id = p.image_id and n.x = least(greatest(p.x + dx, 0), 15) and n.y = least(greatest(p.y + dy, 0), 15) group by p.image_id, p.x, p.y")
+
+    def islands(self, least: int) -> None:
+        src = self.last
+        found = reach("a >= 1", True).replace("px", src)
+        for cte in ("m", "walk", "lab"):
+            found = found.replace(f"{cte} as (", f"{src}_{cte} as (").replace(f"from {cte} ", f"from {src}_{cte} ").replace(f"join {cte} ", f"join {src}_{cte} ").replace(f"from {cte}\n", f"from {src}_{cte}\n")
+        self.ctes.append(found)
+        self.then(f"select s.image_id, s.x, s.y, {_gone(f'n < {least}')} from {src} s left join (select *, count(*) over (partition by image_id, root) n from {src}_lab) l on l.image_id = s.image_id and l.x = s.x and l.y = s.y")
+
+
+def _cleanup_sql() -> str:
+    s = _Stages("c")
+    s.isolate(40, "57600.0")
+    s.defringe()
+    s.alpha(128)
+    s.median()
+    s.islands(4)
+    return with_px(f"select {OUT} from {s.last}", IMG, *s.ctes)
+
+
+@query(_cleanup_sql())
 def r106_cleanup(spark, sf_dir):
     return pipelines.clean(rasters.px_events(spark, sf_dir), pipelines.Cleanup(key=(64, 80, 100))).px
 
 
+def _presets_sql() -> str:
+    default, safe, aggressive = _Stages("d"), _Stages("s"), _Stages("g")
+    default.islands(2)
+    default.alpha(128)
+    safe.isolate(6, "1296.0")
+    safe.majority()
+    safe.islands(2)
+    safe.alpha(112)
+    aggressive.snap(324)
+    aggressive.majority()
+    aggressive.islands(3)
+    aggressive.alpha(144)
+    each = " union all ".join(f"select '{n}' preset, {OUT} from {s.last}" for n, s in (("Default", default), ("Safe", safe), ("Aggressive", aggressive)))
+    return with_px(each, IMG, *default.ctes, *safe.ctes, *aggressive.ctes)
+
+
+@query(_presets_sql())
+def r108_option_presets(spark, sf_dir):
+    px = rasters.px_events(spark, sf_dir)
+    parts = [pipelines.run(px, replace(o, background=(64, 80, 100))).px.select(F.lit(n).alias("preset"), "image_id", "x", "y", *"rgba") for n, o in pipelines.PRESETS.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def _interactive_sql() -> str:
     """Keys by image, their tolerances, what lets through, what is reached, and alpha where an image lost pixels."""
     moved = lambda c, m: f"greatest(0, least(255, {c} + {m}))"
