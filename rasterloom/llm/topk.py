@@ -41,6 +41,10 @@ QUERY_BLOCK, BLOCK = 512, 4096
 EXACT = 1 << 53
 #: Levels of impact; the last one takes all that is smaller.
 SEGMENTS = 8
+#: Every so manieth candidate is looked at first.
+SOME = 16
+#: Blocks of queries that meet a block of candidates in one group; beyond this it is copied.
+TOGETHER = 4
 INDEX = ("c_places", "c_cuts", "c_left")
 
 
@@ -132,18 +136,31 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, index: Impac
     scores = np.zeros((len(ids), len(q)))
     members: dict[int, np.ndarray] = {}
     for segment, left in enumerate(index.left):
-        taken = index.add(segment, weights[:, live], scores)
+        taken = index.add(segment, np.ascontiguousarray(weights[:, live]), scores)
         if counts is not None:
             counts["postings"] = counts.get("postings", 0) + taken * len(live)
-        slack = left[:, None] * norms[live][None, :]
-        slack += 1e-9 * (np.abs(scores) + slack) + 1e-9  # for rounding, on the safe side
-        own = ids[:, None] == q_ids[live][None, :]
-        low = np.where(own, -np.inf, scores - slack)
-        kth = np.partition(low, len(ids) - n, axis=0)[len(ids) - n] if n == k else np.full(len(live), -np.inf)
-        possible = (scores + slack >= np.maximum(kth, least[live])[None, :]) & ~own
-        done = (possible.sum(axis=0) <= 2 * k) | (segment == len(index.left) - 1)
-        members.update((int(live[j]), np.flatnonzero(possible[:, j])) for j in np.flatnonzero(done))
-        live, scores = live[~done], scores[:, ~done]
+        last = segment == len(index.left) - 1
+        # no lower bound exceeds the highest score; a query isn't done if some of the candidates alone are too many above that
+        over = np.maximum(scores.max(axis=0, initial=-np.inf), least[live])
+        near = np.ones(len(live), bool) if last else (scores[::SOME] + left[::SOME, None] * norms[live] >= over).sum(axis=0) <= 2 * k + 1
+        done = np.zeros(len(live), bool)
+        for at in np.array_split(np.flatnonzero(near), 1 + near.sum() // 64):
+            part = np.ascontiguousarray(scores[:, at].T)
+            slack = norms[live[at], None] * left[None, :]
+            slack += 1e-9 * (np.abs(part) + slack) + 1e-9  # for rounding, on the safe side
+            own = q_ids[live[at], None] == ids[None, :]
+            bar = least[live[at]]
+            if n == k:
+                low = np.where(own, -np.inf, part - slack)
+                high = (low >= bar[:, None]).sum(axis=1) >= k  # else the floor is the higher of the two
+                if high.any():
+                    bar[high] = np.maximum(bar[high], np.partition(low[high], len(ids) - n, axis=1)[:, len(ids) - n])
+            possible = (part + slack >= bar[:, None]) & ~own
+            ends = (possible.sum(axis=1) <= 2 * k) | last
+            done[at] = ends
+            members.update((int(live[at[j]]), np.flatnonzero(possible[j])) for j in np.flatnonzero(ends))
+        if done.any():
+            live, scores = live[~done], scores[:, ~done]
         if not len(live):
             break
     for i, at in sorted(members.items()):
@@ -194,12 +211,15 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     cand = indexed(blocks(rows, n, "c"))
     query = blocks(rows.where(F.col("vec_id") % every == 0), m, "q")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    groups = -(-m // TOGETHER)
+    query = query.withColumn("g", F.pmod("q", F.lit(groups)))
+    cand = cand.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     none = F.lit(None).cast("array<struct<query_id:long,score:long>>").alias("floors")
-    found = searched(query.withColumn("c", F.lit(0).cast("long")).join(cand.where("c = 0"), "c").select("*", none), k)
+    found = searched(query.withColumn("c", F.pmod("q", F.lit(1))).join(cand.where("c = 0"), ["c", "g"]).select("*", none), k)
     if n > 1:
         # scores at the ends of 64 bits may have been cut, and are no floor; 512 rows at most a block of queries
         kth = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") == k) & (F.abs("score") < EXACT))
         floors = kth.groupBy("q").agg(F.collect_list(F.struct("query_id", (F.col("score") - 1).alias("score"))).alias("floors"))
         more = query.join(floors, "q", "left").withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n - 1).cast("long"))))
-        found = found.unionByName(searched(more.join(cand, "c"), k))
+        found = found.unionByName(searched(more.join(cand, ["c", "g"]), k))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
