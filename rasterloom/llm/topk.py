@@ -41,6 +41,8 @@ QUERY_BLOCK, BLOCK = 512, 4096
 EXACT = 1 << 53
 #: Levels of impact; the last one takes all that is smaller.
 SEGMENTS = 8
+#: Once no more than this part of a block may be among the k, exact scores cost less than the segments that are left.
+FEW = 4
 #: Every so manieth candidate is looked at first.
 SOME = 16
 #: Blocks of queries that meet a block of candidates in one group; beyond this it is copied.
@@ -127,7 +129,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, index: Impac
     """
     values = index.values
     dims = values.shape[1]
-    n = min(k, len(ids))
+    n, few = min(k, len(ids)), max(2 * k, len(ids) // FEW)
     live = np.arange(len(q))
     # a candidate has nothing in dimensions beyond its block's
     weights = np.pad(q, ((0, 0), (0, max(0, dims - q.shape[1]))))[:, :dims].T
@@ -140,9 +142,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, index: Impac
         if counts is not None:
             counts["postings"] = counts.get("postings", 0) + taken * len(live)
         last = segment == len(index.left) - 1
-        # no lower bound exceeds the highest score; a query isn't done if some of the candidates alone are too many above that
+        # no lower bound exceeds the highest score; where many of some candidates may reach that, the others needn't be looked at yet
         over = np.maximum(scores.max(axis=0, initial=-np.inf), least[live])
-        near = np.ones(len(live), bool) if last else (scores[::SOME] + left[::SOME, None] * norms[live] >= over).sum(axis=0) <= 2 * k + 1
+        near = np.ones(len(live), bool) if last else (scores[::SOME] + left[::SOME, None] * norms[live] >= over).sum(axis=0) <= few // SOME + 2
         done = np.zeros(len(live), bool)
         for at in np.array_split(np.flatnonzero(near), 1 + near.sum() // 64):
             part = np.ascontiguousarray(scores[:, at].T)
@@ -156,11 +158,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, index: Impac
                 if high.any():
                     bar[high] = np.maximum(bar[high], np.partition(low[high], len(ids) - n, axis=1)[:, len(ids) - n])
             possible = (part + slack >= bar[:, None]) & ~own
-            ends = (possible.sum(axis=1) <= 2 * k) | last
+            ends = (possible.sum(axis=1) <= few) | last
             done[at] = ends
             members.update((int(live[at[j]]), np.flatnonzero(possible[j])) for j in np.flatnonzero(ends))
         if done.any():
-            live, scores = live[~done], scores[:, ~done]
+            live, scores = live[~done], np.compress(~done, scores, axis=1)
         if not len(live):
             break
     for i, at in sorted(members.items()):
