@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.scalar import PIVOTS, idiv
-from rasterloom.operators.compose import on_canvas
+from rasterloom.functions.scalar import PIVOTS, blend, idiv
+from rasterloom.operators.compose import RGBA_T, folded
+from rasterloom.schema import spread
 
 RGBA = tuple[int, int, int, int]
 
@@ -119,28 +120,37 @@ def templates(sheets: DataFrame, o: Template) -> DataFrame:
     if o.rows < 1 or o.cols < 1 or o.cell_w < 4 or o.cell_h < 4:
         raise ValueError("at least one row and column, and cells of 4 by 4")
     sheets = sheets.where("rows > 0 and cols > 0").select(F.col("image_id").cast("long").alias("image_id"), F.col("rows").cast("int").alias("rows"), F.col("cols").cast("int").alias("cols"))
-    cells = sheets.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
-    cells = cells.withColumns({"i": F.col("n") % F.col("cols"), "j": idiv(F.col("n"), F.col("cols"))}).withColumns({"ox": F.col("i") * o.cell_w, "oy": F.col("j") * o.cell_h})
-    part = "struct<z:int,x:int,y:int,w:int,h:int,r:int,g:int,b:int,a:int>"
-    lit = lambda z, x, y, w, h, c: F.struct(*[v if isinstance(v, Column) else F.lit(v) for v in (z, x, y, w, h, *c)]).cast(part)
-    rects = [lit(*r) for r in template_rects(o)]
-    if o.show_tint:
-        even = (F.col("i") + F.col("j")) % 2 == 0
-        rects.append(lit(0, 0, 0, o.cell_w, o.cell_h, [F.when(even, e).otherwise(d) for e, d in zip(o.tint_even, o.tint_odd, strict=True)]))
-    parts = [cells.select("image_id", "ox", "oy", F.explode(F.array(*rects)).alias("p"))] if rects else []
-    if o.show_index:
+    cells = spread(sheets).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
+    cells = cells.withColumns({"i": F.col("n") % F.col("cols"), "j": idiv(F.col("n"), F.col("cols")), "digits": F.col("n").cast("string")})
+    cells = cells.select("image_id", (F.col("i") * o.cell_w).alias("ox"), (F.col("j") * o.cell_h).alias("oy"), ((F.col("i") + F.col("j")) % 2).alias("odd"), "digits")
+    xs, ys, faces = _faces(sheets.sparkSession, o)
+    among = lambda c, cuts: sum(((F.col(c) >= v).cast("int") for v in cuts[1:]), F.lit(0))
+    d = cells.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(o.cell_h - 1)))).withColumn("at", (F.col("odd") * len(ys) + among("y", ys)) * len(xs))
+    d = d.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(o.cell_w - 1)))).withColumn("c", F.get(faces, F.col("at") + among("x", xs)))
+    if o.show_index and o.index_colour[3] > 0:
         s = max(1, o.index_scale)
-        glyphs = F.array(*[F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for r, row in enumerate(d.split()) for c, on in enumerate(row) if on == "1"]) for d in DIGITS])
-        digit = cells.select("image_id", "ox", "oy", F.posexplode(F.filter(F.split(F.col("n").cast("string"), ""), lambda v: v != "")).alias("k", "d"))
-        dots = digit.select("image_id", "ox", "oy", "k", F.explode(F.get(glyphs, F.col("d").cast("int"))).alias("g"))
-        parts.append(dots.select("image_id", "ox", "oy", lit(9, 2 + F.col("k") * 4 * s + F.col("g.c") * s, 2 + F.col("g.r") * s, s, s, o.index_colour).alias("p")))
-    if not parts:
-        parts = [cells.select("image_id", "ox", "oy", lit(0, 0, 0, 0, 0, (0, 0, 0, 0)).alias("p"))]
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    clip = all_parts.select("image_id", "ox", "oy", "p.z", F.greatest(F.col("p.x"), F.lit(0)).alias("x0"), F.greatest(F.col("p.y"), F.lit(0)).alias("y0"), F.least(F.col("p.x") + F.col("p.w"), F.lit(o.cell_w)).alias("x1"), F.least(F.col("p.y") + F.col("p.h"), F.lit(o.cell_h)).alias("y1"), "p.r", "p.g", "p.b", "p.a")
-    clip = clip.where("x0 < x1 and y0 < y1")
-    dots = clip.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    layers = dots.select("image_id", (F.col("ox") + F.col("x")).cast("int").alias("x"), (F.col("oy") + F.col("y")).cast("int").alias("y"), "z", *"rgba")
-    return on_canvas(layers, sheets.select("image_id", (F.col("cols") * o.cell_w).alias("width"), (F.col("rows") * o.cell_h).alias("height")))
+        u, v = F.col("x") - 2, F.col("y") - 2
+        inside = (u >= 0) & (v >= 0) & (v < 5 * s) & (u % (4 * s) < 3 * s) & (idiv(u, 4 * s) < F.length("digits"))
+        digit = F.substr(F.col("digits"), idiv(u, 4 * s).cast("int") + 1, F.lit(1)).cast("int")
+        dot = F.substr(F.lit("".join(DIGITS).replace(" ", "")), (digit * 15 + idiv(v, s) * 3 + idiv(u % (4 * s), s) + 1).cast("int"), F.lit(1)) == "1"
+        top = F.struct(*[F.lit(v).alias(c) for v, c in zip(o.index_colour, "rgba", strict=True)])
+        d = d.withColumn("c", F.when(inside & F.when(inside, dot), blend(top, F.col("c")).cast(RGBA_T)).otherwise(F.col("c")))
+    return d.select("image_id", (F.col("ox") + F.col("x")).cast("int").alias("x"), (F.col("oy") + F.col("y")).cast("int").alias("y"), "c.*")
+
+
+def _faces(spark: SparkSession, o: Template) -> tuple[list[int], list[int], Column]:
+    """(xs, ys, colours): the parts' edges cut a cell into rectangles of one colour each; those of even cells, then those of odd ones, row by row.
+
+    Their number goes by the parts, not by the size of a cell.
+    """
+    rects = [r[1:] for r in sorted(template_rects(o), key=lambda r: r[0])]
+    cuts = lambda ends, most: sorted({0, *(v for v in ends if 0 < v < most)})
+    xs, ys = cuts([v for x, _, w, _, _ in rects for v in (x, x + w)], o.cell_w), cuts([v for _, y, _, h, _ in rects for v in (y, y + h)], o.cell_h)
+    lit = lambda x, y, w, h, c: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(n) for v, n in zip((x, y, w, h, *c), "xywhrgba", strict=True)])
+    tint = [F.when(F.col("odd") == 0, e).otherwise(d) for e, d in zip(o.tint_even, o.tint_odd, strict=True)] if o.show_tint else (0, 0, 0, 0)
+    parts = F.array(lit(0, 0, o.cell_w, o.cell_h, tint), *[lit(*r) for r in rects])
+    each = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
+    d = spark.range(0, 2 * len(xs) * len(ys), 1, 1).withColumns({"x": F.get(each[0], (F.col("id") % len(xs)).cast("int")), "y": F.get(each[1], (idiv(F.col("id"), len(xs)) % len(ys)).cast("int")), "odd": idiv(F.col("id"), len(xs) * len(ys))})
+    over = F.filter(parts, lambda p: (p["a"] > 0) & (p["x"] <= F.col("x")) & (F.col("x") < p["x"] + p["w"]) & (p["y"] <= F.col("y")) & (F.col("y") < p["y"] + p["h"]))
+    faces = d.select(F.struct("id", folded(over).alias("c")).alias("f")).agg(F.sort_array(F.collect_list("f")).alias("f"))
+    return xs, ys, faces.select(F.transform("f", lambda f: f["c"])).scalar()

@@ -20,7 +20,8 @@ def grid(sizes: DataFrame, w: str = "width", h: str = "height") -> DataFrame:
 def fill(sizes: DataFrame, px: DataFrame) -> DataFrame:
     """Dense images of the given sizes: the pixels there are, transparent ones elsewhere."""
     g = grid(sizes).select("image_id", "x", "y")
-    return g.join(px.select(*PX_COLS), ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "rgba"])
+    # pixels made by an explode look small to Spark, so without the hint it may send all of them to the driver for a broadcast
+    return g.join(px.select(*PX_COLS).hint("merge"), ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "rgba"])
 
 
 def blank(spark, image_id: int, w: int, h: int, rgba: tuple[int, int, int, int]) -> DataFrame:

@@ -49,6 +49,16 @@ def images_of(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, one an image, dealt by ``image_id`` over the cluster before each becomes many.
+
+    Files and shuffles of a few bytes an image are few partitions, and an explode of
+    them would be as few tasks.  The number is given, so Spark doesn't merge them again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "image_id")
+
+
 def holes(px: DataFrame) -> DataFrame:
     """Images whose rows aren't dense: the operators on neighbours would be wrong there."""
     return px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count("*").alias("n")).where(F.col("n") != F.col("width") * F.col("height"))
