@@ -73,7 +73,7 @@ def test_sheets_are_their_layers(spark, o):
 
 def test_sheets_are_neither_joined_nor_broadcast(spark):
     """Behind an explode Spark takes pixels for as few bytes as the table, and sent them all to the driver."""
-    for name in ("r089_grid_template",):
+    for name in ("r089_grid_template", "r090_digits"):
         plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "BroadcastExchange" not in plan
     sizes = spark.read.parquet(f"{DATA}/supplier.parquet").selectExpr("s_suppkey image_id", "64 width", "64 height")
