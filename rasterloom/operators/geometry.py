@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import scalar
 from rasterloom.operators.aggregate import opaque_box
-from rasterloom.schema import PX_COLS, images_of, recolour
+from rasterloom.schema import PX_COLS, images_of, recolour, spread
 
 
 def grid(sizes: DataFrame, w: str = "width", h: str = "height") -> DataFrame:
     """(the columns of ``sizes``, x, y): every place of images of these sizes."""
-    s = sizes.where((F.col(w) > 0) & (F.col(h) > 0))
+    s = spread(sizes.where((F.col(w) > 0) & (F.col(h) > 0)))
     s = s.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col(h) - 1).cast("int"))))
     return s.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col(w) - 1).cast("int"))))
 

@@ -79,3 +79,9 @@ def test_sheets_are_neither_joined_nor_broadcast(spark):
     sizes = spark.read.parquet(f"{DATA}/supplier.parquet").selectExpr("s_suppkey image_id", "64 width", "64 height")
     plan = geometry.fill(sizes, geometry.blanks(sizes.selectExpr("*", "1 r", "2 g", "3 b", "4 a")))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_canvases_of_one_small_file_are_many_tasks(spark):
+    one = spark.read.parquet(f"{DATA}/supplier.parquet").selectExpr("s_suppkey image_id").coalesce(1)
+    assert geometry.discs(one).rdd.getNumPartitions() == 4
+    assert geometry.grid(one.selectExpr("image_id", "3 width", "2 height")).rdd.getNumPartitions() == 4
