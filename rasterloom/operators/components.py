@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import color
 from rasterloom.operators.pointwise import matches_key
 from rasterloom.operators.stencil import sobel_edges
-from rasterloom.schema import cleared, images_of, recolour
+from rasterloom.schema import by_groups, cleared, images_of, recolour
 from rasterloom.shared import shared_dir
 
 #: Images of more pixels go by tiles of this side.
@@ -100,71 +100,106 @@ _NAMES = "image_id long, tx int, ty int, width long, nodes binary, root_x binary
 _ROWS = 1 << 16
 
 
+def _tiles(tile: int, eight: bool):
+    """Of many tiles' pixels at once: a row a tile, with its labels."""
+
+    def run(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        begin, n = cuts[:-1], np.diff(cuts)
+        x, y, tx, ty = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "tx", "ty"))
+        x, y = x - tx * tile, y - ty * tile
+        w, h = np.maximum.reduceat(x, begin) + 1, np.maximum.reduceat(y, begin) + 1
+        ends = np.cumsum(w * h)
+        on = t.column("m").fill_null(False).to_numpy().astype(bool)
+        x, y, wide, high = x[on], y[on], np.repeat(w, n)[on], np.repeat(h, n)[on]
+        at = np.repeat(ends - w * h, n)[on] + y * wide + x
+        flat = np.zeros(int(ends[-1]), bool)
+        flat[at] = True
+        us, vs = [], []
+        for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1)) if eight else ((1, 0), (0, 1)):
+            ok = (x + dx >= 0) & (x + dx < wide) & (y + dy < high)
+            u = at[ok]
+            v = u + dy * wide[ok] + dx
+            both = flat[v]
+            us.append(u[both])
+            vs.append(v[both])
+        parent = joined(np.arange(len(flat)), np.concatenate(us), np.concatenate(vs))
+        roots = np.where(flat, parent - np.repeat(ends - w * h, w * h), -1).astype(np.int32)
+        packed = [roots[e - m : e].tobytes() for e, m in zip(ends.tolist(), (w * h).tolist(), strict=True)]
+        ints = {"tx": tx[begin], "ty": ty[begin], "w": w, "h": h}
+        return pa.table({"image_id": t.column("image_id").take(pa.array(begin)), **{c: pa.array(v.astype(np.int32)) for c, v in ints.items()}, "roots": pa.array(packed, pa.binary())})
+
+    return run
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The labels along the four sides of each tile."""
     for b in batches:
-        for r in b.to_pylist():
-            g = np.frombuffer(r["roots"], np.int32).reshape(r["h"], r["w"])
-            sides = [x.tobytes() for x in (g[0], g[-1], g[:, 0], g[:, -1])]
-            ints = [pa.array([r[c]], t) for c, t in (("image_id", pa.int64()), *((c, pa.int32()) for c in ("tx", "ty", "w", "h")))]
-            yield pa.RecordBatch.from_arrays([*ints, *(pa.array([x], pa.binary()) for x in sides)], [x.split()[0] for x in _EDGES.split(", ")])
+        sides = [[], [], [], []]
+        for i, (w, h) in enumerate(zip(b.column("w").to_pylist(), b.column("h").to_pylist(), strict=True)):
+            g = np.frombuffer(b.column("roots")[i].as_buffer(), np.int32).reshape(h, w)
+            for side, line in zip(sides, (g[0], g[-1], g[:, 0], g[:, -1]), strict=True):
+                side.append(line.tobytes())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("image_id", "tx", "ty", "w", "h")), *(pa.array(side, pa.binary()) for side in sides)], [x.split()[0] for x in _EDGES.split(", ")])
 
 
-def _touching(a: np.ndarray, b: np.ndarray, eight: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The places of two lines beside each other, of equal length or cut to it, that are set in both."""
-    n = min(len(a), len(b))
-    pairs = [(np.arange(n), np.arange(n))]
-    if eight:
-        pairs += [(np.arange(n - 1), np.arange(1, n)), (np.arange(1, n), np.arange(n - 1))]
-    return [(a[i][ok], b[j][ok]) for i, j in pairs for ok in [(a[i] >= 0) & (b[j] >= 0)]]
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of all spans, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
 def _names(tile: int, eight: bool):
-    """Of one image's edge lines: for each tile its labels that have another name in the whole image."""
-
-    def run(key, t):
-        rows = t.to_pylist()
-        at = {(r["tx"], r["ty"]): i for i, r in enumerate(rows)}
-        side = [{c: np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("top", "bottom", "left", "right")} for r in rows]
-        width = max(r["tx"] * tile + r["w"] for r in rows)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        each = tile * tile
-
-        def meet(i, j, a, b, diagonal):
-            for x, y in _touching(a, b, diagonal):
-                us.append(x + i * each)
-                vs.append(y + j * each)
-
-        for (x, y), i in at.items():
-            for (dx, dy), (mine, theirs) in {(1, 0): ("right", "left"), (0, 1): ("bottom", "top")}.items():
-                j = at.get((x + dx, y + dy))
-                if j is not None:
-                    meet(i, j, side[i][mine], side[j][theirs], eight)
-            for dx, corner in ((1, -1), (-1, 0)) if eight else ():
-                j = at.get((x + dx, y + 1))
-                if j is not None:
-                    meet(i, j, side[i]["bottom"][[corner]], side[j]["top"][[-1 - corner]], False)
+    """Of many images' edge lines: for each tile its labels that have another name in the whole image."""
+
+    def run(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        tx, ty, w, h = (t.column(c).to_numpy().astype(np.int64) for c in ("tx", "ty", "w", "h"))
+        image = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        width = np.maximum.reduceat(tx * tile + w, cuts[:-1])[image]
+        side = {c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.int32).astype(np.int64) for c in ("top", "bottom", "left", "right")}
+        begin = {"top": np.cumsum(w) - w, "bottom": np.cumsum(w) - w, "left": np.cumsum(h) - h, "right": np.cumsum(h) - h}
+        each, across = tile * tile, int(tx.max()) + 3
+        code = (image * (int(ty.max()) + 3) + ty + 1) * across + tx + 1  # room on all sides, so that no tile's neighbour is another row's
+        sorter = np.argsort(code)
+        us, vs = [], []
+
+        def beside(dx: int, dy: int) -> tuple[np.ndarray, np.ndarray]:
+            want = code + dy * across + dx
+            k = np.searchsorted(code[sorter], want).clip(max=len(code) - 1)
+            i = np.flatnonzero(code[sorter[k]] == want)
+            return i, sorter[k[i]]
+
+        def meet(i, j, mine, theirs, a, b, n):
+            """Lines of tiles i and j from places a and b on."""
+            p, q = side[mine][_spans(begin[mine][i] + a, n)], side[theirs][_spans(begin[theirs][j] + b, n)]
+            ok = (p >= 0) & (q >= 0)
+            us.append((p + np.repeat(i, n) * each)[ok])
+            vs.append((q + np.repeat(j, n) * each)[ok])
+
+        for dx, dy, mine, theirs, size in ((1, 0, "right", "left", h), (0, 1, "bottom", "top", w)):
+            i, j = beside(dx, dy)
+            n = np.minimum(size[i], size[j])
+            for a, b in ((0, 0), (0, 1), (1, 0)) if eight else ((0, 0),):
+                meet(i, j, mine, theirs, a, b, n - max(a, b))
+        if eight:
+            i, j = beside(1, 1)
+            meet(i, j, "bottom", "top", w[i] - 1, 0, np.ones(len(i), np.int64))
+            i, j = beside(-1, 1)
+            meet(i, j, "bottom", "top", 0, w[j] - 1, np.ones(len(i), np.int64))
         u, v = np.concatenate(us), np.concatenate(vs)
         node = np.unique(np.concatenate([u, v]))
         of, local = node // each, node % each
-        w = np.array([r["w"] for r in rows], np.int64)
-        gx = local % w[of] + np.array([r["tx"] for r in rows], np.int64)[of] * tile
-        gy = local // w[of] + np.array([r["ty"] for r in rows], np.int64)[of] * tile
-        order = np.lexsort((gx, gy))  # so that the smallest is the first pixel of its component
+        gx, gy = local % w[of] + tx[of] * tile, local // w[of] + ty[of] * tile
+        order = np.lexsort((gx, gy, image[of]))  # so that the smallest is the first pixel of its component
         node, of, local, gx, gy = (c[order] for c in (node, of, local, gx, gy))
         by = np.argsort(node)
         place = lambda e: by[np.searchsorted(node[by], e)]
         root = joined(np.arange(len(node)), place(u), place(v))
         moved = np.flatnonzero(root != np.arange(len(node)))
         moved = moved[np.argsort(of[moved], kind="stable")]
-        cuts = np.searchsorted(of[moved], np.arange(len(rows) + 1))
-        out = {c: [] for c in (x.split()[0] for x in _NAMES.split(", "))}
-        for i, r in enumerate(rows):
-            m = moved[cuts[i] : cuts[i + 1]]
-            for c, value in zip(out, (r["image_id"], r["tx"], r["ty"], width, local[m].tobytes(), gx[root[m]].tobytes(), gy[root[m]].tobytes()), strict=True):
-                out[c].append(value)
-        kinds = {"image_id": pa.int64(), "tx": pa.int32(), "ty": pa.int32(), "width": pa.int64()}
-        return pa.table({c: pa.array(x, kinds.get(c, pa.binary())) for c, x in out.items()})
+        ends = np.searchsorted(of[moved], np.arange(len(w) + 1)).tolist()
+        parts = {"nodes": local[moved], "root_x": gx[root[moved]], "root_y": gy[root[moved]]}
+        lists = {c: pa.array([x[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary()) for c, x in parts.items()}
+        return pa.table({**{c: t.column(c) for c in ("image_id", "tx", "ty")}, "width": width, **lists})
 
     return run
 
@@ -172,23 +207,35 @@ def _names(tile: int, eight: bool):
 def _unpacked(tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                (r,) = b.slice(i, 1).to_pylist()
-                roots, w = np.frombuffer(r["roots"], np.int32).astype(np.int64), r["w"]
-                nodes = np.frombuffer(r["nodes"], np.int64)
-                order = np.argsort(nodes)
-                to = (np.frombuffer(r["root_y"], np.int64) * r["width"] + np.frombuffer(r["root_x"], np.int64))[order]
-                nodes = nodes[order]
-                for a in range(0, len(roots), _ROWS):
-                    part = roots[a : a + _ROWS]
-                    y, x = np.divmod(np.arange(a, a + len(part)), w)
-                    ry, rx = np.divmod(part, w)
-                    root = (ry + r["ty"] * tile) * r["width"] + rx + r["tx"] * tile
-                    if len(nodes):
-                        k = np.searchsorted(nodes, part).clip(max=len(nodes) - 1)
-                        root = np.where(nodes[k] == part, to[k], root)
-                    xy = [pa.array((v + r[t] * tile).astype(np.int32)) for v, t in ((x, "tx"), (y, "ty"))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["image_id"], np.int64)), *xy, pa.array(root, pa.int64(), mask=part < 0)], ["image_id", "x", "y", "root"])
+            area = np.cumsum(b.column("w").to_numpy().astype(np.int64) * b.column("h").to_numpy())
+            cuts = np.flatnonzero(np.diff(area // _ROWS, prepend=0, append=area[-1:] // _ROWS + 1)) if b.num_rows else []
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if z > a:
+                    yield from rows(b.slice(a, z - a))
+
+    def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of some small tiles, or a large one."""
+        ids = b.column("image_id")
+        tx, ty, w, h, width = (b.column(c).to_numpy().astype(np.int64) for c in ("tx", "ty", "w", "h", "width"))
+        roots, nodes, root_x, root_y = (np.frombuffer(b"".join(b.column(c).to_pylist()), d) for c, d in (("roots", np.int32), ("nodes", np.int64), ("root_x", np.int64), ("root_y", np.int64)))
+        ends = np.cumsum(w * h)
+        begin = ends - w * h
+        n = np.array([len(x) // 8 for x in b.column("nodes").to_pylist()], np.int64)
+        nodes = nodes + np.repeat(begin, n)
+        order = np.argsort(nodes)
+        nodes, to = nodes[order], (root_y * np.repeat(width, n) + root_x)[order]
+        for a in range(0, len(roots), _ROWS):
+            part = roots[a : a + _ROWS].astype(np.int64)
+            place = np.arange(a, a + len(part))
+            of = np.searchsorted(ends, place, "right")
+            y, x = np.divmod(place - begin[of], w[of])
+            ry, rx = np.divmod(part, w[of])
+            root = (ry + ty[of] * tile) * width[of] + rx + tx[of] * tile
+            if len(nodes):
+                k = np.searchsorted(nodes, part + begin[of]).clip(max=len(nodes) - 1)
+                root = np.where((nodes[k] == part + begin[of]) & (part >= 0), to[k], root)
+            xy = [pa.array((v + t[of] * tile).astype(np.int32)) for v, t in ((x, tx), (y, ty))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *xy, pa.array(root, pa.int64(), mask=part < 0)], ["image_id", "x", "y", "root"])
 
     return run
 
@@ -198,17 +245,8 @@ def labelled_by_tiles(px: DataFrame, mask: Column, eight: bool, tile: int = TILE
     tx, ty = (F.call_function("div", F.col(c), F.lit(tile)).cast("int") for c in ("x", "y"))
     d = px.select("image_id", "x", "y", mask.alias("m"), tx.alias("tx"), ty.alias("ty"))
 
-    def run(key, t):
-        ox, oy = key[1].as_py() * tile, key[2].as_py() * tile
-        x, y = t.column("x").to_numpy().astype(np.int64) - ox, t.column("y").to_numpy().astype(np.int64) - oy
-        m = np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
-        m[y, x] = t.column("m").to_numpy(zero_copy_only=False)
-        packed = label(m, eight).astype(np.int32).tobytes()
-        ints = {"tx": key[1].as_py(), "ty": key[2].as_py(), "w": m.shape[1], "h": m.shape[0]}
-        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), **{c: pa.array([v], pa.int32()) for c, v in ints.items()}, "roots": pa.array([packed], pa.binary())})
-
-    tiles = kept(d.groupBy("image_id", "tx", "ty").applyInArrow(run, _TILE))  # read twice
-    names = tiles.mapInArrow(_edges, _EDGES).groupBy("image_id").applyInArrow(_names(tile, eight), _NAMES)
+    tiles = kept(by_groups(d, ["image_id", "tx", "ty"], _tiles(tile, eight), _TILE))  # read twice
+    names = by_groups(tiles.mapInArrow(_edges, _EDGES), ["image_id"], _names(tile, eight), _NAMES)
     roots = tiles.join(names, ["image_id", "tx", "ty"]).mapInArrow(_unpacked(tile), "image_id long, x int, y int, root long")
     return px.join(roots, ["image_id", "x", "y"])
 

@@ -19,6 +19,8 @@ PX_COLS = ("image_id", "x", "y", "r", "g", "b", "a")
 RASTER = "image_id long, width int, height int, rgba binary"
 CELLS = "image_id long, ord int, id string, min_x int, min_y int, max_x int, max_y int, pivot_x double, pivot_y double"
 RGBA = ("r", "g", "b", "a")
+#: Bytes of small groups that a task hands to a kernel at once.
+_HELD = 4 << 20
 
 
 def byte(c: Column) -> Column:
@@ -89,12 +91,55 @@ def per_image(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Data
     return px.select(*PX_COLS).groupBy("image_id").applyInArrow(run, PX)
 
 
-def to_raster(px: DataFrame) -> DataFrame:
-    def run(key, t):
-        g = grid_of(t)
-        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "width": pa.array([g.shape[1]], pa.int32()), "height": pa.array([g.shape[0]], pa.int32()), "rgba": pa.array([g.astype(np.uint8).tobytes()], pa.binary())})
+def by_groups(rows: DataFrame, keys: list[str], kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``kernel`` over groups of equal integer ``keys``, many at once: it gets their rows, group after group, and where each begins and the last ends.
+
+    For groups so small that a call each would take longer than their work.  A
+    task holds ``_HELD`` bytes, or the largest group if that is more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def done(t: pa.Table, last: bool) -> pa.Table:
+            """What is left of ``t`` once its whole groups have gone."""
+            k = [f(t.column(c)).to_numpy() for c in keys for f in (lambda c: c.fill_null(0), lambda c: c.is_null())]
+            new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in k])] if t.num_rows else np.zeros(0, bool)
+            cuts = np.r_[np.flatnonzero(new), [t.num_rows] if last else []].astype(np.int64)
+            if len(cuts) > 1:
+                out.extend(kernel(t.slice(0, int(cuts[-1])).combine_chunks(), cuts).to_batches())
+            return t.slice(int(cuts[-1])) if len(cuts) else t
+
+        out: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            count += b.nbytes
+            if count >= _HELD:
+                rest = done(pa.Table.from_batches(held).combine_chunks(), False)
+                # a group that goes on is only looked at again once it has doubled
+                held, count = rest.to_batches(), min(rest.nbytes, _HELD - rest.nbytes)
+                yield from out
+                out.clear()
+        if held:
+            done(pa.Table.from_batches(held).combine_chunks(), True)
+            yield from out
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
-    return px.select(*PX_COLS).groupBy("image_id").applyInArrow(run, RASTER)
+
+def to_raster(px: DataFrame) -> DataFrame:
+    def run(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        x, y, *colours = (t.column(c).to_numpy() for c in PX_COLS[1:])
+        begin, n = cuts[:-1], np.diff(cuts)
+        w, h = np.maximum.reduceat(x, begin).astype(np.int64) + 1, np.maximum.reduceat(y, begin).astype(np.int64) + 1
+        ends = np.cumsum(w * h)
+        flat = np.zeros((int(ends[-1]), 4), np.uint8)
+        flat[np.repeat(ends - w * h, n) + y.astype(np.int64) * np.repeat(w, n) + x] = np.stack([c.astype(np.uint8) for c in colours], axis=1)
+        rgba = [flat[e - m : e].tobytes() for e, m in zip(ends.tolist(), (w * h).tolist(), strict=True)]
+        return pa.table({"image_id": t.column("image_id").take(pa.array(begin)), "width": w.astype(np.int32), "height": h.astype(np.int32), "rgba": pa.array(rgba, pa.binary())})
+
+    return by_groups(px.select(*PX_COLS), ["image_id"], run, RASTER)
 
 
 def to_px(raster: DataFrame) -> DataFrame:
