@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import color
 from rasterloom.operators.dither import dithered
+from rasterloom.schema import by_groups
 
 #: Colours of the presets (fixed values).
 PRESETS = {
@@ -80,9 +81,13 @@ def dither_to_palette(px: DataFrame, palette: list[tuple[int, int, int]]) -> Dat
 # ---- extraction ----------------------------------------------------------------
 
 
+def _mean(box: np.ndarray) -> np.ndarray:
+    return (box[:, :3] * box[:, 3:]).sum(axis=0) / box[:, 3].sum()
+
+
 def _spread(box: np.ndarray) -> float:
     """The sum of squared deviations from the mean."""
-    return float((((box[:, :3] - np.average(box[:, :3], axis=0, weights=box[:, 3])) ** 2).sum(axis=1) * box[:, 3]).sum()) if len(box) > 1 else 0.0
+    return float((((box[:, :3] - _mean(box)) ** 2).sum(axis=1) * box[:, 3]).sum()) if len(box) > 1 else 0.0
 
 
 def wu(hist: np.ndarray, k: int) -> np.ndarray:
@@ -109,7 +114,7 @@ def wu(hist: np.ndarray, k: int) -> np.ndarray:
         s = b[np.argsort(b[:, best[1]], kind="stable")]
         boxes[i : i + 1] = halves = [s[: best[2] + 1], s[best[2] + 1 :]]
         spread[i : i + 1] = map(_spread, halves)  # the other boxes keep theirs
-    return np.array([np.rint(np.average(b[:, :3], axis=0, weights=b[:, 3])) for b in boxes], np.int64)
+    return np.array([np.rint(_mean(b)) for b in boxes], np.int64)
 
 
 def octree(hist: np.ndarray, k: int) -> np.ndarray:
@@ -151,22 +156,30 @@ def extract(px: DataFrame, k: int, kind: str = "wu", by: str | None = "image_id"
     exact = px.where("a != 0").groupBy(image.cast("long").alias("image_id"), "r", "g", "b").agg(F.count("*").alias("n"), F.min(place).alias("at"))
     per_bin = exact.groupBy("image_id", *[b.alias(f"q{i}") for i, b in enumerate(bins)]).agg(F.sum("n").alias("n"), F.min("at").alias("at"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"])
     few = exact.groupBy("image_id").agg(F.count("*").alias("kinds"))
-    # images of few colours keep them as they are; others are cut over histogram bins
-    hist = exact.join(few, "image_id").where(F.col("kinds") <= k).select("image_id", *[F.col(c).cast("double").alias(c) for c in "rgb"], "n", "at")
-    hist = hist.unionByName(per_bin.join(few, "image_id").where(F.col("kinds") > k).select("image_id", *"rgb", "n", "at"))
-
-    def run(key, t):
-        rows = np.stack([t.column(c).to_numpy().astype(float) for c in ("r", "g", "b", "n")], axis=1)
+    # images of few colours keep them as they are, without Python; others are cut over histogram bins
+    kinds = exact.join(few, "image_id").where(F.col("kinds") <= k)
+    light = sum(F.col(c) * round(w * 1000) for c, w in zip("rgb", color.LUMA, strict=True))
+    order = Window.partitionBy("image_id").orderBy(light.desc(), "at", "r", "g", "b")  # k rows an image at most
+    as_they_are = kinds.select("image_id", (F.row_number().over(order) - 1).alias("idx"), *"rgb")
+    hist = per_bin.join(few, "image_id").where(F.col("kinds") > k).select("image_id", *"rgb", "n", "at")
+
+    def palette_of(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-        rows, at = rows[order], t.column("at").to_numpy()[order]
+        rows, at = rows[order], at[order]
         c = np.unique(cut(rows, k), axis=0)
         first = np.full(len(c), np.iinfo(np.int64).max)
         near = np.concatenate([np.argmin(((part[:, None, :3] - c[None]) ** 2).sum(axis=2), axis=1) for part in np.array_split(rows, 1 + len(rows) * len(c) // (1 << 18))])
         np.minimum.at(first, near, at)
-        c = c[np.lexsort((first, -np.rint(c @ np.array(color.LUMA) * 1000)))]  # the weights are thousandths
-        return pa.table({"image_id": [key[0].as_py()] * len(c), "idx": pa.array(range(len(c)), pa.int32()), **{n: pa.array(c[:, i], pa.int32()) for i, n in enumerate("rgb")}})
+        return c[np.lexsort((first, -np.rint(c @ np.array(color.LUMA) * 1000)))]  # the weights are thousandths
+
+    def run(t: pa.Table, cuts: np.ndarray) -> pa.Table:
+        rows = np.stack([t.column(c).to_numpy().astype(float) for c in ("r", "g", "b", "n")], axis=1)
+        at = t.column("at").to_numpy()
+        each = [palette_of(rows[a:z], at[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+        c, n = np.concatenate(each), [len(p) for p in each]
+        return pa.table({"image_id": t.column("image_id").take(pa.array(np.repeat(cuts[:-1], n))), "idx": np.concatenate([np.arange(m, dtype=np.int32) for m in n]), **{c_: c[:, i].astype(np.int32) for i, c_ in enumerate("rgb")}})
 
-    return hist.groupBy("image_id").applyInArrow(run, "image_id long, idx int, r int, g int, b int")
+    return as_they_are.unionByName(by_groups(hist, ["image_id"], run, "image_id long, idx int, r int, g int, b int"))
 
 
 def union(*palettes: DataFrame) -> DataFrame:
