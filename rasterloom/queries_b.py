@@ -541,7 +541,7 @@ def r074_shared_palette(spark, sf_dir):
 @query()
 def r075_quantize(spark, sf_dir):
     px = rasters.px_vectors(spark, sf_dir)
-    own = palette.extract(px, 6)
+    own = components.kept(palette.extract(px, 6))  # read twice
     key = palette.background_colour(own, (0, 255, 0)).select("image_id", F.struct("r", "g", "b").alias("key"))
     return palette.map_to_palette(px, own, by="image_id").join(key, "image_id").select("image_id", "x", "y", *"rgba", F.col("key.r").alias("key_r"), F.col("key.g").alias("key_g"), F.col("key.b").alias("key_b"))
 

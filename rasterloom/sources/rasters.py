@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.schema import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,11 +30,12 @@ def px_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8x8 images of grey levels, one a vector of 64."""
-    d = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("pos", "v"))
+    """8x8 images of grey levels, one a vector of 64; vectors are dealt by image, so that steps by image don't shuffle their pixels."""
+    rows = spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("image_id"), "embedding"))
+    d = rows.select("image_id", F.posexplode("embedding").alias("pos", "v"))
     d = d.withColumn("l", F.least(F.greatest(F.floor(F.col("v").cast("double") * 256) + 128, F.lit(0)), F.lit(255)).cast("int"))
     return d.selectExpr(
-        "cast(image_id as bigint) image_id", "cast(pos % 8 as int) x", "cast(pos div 8 as int) y", "l r", "255 - l g", "cast(pos * 37 % 256 as int) b",
+        "image_id", "cast(pos % 8 as int) x", "cast(pos div 8 as int) y", "l r", "255 - l g", "cast(pos * 37 % 256 as int) b",
         "case when v < -0.15 then 0 when v < 0 then 128 else 255 end a",
     )
 
