@@ -126,11 +126,22 @@ class Piece:
 
     def stretches(self, marks: np.ndarray, codes: np.ndarray) -> Stretches:
         """Those of minimizers with a code: 1 as they are, 2 split by the second minimizer."""
-        code = codes[np.searchsorted(marks, self.keys).clip(max=max(0, len(marks) - 1))] if len(marks) else np.zeros(len(self.keys), np.uint8)
+        at = _starts(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, np.int64)
+        code = codes[np.searchsorted(marks, self.keys[at]).clip(max=len(marks) - 1)] if len(marks) else np.zeros(len(at), np.uint8)
+        code = np.repeat(code, np.diff(np.r_[at, len(self.keys)]))  # neighbours mostly share a minimizer, so it is looked up once a run
         code = np.where(self.whole, code, 0)
         keys = self.keys
-        if (code == 2).any():
-            keys = np.where(code == 2, _mixed(keys * np.uint64(3) + minimizers(self.text, 1)), keys)
+        two = code == 2
+        if two.any():
+            edge = _starts(np.diff(np.r_[False, two, False].astype(np.int8)))
+            a, n = edge[::2], edge[1::2] - edge[::2]
+            size = n + LENGTH - 1
+            if size.sum() < len(self.text):  # only what is split
+                second = minimizers(self.text[_ragged(a, size)], 1)[_ragged(np.cumsum(size) - size, n)]
+            else:
+                second = minimizers(self.text, 1)[two]
+            keys = keys.copy()
+            keys[two] = _mixed(keys[two] * np.uint64(3) + second)
         at, n = self._runs(keys, code > 0)
         split = _starts(n > 255)  # a run of one byte repeated has one minimizer throughout
         if len(split):

@@ -99,3 +99,20 @@ def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
     monkeypatch.setattr(suffixes, "_BYTE", [np.ones(256, np.uint64)] * 2)  # every byte hashes alike
     s = suffixes.Stretches(p, np.array([0, 30]), np.array([1, 1]), same)
     assert len(s.first) == 2
+
+
+def test_second_minimizers_only_where_strings_are_split(monkeypatch):
+    """Keys are those of the whole text's second minimizers, which are worked out over the split places alone."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 40_000).astype(np.uint8)
+    piece = suffixes.Piece(np.array([1, 2], np.int64), np.array([25_000, 15_000], np.int64), text)
+    marks, _ = piece.marks()
+    codes = np.ones(len(marks), np.uint8)
+    codes[:: max(1, len(marks) // 20)] = 2
+    worked, plain = [], suffixes.minimizers
+    monkeypatch.setattr(suffixes, "minimizers", lambda t, which=0: (worked.append(len(t)), plain(t, which))[1])
+    got = piece.stretches(marks, codes)
+    code = np.where(piece.whole, codes[np.searchsorted(marks, piece.keys).clip(max=len(marks) - 1)], 0)
+    keys = np.where(code == 2, suffixes._mixed(piece.keys * np.uint64(3) + plain(text, 1)), piece.keys)
+    assert (keys[got.at] == got.keys).all() and got.n.sum() == (code > 0).sum()
+    assert sum(worked) < len(text) // 2
