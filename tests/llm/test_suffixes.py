@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rasterloom.llm import common, suffixes
@@ -116,3 +117,51 @@ def test_second_minimizers_only_where_strings_are_split(monkeypatch):
     keys = np.where(code == 2, suffixes._mixed(piece.keys * np.uint64(3) + plain(text, 1)), piece.keys)
     assert (keys[got.at] == got.keys).all() and got.n.sum() == (code > 0).sum()
     assert sum(worked) < len(text) // 2
+
+
+def test_verdicts_name_places_so_the_last_pass_hashes_nothing(monkeypatch):
+    """Spans come from the places of the verdicts alone: no minimizers, codes or stretches are worked out a second time."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
+    docs = [(i, rng.integers(97, 123, 200).astype(np.uint8).tobytes() + line + b"!" * (i % 3)) for i in range(1, 41)] + [(50, b""), (51, b"short"), (52, line[:49])]
+    whole = suffixes.Piece(np.array([i for i, _ in docs], np.int64), np.array([len(t) for _, t in docs], np.int64), np.frombuffer(b"".join(t for _, t in docs), np.uint8))
+    marks, several = whole.marks()
+    s = whole.stretches(marks, several.astype(np.uint8))
+    classes = np.arange(len(s.first))
+    least, most = np.minimum.reduceat(s.doc, s.first), np.maximum.reduceat(s.doc, s.first)
+    found, _ = suffixes.scanned([s.packed(classes, least, most)], [])
+    monkeypatch.setattr(suffixes, "minimizers", None)
+    row = pa.RecordBatch.from_pylist([{"ids": whole.ids.tobytes(), "sizes": whole.sizes.tobytes(), "text": whole.text.tobytes(), "verdicts": found}])
+    (got,) = suffixes._cleaned(iter([row]))
+    rows = [(r["id"], r["n_bytes"], r["starts"], r["ends"], r["kept"]) for r in got.to_pylist()]
+    assert sorted(rows, key=str) == brute([(i, t.decode()) for i, t in docs])
+    assert sum(len(r[2]) for r in rows) == 39
+
+
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_places_are_in_the_order_of_their_bytes(monkeypatch, letters):
+    rng = np.random.default_rng(letters)
+    text = np.tile(rng.integers(97, 97 + letters, 900).astype(np.uint8), 3)
+    text[1100] = 255
+    places = rng.permutation(len(text) - suffixes.LENGTH + 1)
+    want = [text[p : p + suffixes.LENGTH].tobytes() for p in places]
+    for narrow in (suffixes._narrow, lambda x, most: x):  # many groups aren't sorted by radix
+        monkeypatch.setattr(suffixes, "_narrow", narrow)
+        order, new = suffixes._ordered(text, places)
+        got = [want[i] for i in order]
+        assert got == sorted(want)
+        assert new.tolist() == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+    assert [len(x) for x in suffixes._ordered(text, places[:0])] == [0, 0]
+
+
+def test_sampled_hashes_that_are_alike_are_told_apart_by_bytes(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 600).astype(np.uint8)
+    text[300:360] = text[100:160]
+    piece = suffixes.Piece(np.array([1], np.int64), np.array([len(text)], np.int64), text)
+    at, n = np.array([0, 100, 200, 300]), np.full(4, 5)
+    assert len(suffixes.Stretches(piece, at, n, np.zeros(4, np.uint64)).first) == 3
+    monkeypatch.setattr(suffixes, "_sampled", lambda t, a, z: np.zeros(len(a), np.uint64))
+    s = suffixes.Stretches(piece, at, n, np.zeros(4, np.uint64))
+    classes = [{text[p : p + 54].tobytes() for p in s.at[a : a + m]} for a, m in zip(s.first, s.count)]
+    assert sum(s.count) == 4 and all(len(c) == 1 for c in classes)
