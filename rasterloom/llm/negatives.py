@@ -5,14 +5,20 @@ and an anchor q becomes (q, 0), so that |q - x|^2 = |q|^2 + M^2 - 2 <q, x>: scor
 fall as distances rise, and a window of scores is an annulus about the anchor.
 Candidates are dealt to blocks of bounded size by a hash of their id; each block
 is written as one row with its tree.  A search takes the tree's parts nearest
-first, leaves out what lies inside or outside the annulus, and tells a row once it
-is nearer than any part that is left; it ends with the k-th.  Distances carry a slack for
+first, leaves out what lies inside or outside the annulus, and ends once no part
+that is left can hold a row before the k-th.  Distances carry a slack for
 rounding and only rule parts out; scores are exact integers, and decide.
+Anchors walk a tree many at a time (``Asks``): each opens its nearest parts, in
+rounds of growing size, and a part is scored once for all that open it in a round.
+Where products exceed what float64 holds exactly, an anchor walks alone (``Search``).
 
 First each anchor's positives are found (any score, same label), then for each of
-its positives the different-label rows within the window.  Blocks of anchors are
-copied to every block of candidates, as one row each; a pair of blocks yields k
-rows an anchor at most.
+its positives the different-label rows within the window.  Trees are dealt to a
+bounded number of groups; every group's task holds its trees and lets the anchors
+stream past, which takes a copy of the anchors a group.  An anchor's k-th score in
+one tree is a floor in the group's next, and a group yields k rows an anchor (and
+positive) at most.  No join pairs anchors with trees: behind an explode Spark takes
+the copies for as few bytes as the anchors, and would send them all to the driver.
 
 Defined results: rows with a null id, a null label, a null vector, or a null or
 non-finite component take no part; rows alike in id, label and vector count once;
@@ -26,10 +32,11 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +44,12 @@ from rasterloom.llm.common import Scratch, materialize
 from rasterloom.llm.topk import EXACT, exact_scores, quantised
 
 BLOCK, ANCHORS, LEAF = 4096, 256, 128
+#: Groups of trees, each with a copy of the anchors; more only where one would hold over HELD trees.
+GROUPS, HELD = 48, 32
+#: Rows found by a walk that are held before the best are kept.
+FOUND = 1 << 16
 _TREE = "c long, dims long, ids binary, labels binary, vectors binary, nodes binary, bounds binary"
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 class Tree:
@@ -142,6 +154,124 @@ class Search:
                 heapq.heapify(rows)
 
 
+class Asks:
+    """What many anchors ask of trees, and the ``k`` best rows found so far for each ask: the highest scores, then the smallest ids.
+
+    ``of``: the place of an ask's anchor, ascending; scores lie from ``low`` to ``high``; rows are of the anchor's label, or of others if not ``same``.
+    """
+
+    def __init__(self, own: np.ndarray, labels: np.ndarray, q: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, k: int):
+        self.own, self.labels, self.q, self.of, self.high, self.same, self.k = own, labels, q, of, high, same, k
+        self.floor = low.copy()
+        self.first, self.n = np.searchsorted(of, np.arange(len(own))), np.bincount(of, minlength=len(own))
+        self.asking = self.n > 0
+        self.top = np.full(len(own), _LEAST)
+        np.maximum.at(self.top, of, high)
+        self.best = (np.zeros(0, np.int64),) * 3
+        self._lower()
+
+    def _lower(self) -> None:
+        """The least score that some ask of an anchor still takes."""
+        self.bar = np.full(len(self.own), _MOST)
+        np.minimum.at(self.bar, self.of, self.floor)
+
+    def take(self, anchor: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Offer rows to all asks of their anchors."""
+        n = self.n[anchor]
+        row = np.repeat(np.arange(len(anchor)), n)
+        ask = self.first[anchor][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        fits = (score[row] >= self.floor[ask]) & (score[row] <= self.high[ask])
+        self._keep(ask[fits], score[row[fits]], ids[row[fits]])
+
+    def _keep(self, ask: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        ask, score, ids = (np.concatenate(x) for x in zip(self.best, (ask, score, ids), strict=True))
+        order = np.lexsort((ids, ~score, ask))
+        ask, score, ids = ask[order], score[order], ids[order]
+        rank = np.arange(len(ask)) - np.searchsorted(ask, ask)
+        last = rank == self.k - 1
+        self.floor[ask[last]] = score[last]
+        self.best = tuple(x[rank < self.k] for x in (ask, score, ids))
+        self._lower()
+
+    def accepts(self, labels: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return (labels == self.labels[of][:, None]) == self.same
+
+    def walk(self, tree: Tree) -> int:
+        """Search a tree for all asks; how many leaves were scored, once for each anchor."""
+        d = tree.vectors.shape[1]  # rows have nothing in an anchor's dimensions beyond theirs
+        q = np.pad(self.q, ((0, 0), (0, max(0, d - self.q.shape[1]))))[:, :d]
+        exact = np.maximum(np.abs(q).max(axis=1, initial=0), 1) * max(tree.largest, 1) * max(1, d) < EXACT
+        for i in np.flatnonzero(~exact & self.asking):
+            self._alone(tree, int(i), q[i])
+        live, leaves = exact & self.asking, 0
+        if not live.any() or not len(tree.ids):
+            return leaves
+        small = np.where(live[:, None], q / tree.scale, 0.0)
+        base = (small * small).sum(axis=1) + tree.most
+        slack = 1e-6 * (1 + np.sqrt(base))
+        radius = lambda score: np.sqrt(np.maximum(0.0, base - 2 * score.astype(float) / tree.scale**2))
+        inner = np.where(np.abs(self.top.astype(float)) >= 1 << 62, 0.0, radius(self.top) - slack)
+        spans, near, far = self._parts(tree, np.pad(small, ((0, 0), (0, 1))), slack)
+        order = np.argsort(near, axis=1, kind="stable")
+        near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
+        at, step = 0, 1
+        while at < len(spans):
+            outer = np.where(np.abs(self.bar.astype(float)) >= 1 << 62, np.inf, radius(self.bar) + slack)
+            live &= near[:, at] <= outer
+            if not live.any():
+                break
+            part = slice(at, at + step)
+            want = live[:, None] & (near[:, part] <= outer[:, None]) & (far[:, part] >= inner[:, None])
+            self._open(tree, q, spans, np.where(want, order[:, part], -1))
+            leaves += int(want.sum())
+            at, step = at + step, 2 * step
+        return leaves
+
+    def _open(self, tree: Tree, q: np.ndarray, spans: list[slice], wanted: np.ndarray) -> None:
+        """Score the leaves that each anchor wants."""
+        found, held = [], 0
+        for leaf in np.setdiff1d(wanted, [-1]):
+            of, span = np.flatnonzero((wanted == leaf).any(axis=1)), spans[leaf]
+            s = q[of] @ tree.vectors[span].T
+            ok = (s >= self.bar[of][:, None]) & (s <= self.top[of][:, None]) & self.accepts(tree.labels[span], of)
+            i, j = np.nonzero(ok & (tree.ids[span] != self.own[of][:, None]))
+            found.append((of[i], s[i, j].astype(np.int64), tree.ids[span][j]))
+            held += len(i)
+            if held > FOUND:
+                self.take(*map(np.concatenate, zip(*found, strict=True)))
+                found, held = [], 0
+        if held:
+            self.take(*map(np.concatenate, zip(*found, strict=True)))
+
+    @staticmethod
+    def _parts(tree: Tree, small: np.ndarray, slack: np.ndarray) -> tuple[list[slice], np.ndarray, np.ndarray]:
+        """The leaves, and each anchor's least and largest distance to them."""
+        todo, spans, near, far = [(0, np.zeros(len(small)), np.full(len(small), np.inf))], [], [], []
+        while todo:
+            at, least, most = todo.pop()
+            first, last, vantage, left, right = tree.nodes[at]
+            if vantage < 0:
+                spans.append(slice(first, last))
+                near.append(least)
+                far.append(most)
+                continue
+            gap = small - tree.points[vantage]
+            d, b = np.sqrt((gap * gap).sum(axis=1)), tree.bounds[at]
+            for child, lo, hi in ((left, b[0], b[1]), (right, b[2], b[3])):
+                todo.append((child, np.maximum(least, np.maximum(d - hi, lo - d) - slack), np.minimum(most, d + hi + slack)))
+        return spans, np.array(near).T, np.array(far).T
+
+    def _alone(self, tree: Tree, i: int, q: np.ndarray) -> None:
+        """One anchor's asks, whose products may not be exact in float64."""
+        accept = lambda labels: self.accepts(labels, np.array([i]))[0]
+        for ask in range(self.first[i], self.first[i] + self.n[i]):
+            low, high = int(self.floor[ask]), int(self.high[ask])
+            rows = Search(tree, int(self.own[i]), q).nearest(accept, None if low == _LEAST else low, None if high == _MOST else high)
+            if got := list(itertools.islice(rows, self.k)):
+                score, ids = (np.array(x, np.int64) for x in zip(*got, strict=True))
+                self._keep(np.full(len(got), ask), score, ids)
+
+
 def trees(rows: DataFrame, n: int) -> DataFrame:
     """A row for each of ``n`` blocks of (vec_id, label, v)."""
 
@@ -157,11 +287,10 @@ def trees(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("c").applyInArrow(run, _TREE)
 
 
-def dense(column: pa.ChunkedArray) -> np.ndarray:
-    vectors = column.to_pylist()
-    m = np.zeros((len(vectors), max(map(len, vectors), default=0)))
-    for i, x in enumerate(vectors):
-        m[i, : len(x)] = x
+def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    n = pc.list_value_length(column).to_numpy()
+    m = np.zeros((len(n), n.max(initial=0)))
+    m[np.arange(m.shape[1]) < n[:, None]] = pc.list_flatten(column)
     return m
 
 
@@ -171,29 +300,39 @@ def _tree(r: dict) -> Tree:
     return Tree(ids, labels, np.frombuffer(r["vectors"]).reshape(len(ids), r["dims"]), nodes.tolist(), bounds.tolist())
 
 
-def _searched(anchors: DataFrame, forest: DataFrame, n: int, m: int, schema: str, ask) -> DataFrame:
-    """What ``ask(search, anchor)`` yields for every anchor and every block of candidates.
+def _searched(anchors: DataFrame, forest: DataFrame, n: int, schema: str, asks: Callable[[pa.RecordBatch], tuple[Asks, list[np.ndarray]]]) -> DataFrame:
+    """What every anchor's asks find in the ``n`` trees, the best of each group of trees.
 
-    Anchors go to ``m`` blocks; a block's arrays are one row, copied to every block of candidates.
+    ``asks``: of a batch of anchors, what they ask, and for each ask the values that come before (id, score) of its rows.
     """
-    packed = anchors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(m)).alias("q")).agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
-    pairs = packed.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(forest, "c")
+    groups = max(min(n, GROUPS), -(-n // HELD))
     names = [x.split()[0] for x in schema.split(", ")]
+    copies = anchors.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = forest.withColumn("g", F.pmod("c", F.lit(groups)).cast("int")).unionByName(copies, allowMissingColumns=True)
+    dealt = dealt.repartitionById(groups, "g").sortWithinPartitions("g", F.col("c").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
         for b in batches:
-            for i in range(b.num_rows):
-                (r,) = b.slice(i, 1).to_pylist()
-                tree, out = _tree(r), []
-                for a in r["anchors"]:
-                    v = np.array(a["v"])
-                    d = max(len(v), tree.vectors.shape[1])
-                    if d > tree.vectors.shape[1]:
-                        tree = Tree(tree.ids, tree.labels, np.pad(tree.vectors, ((0, 0), (0, d - tree.vectors.shape[1]))), tree.nodes, tree.bounds)
-                    out += ask(Search(tree, a["vec_id"], np.pad(v, (0, d - len(v)))), a)
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], pa.schema([(c, pa.int64()) for c in names]))
-
-    return pairs.mapInArrow(run, schema)
+            at = 0
+            while at < b.num_rows:
+                rows = b.slice(at, 1)
+                if rows.column("g")[0].as_py() != group:
+                    group, held = rows.column("g")[0].as_py(), []
+                if rows.column("c")[0].is_valid:
+                    held.append(_tree(rows.select([x.split()[0] for x in _TREE.split(", ")]).to_pylist()[0]))
+                    at += 1
+                    continue
+                rows = b.slice(at, ANCHORS)
+                rows = rows.slice(0, int((rows.column("g").to_numpy() == group).sum()))
+                at += rows.num_rows
+                asked, values = asks(rows)
+                for tree in held:
+                    asked.walk(tree)
+                ask, score, ids = asked.best
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in [*(v[ask] for v in values), ids, score]], names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def _first(found: DataFrame, keys: list[str], score: str, id_col: str, k: int) -> DataFrame:
@@ -211,32 +350,30 @@ def mine(vectors: DataFrame, anchor: Column, label: Column, k_pos: int = 5, k_ne
     labelled = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v_"), label.cast("long").alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor")).where("label is not null")
     with Scratch() as scratch:
         rows = scratch.keep(quantised(labelled, "vec_id", "v_", scale, "label", "anchor"), "vectors")
-        size = rows.agg(F.count("*").alias("n"), F.count_if("anchor").alias("q")).first()
-        n, m = max(1, -(-size["n"] // BLOCK)), max(1, -(-size["q"] // ANCHORS))
+        n = max(1, -(-rows.count() // BLOCK))
         forest = scratch.keep(trees(rows, n), "forest")
-        anchors = rows.where("anchor").select("vec_id", "label", "v").withColumn("key", F.xxhash64("vec_id", "label", "v"))
+        anchors = rows.where("anchor").select(F.col("vec_id").alias("own"), F.col("label").alias("own_label"), "v", F.xxhash64("vec_id", "label", "v").alias("key"))
 
-        def positives(s: Search, a: dict) -> list[tuple]:
-            return [(a["vec_id"], a["key"], i, x) for x, i in itertools.islice(s.nearest(lambda labels: labels == a["label"]), k_pos)]
+        def positives(b: pa.RecordBatch) -> tuple[Asks, list[np.ndarray]]:
+            own, labels, keys = (b.column(c).to_numpy() for c in ("own", "own_label", "key"))
+            return Asks(own, labels, dense(b.column("v")), np.arange(len(own)), np.full(len(own), _LEAST), np.full(len(own), _MOST), True, k_pos), [own, keys]
 
-        found = _searched(anchors, forest, n, m, "anchor_id long, key long, positive_id long, positive_score long", positives)
+        found = _searched(anchors, forest, n, "anchor_id long, key long, positive_id long, positive_score long", positives)
         found = scratch.keep(_first(found, ["anchor_id", "key"], "positive_score", "positive_id", k_pos), "positives")
-        chosen = found.groupBy(F.col("anchor_id").alias("vec_id"), "key").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("chosen"))
-
-        def negatives(s: Search, a: dict) -> list[tuple]:
-            """One walk from the highest positive down fills the windows of all positives."""
-            windows = [(p["positive_id"], -(-num * p["positive_score"] // den), p["positive_score"], []) for p in a["chosen"]]
-            windows = [w for w in windows if w[1] <= w[2]]
-            if windows:
-                for x, i in s.nearest(lambda labels: labels != a["label"], min(w[1] for w in windows), max(w[2] for w in windows)):
-                    for _, low, high, got in windows:
-                        if low <= x <= high and len(got) < k_neg:
-                            got.append((i, x))
-                    if all(len(w[3]) == k_neg or x < w[1] for w in windows):
-                        break
-            return [(a["vec_id"], a["key"], p, i, high, x) for p, _, high, got in windows for i, x in got]
-
-        schema = "anchor_id long, key long, positive_id long, negative_id long, positive_score long, negative_score long"
-        mined = _searched(anchors.join(chosen, ["vec_id", "key"]), forest, n, m, schema, negatives)
+        chosen = found.groupBy(F.col("anchor_id").alias("own"), "key").agg(F.collect_list("positive_id").alias("positive"), F.collect_list("positive_score").alias("score"))
+
+        def negatives(b: pa.RecordBatch) -> tuple[Asks, list[np.ndarray]]:
+            """An ask for each positive whose window isn't empty."""
+            own, labels, keys = (b.column(c).to_numpy() for c in ("own", "own_label", "key"))
+            of = np.repeat(np.arange(len(own)), pc.list_value_length(b.column("score")).to_numpy())
+            positive, high = (pc.list_flatten(b.column(c)).to_numpy() for c in ("positive", "score"))
+            low = [-(-num * x // den) for x in high.tolist()]
+            asked = np.array([x <= y for x, y in zip(low, high.tolist(), strict=True)], bool)
+            low = np.array([max(_LEAST, x) for x, ok in zip(low, asked, strict=True) if ok], np.int64)
+            of, positive, high = of[asked], positive[asked], high[asked]
+            return Asks(own, labels, dense(b.column("v")), of, low, high, False, k_neg), [own[of], keys[of], positive, high]
+
+        schema = "anchor_id long, key long, positive_id long, positive_score long, negative_id long, negative_score long"
+        mined = _searched(anchors.join(chosen.hint("merge"), ["own", "key"]), forest, n, schema, negatives)
         first = _first(mined, ["anchor_id", "key", "positive_id", "positive_score"], "negative_score", "negative_id", k_neg)
         return materialize(first.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")

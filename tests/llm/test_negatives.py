@@ -72,3 +72,41 @@ def test_the_tree_leaves_parts_out(monkeypatch):
     scores = (m @ m[0]).astype(int)
     assert got == sorted(((int(x), i) for i, x in enumerate(scores) if i % 5), key=lambda x: (-x[0], x[1]))[:5]
     assert s.leaves < sum(n[2] < 0 for n in t.nodes) / 2
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Behind an explode Spark took a copy of the anchors for every block for as few bytes as the anchors, and sent all of them to the driver."""
+    monkeypatch.setattr(negatives, "BLOCK", 16)
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], r.randrange(3)) for i in range(200)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        assert ours(spark, rows) == brute(rows, 10, 5)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize(("groups", "held"), [(2, 32), (1, 2)])
+def test_groups_of_trees(spark, monkeypatch, groups, held):
+    """A group's trees share the floors; ids below a k-th of equal score still take its place."""
+    for name, x in (("BLOCK", 32), ("GROUPS", groups), ("HELD", held), ("ANCHORS", 3), ("FOUND", 10)):
+        monkeypatch.setattr(negatives, name, x)
+    r = random.Random(6)
+    few = [[r.gauss(0, 1) for _ in range(3)] for _ in range(9)]
+    rows = [(i, few[r.randrange(9)], r.randrange(3)) for i in range(300)] + [(310, [1e18, 0.0, 0.0], 1), (320, [9e17, 1.0, 2.0], 1), (330, [9e17, 0.0, 0.0], 2)]
+    assert ours(spark, rows) == brute(rows, 10, 5)
+
+
+def test_asks_open_few_parts(monkeypatch):
+    monkeypatch.setattr(negatives, "LEAF", 64)
+    r = np.random.default_rng(1)
+    centres = r.normal(0, 300, (16, 8))
+    m = np.floor(np.concatenate([c + r.normal(0, 3, (128, 8)) for c in centres]))
+    t = negatives.Tree(np.arange(len(m)), np.arange(len(m)) % 5, m)
+    at = np.array([0, 700, 1500])
+    low, high = np.full(3, -(1 << 63)), np.full(3, (1 << 63) - 1)
+    asks = negatives.Asks(at, at % 5, m[at], np.arange(3), low, high, False, 5)
+    assert asks.walk(t) < 3 * sum(n[2] < 0 for n in t.nodes) / 2
+    scores = (m @ m[at].T).astype(int)
+    want = [(a, -s, i) for a in range(3) for s, i in sorted((-int(scores[i, a]), i) for i in range(len(m)) if i % 5 != at[a] % 5)[:5]]
+    assert list(zip(*(x.tolist() for x in asks.best))) == want
