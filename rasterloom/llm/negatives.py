@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Scratch, materialize
+from rasterloom.llm.common import MOST_TASKS, Scratch, materialize
 from rasterloom.llm.topk import EXACT, exact_scores, quantised
 
 BLOCK, ANCHORS, LEAF = 4096, 256, 128
@@ -284,7 +284,8 @@ def trees(rows: DataFrame, n: int) -> DataFrame:
         names = ("ids", "labels", "vectors", "nodes", "bounds")
         return pa.table({"c": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([m.shape[1]], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(names, parts, strict=True)}})
 
-    return rows.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("c").applyInArrow(run, _TREE)
+    # a task for each block: Spark reads a file's rows in batches of thousands, and a file of many trees is one batch
+    return rows.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(n))).repartition(min(n, MOST_TASKS), "c").groupBy("c").applyInArrow(run, _TREE)
 
 
 def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
