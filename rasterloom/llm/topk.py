@@ -223,5 +223,6 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
         kth = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") == k) & (F.abs("score") < EXACT))
         floors = kth.groupBy("q").agg(F.collect_list(F.struct("query_id", (F.col("score") - 1).alias("score"))).alias("floors"))
         more = query.join(floors, "q", "left").withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n - 1).cast("long"))))
-        found = found.unionByName(searched(more.join(cand, ["c", "g"]), k))
+        # behind the explode Spark takes the copies for as few bytes as the queries, and without the hint sends all of them to the driver
+        found = found.unionByName(searched(more.join(cand.hint("merge"), ["c", "g"]), k))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -105,3 +105,13 @@ def test_postings_are_those_of_the_block():
     assert sum(index.add(s, w, scores) for s in range(topk.SEGMENTS)) == 5
     assert (scores == c @ w).all()
     assert (index.left[-1] == 0).all() and (np.diff(index.left, axis=0) <= 0).all()
+
+
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Behind an explode Spark took a copy of the queries for every block for as few bytes as the queries, and sent all of them to the driver."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    r = random.Random(7)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<float>")
+    plan = topk.top_k(rows, 3, 5)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [x for i, x in enumerate(plan) if "Join Inner" in x and any("Generate explode" in y for y in plan[i : i + 6])]
+    assert joins and all("strategy=merge" in x for x in joins)
